@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import decontaminate, licences, media, packing, quality, sharding, simhash, urls
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -14,13 +16,52 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from .packing import pack
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    machine = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, machine).select("doc_id", "held_out", "score", "predicted")
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op4_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.place(table(spark, sf_dir, "documents"), 8)
+
 
-    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"), licences.known_licences(spark))
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digests(media.store(table(spark, sf_dir, "documents")))
+
+
+def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return urls.judge(pages, urls.page_outcomes(pages, table(spark, sf_dir, "labels")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
+    "op2_quality": op2_quality,
+    "op3_simhash": op3_simhash,
+    "op4_shard": op4_shard,
+    "op6_licences": op6_licences,
+    "op7_decontaminate": op7_decontaminate,
+    "op8_media": op8_media,
+    "op9_urls": op9_urls,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_licences": licences.oracle(),
+    "op7_decontaminate": decontaminate.oracle(),
+}
