@@ -82,7 +82,7 @@ def _standard(stats: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndar
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]], *, factors: int = 4, epochs: int = 6, batch: int = 64, rate: float = 0.1, ridge: float = 1e-5, seed: int = 7) -> Machine:
-    """Fit by AdaGrad on the logistic loss. rows: word buckets, values, statistics, label. No rows: a machine that says 1/2."""
+    """Fit by AdaGrad on the logistic loss. rows: word buckets, values, statistics, label. No rows: scores near one half."""
     rng = np.random.default_rng(seed)
     size = WORDS + STATISTICS
     stats = np.array([r[2] for r in rows]).reshape(-1, STATISTICS)
@@ -126,9 +126,8 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, *, most: int = 6000, **settings) -> Machine:
     """Fit on at most ``most`` labelled rows that aren't held out: those with the least hash of their doc_id.
 
-    ``labels``: doc_id, quality (0 or 1); of several for one id the least counts, as does the least
-    text; nulls don't. Only the sample's ids
-    are broadcast and only its features come to the driver, so both are bounded by ``most``.
+    ``labels``: doc_id, quality (0 or 1); of several for one id the least counts, as does the least text;
+    nulls don't. Only the sample's ids are broadcast and only its features come to the driver, so ``most`` bounds both.
     """
     marks = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     marks = marks.filter(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
