@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licences, media, packing, quality, sharding, simhash, urls
+from . import decontaminate, licences, media, packing, passages, pii, quality, sharding, simhash, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op4_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents"), 8)
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"), licences.known_licences(spark))
 
@@ -50,15 +54,21 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages, urls.page_outcomes(pages, table(spark, sf_dir, "labels")))
 
 
+def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
     "op2_quality": op2_quality,
     "op3_simhash": op3_simhash,
     "op4_shard": op4_shard,
+    "op5_pii": op5_pii,
     "op6_licences": op6_licences,
     "op7_decontaminate": op7_decontaminate,
     "op8_media": op8_media,
     "op9_urls": op9_urls,
+    "op10_passages": op10_passages,
 }
 
 ORACLES: dict[str, str] = {
