@@ -1,6 +1,6 @@
 """SimHash near-duplicates by bit-sliced comparison.
 
-Fingerprints are cut into ``radius + 2`` blocks. Two of them within the radius agree on two blocks at least, so each
+Fingerprints are cut into four blocks. Two of them within the radius of 2 agree on two blocks at least, so each
 distinct fingerprint goes to one bucket for every pair of blocks. In a bucket the bits stand in vertical planes (one
 long integer a bit, one position a fingerprint); a fingerprint is compared with all later ones at once by carry-save
 counters, and given up as soon as every distance exceeds the radius. A bucket yields a star for each of its linked
@@ -22,7 +22,8 @@ from .components import components
 from .shared import materialise, whole_text
 
 SEED = 42
-ALL_BITS = (1 << 64) - 1
+#: Differing bits up to which fingerprints are linked.
+RADIUS = 2
 
 
 def fingerprint(text: str, width: int = 3) -> int:
@@ -111,16 +112,14 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def links(prints: DataFrame, radius: int = 2, largest: int = 4096) -> DataFrame:
+def links(prints: DataFrame, largest: int = 4096) -> DataFrame:
     """Links ``a, b`` that join the distinct fingerprints ``fingerprint`` of ``prints`` just as all pairs would.
 
     A bucket with over ``largest`` fingerprints isn't held: each of them goes to its own value and to those with one
     free bit turned. Two within distance 2 meet at one of these, all that meet there are within 2 of each other, and
     at most 65 do; so that way is exact too.
     """
-    if not 0 <= radius <= 2:
-        raise ValueError("radius is 0, 1 or 2")
-    masks = _masks(radius)
+    masks = _masks(RADIUS)
     free = [[b for b in range(64) if not m >> b & 1] for m in masks]
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -132,14 +131,14 @@ def links(prints: DataFrame, radius: int = 2, largest: int = 4096) -> DataFrame:
             cuts = np.flatnonzero((keys[1:] != keys[:-1]) | (tables[1:] != tables[:-1])) + 1
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)], strict=True):
                 if (tables[a], keys[a]) != key:
-                    out += _starred(held, radius)
+                    out += _starred(held)
                     key, held, spread = (tables[a], keys[a]), [], False
                 held.append(prints_[a:b])
                 if spread or sum(map(len, held)) > largest:
                     out += [(v ^ turn, v, True) for v in np.concatenate(held).tolist() for turn in (0, *(1 << x for x in free[tables[a]]))]
                     held, spread = [], True
             yield _linked(out)
-        yield _linked(_starred(held, radius))
+        yield _linked(_starred(held))
 
     slots = F.explode(F.array(*[F.struct(F.lit(i).alias("slot"), F.col("fingerprint").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(masks)]))
     rows = prints.select("fingerprint", slots.alias("at")).select("fingerprint", "at.slot", "at.key")
@@ -150,10 +149,10 @@ def links(prints: DataFrame, radius: int = 2, largest: int = 4096) -> DataFrame:
     return found.filter("not meets").select("a", "b").unionByName(meets.join(least, "a").filter("b <> least").select(F.col("least").alias("a"), "b"))
 
 
-def _starred(held: list[np.ndarray], radius: int) -> list[tuple[int, int, bool]]:
+def _starred(held: list[np.ndarray]) -> list[tuple[int, int, bool]]:
     if sum(map(len, held)) < 2:
         return []
-    return [(a, b, False) for a, b in stars(np.concatenate(held), radius)]
+    return [(a, b, False) for a, b in stars(np.concatenate(held), RADIUS)]
 
 
 def _linked(rows: list[tuple[int, int, bool]]) -> pd.DataFrame:
@@ -161,18 +160,18 @@ def _linked(rows: list[tuple[int, int, bool]]) -> pd.DataFrame:
     return pd.DataFrame({"a": a, "b": b, "meets": np.array([r[2] for r in rows], dtype=bool)})
 
 
-def near_duplicates(docs: DataFrame, *, radius: int = 2, width: int = 3, largest: int = 4096) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, width: int = 3, largest: int = 4096) -> DataFrame:
     """Groups of near-duplicate documents: ``doc_id, fingerprint, component_id``, a row for each row of ``docs``.
 
     Texts are lower-cased (A to Z) and cut at ASCII white space into words; shingles of ``width`` words (repeats count)
-    are hashed by XXH64. Fingerprints at most ``radius`` bits apart are linked; component_id is the least doc_id
+    are hashed by XXH64. Fingerprints at most RADIUS bits apart are linked; component_id is the least doc_id
     reached. Null and empty texts have fingerprint zero and are linked like any other; a null doc_id is kept and never
     names a component (one of null ids alone has null); repeated rows stay; an empty table gives none. Other columns
     aren't read.
     """
     of = materialise(fingerprints(docs, width), "fingerprints")
     distinct = materialise(of.groupBy("fingerprint").agg(F.min("doc_id").alias("least")), "prints")
-    linked = components(links(distinct.select("fingerprint"), radius, largest))
+    linked = components(links(distinct.select("fingerprint"), largest))
     grouped = distinct.join(linked, distinct["fingerprint"] == linked["node"], "left")
     grouped = grouped.select("fingerprint", "least", F.coalesce("component", "fingerprint").alias("group"))
     names = grouped.groupBy("group").agg(F.min("least").alias("component_id"))

@@ -1,0 +1,60 @@
+import random
+import re
+
+import numpy as np
+
+from lexiloom.llm import decontaminate as d
+
+
+def brute(docs, items, width=5, least=0.8):
+    def cut(t):
+        w = [x for x in re.split(r"[\t-\r ]+", (t or "").lower()) if x]
+        return {" ".join(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
+
+    out = {}
+    for i, t in docs:
+        held = cut(t)
+        for k, s in items:
+            wanted = cut(s)
+            if wanted and len(wanted & held) / len(wanted) >= least:
+                out[i, k] = max(out.get((i, k), 0), len(wanted & held) / len(wanted))
+    return out
+
+
+def test_containment_is_brute_force(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randint(2, 6)))
+    text = lambda n: [word() for _ in range(n)]
+    items = [(k, text(n)) for k, n in enumerate([1, 3, 4, 5, 6, 7, 12, 20, 36, 59, 100, 333, 900])] + [(50, []), (51, None)]
+    docs = []
+    for i in range(300):
+        body = text(rng.choice([0, 1, 4, 10, 100, 2000]))
+        k, item = rng.choice(items)
+        if i % 2 and item:
+            item = list(item)
+            for _ in range(rng.choice([0, 0, 1, 2])):
+                item[rng.randrange(len(item))] = word()
+            at = rng.randint(0, len(body))
+            body = body[:at] + item + body[at:]
+        docs.append((i, " ".join(body).title() if i % 3 else "\n ".join(body)))
+    docs += [(900, None), (901, ""), (None, " ".join(items[7][1])), (5, docs[5][1])] + [(1000 + i, " ".join(items[8][1])) for i in range(200)]
+    items = [(k, None if t is None else " ".join(t)) for k, t in items] + [(None, "null id item of some more words here")]
+    docs += [(950, "x null ID item of some more words here y")]
+    df = spark.createDataFrame([(i, t, 0) for i, t in docs], "doc_id long, text string, item_id int").repartition(6)
+    it = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.containment for r in d.search(df, it).collect()}
+    assert got == brute(docs, items) and len(got) > 250
+    kept = d.clean(df, it)
+    bad = {i for i, _ in got}
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == sorted(i for i, _ in docs if i not in bad)
+    assert d.search(df.limit(0), it).isEmpty() and d.search(df, it.limit(0)).isEmpty() and d.clean(df, it.limit(0)).count() == len(docs)
+
+
+def test_signatures_of_blocks_and_windows():
+    hashes = d.shingle_hashes(" ".join(map(str, range(20_000))), 5)
+    fine = d.block_minima(hashes, 4)
+    assert np.array_equal(fine[7], (hashes[28:32, None] * d.MULTIPLIERS).min(axis=0)) and len(fine) == -(-len(hashes) // 4)
+    for u, signatures in d.window_signatures(hashes, [8, 16, 32]):
+        for w in (0, 5, len(signatures) - 1):
+            part = hashes[w * u // 2 : w * u // 2 + 3 * u // 2]
+            assert np.array_equal(signatures[w], (part[:, None] * d.MULTIPLIERS).min(axis=0))
