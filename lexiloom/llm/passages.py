@@ -125,3 +125,16 @@ def repeats(docs: DataFrame, *, least: int = 50, window: int = 20) -> DataFrame:
     total = F.aggregate("spans", F.lit(0), lambda a, s: a + s["stop"] - s["first"])
     said = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["first"], s["stop"])), ",")
     return out.select("doc_id", "n_words", total.alias("n_repeated"), said.alias("spans"))
+
+
+def oracle(least: int = 50) -> str:
+    """repeats() by brute force, in DuckDB SQL: every passage of ``least`` words of every document."""
+    return f"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\t-\\r ]+'), lambda w: w <> '') AS w FROM documents),
+    p AS (SELECT r, doc_id, len(w) AS n_words, i, md5(array_to_string(w[i + 1 : i + {least}], ' ')) AS passage FROM (SELECT *, unnest(range(len(w) - {least} + 1)) AS i FROM d WHERE len(w) >= {least})),
+    twice AS (SELECT passage FROM p GROUP BY 1 HAVING count(DISTINCT r) > 1),
+    s AS (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= {least} THEN 0 ELSE 1 END AS fresh FROM p SEMI JOIN twice USING (passage)),
+    g AS (SELECT *, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS k FROM s),
+    spans AS (SELECT r, doc_id, n_words, min(i) AS a, max(i) + {least} AS b FROM g GROUP BY r, doc_id, n_words, k)
+    SELECT doc_id, n_words::INTEGER AS n_words, sum(b - a)::INTEGER AS n_repeated, string_agg(a || '-' || b, ',' ORDER BY a) AS spans FROM spans GROUP BY r, doc_id, n_words
+    """

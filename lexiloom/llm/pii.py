@@ -175,3 +175,41 @@ def cleaned(docs: DataFrame, **limits) -> DataFrame:
     out = sanitise(docs, **limits)
     fresh = {"text": F.when(F.col("doc.text").isNotNull(), F.col("sanitised")), "n_chars": F.length(F.when(F.col("doc.text").isNotNull(), F.col("sanitised"))).cast("long")}
     return out.select(*[fresh[c].alias(c) if c in fresh else F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
+
+
+#: Fixed values of the contract.
+PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "card": r"[0-9](?:[ -]?[0-9])+", "phone": r"\+[0-9][ ().0-9-]+[0-9]"}
+
+
+def _located_sql(kind: str) -> str:
+    """kind, start, stop, value of each valid match, from the contract's own pattern."""
+    digits = "regexp_replace(value, '[^0-9]', '', 'g')"
+    luhn = f"list_sum(list_transform(range(1, length({digits}) + 1), lambda i: (CASE WHEN i % 2 = 1 THEN 1 ELSE 2 END * reverse({digits})[i]::INT) % 10 + (CASE WHEN i % 2 = 0 AND reverse({digits})[i]::INT > 4 THEN 1 ELSE 0 END))) % 10 = 0"
+    valid = {"email": "true", "ip": "list_bool_and(list_transform(string_split(value, '.'), lambda x: x::HUGEINT <= 255))", "card": f"length({digits}) BETWEEN 16 AND 19 AND {luhn}", "phone": f"length({digits}) BETWEEN 8 AND 15"}
+    return f"""SELECT row, '{kind}' AS kind, {KINDS.index(kind)} AS place, start::BIGINT AS start, start::BIGINT + length(value) AS stop, value FROM
+        (SELECT row, m[i] AS value, coalesce(list_sum(list_transform(g[1 : i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1 : i - 1], lambda x: length(x))), 0) AS start
+        FROM (SELECT row, m, g, unnest(range(1, len(m) + 1)) AS i FROM (SELECT row, regexp_extract_all(text, '{PLAIN[kind]}') AS m, regexp_split_to_array(text, '{PLAIN[kind]}') AS g FROM d))) WHERE {valid[kind]}"""
+
+
+def oracle(threshold: float = 0.8, removal: float = 0.95, support: int = 3, shortest: int = 4) -> str:
+    """report() in DuckDB SQL."""
+    terms_of = lambda x: f"unnest(list_distinct(list_filter(regexp_split_to_array(lower({x}), '[^\\p{{L}}]+'), lambda w: length(w) >= {shortest})))"
+    return f"""
+    WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+    spans AS ({" UNION ALL ".join(_located_sql(k) for k in KINDS)}),
+    sides AS (SELECT row, kind || ':' || CASE WHEN kind IN ('card', 'phone') THEN regexp_replace(value, '[^0-9]', '', 'g') ELSE lower(value) END AS entity,
+        regexp_extract(substr(text, 1, start), '[^\\n]*$') AS before, regexp_extract(substr(text, stop + 1), '^[^\\n]*') AS after FROM spans JOIN d USING (row)),
+    mentions AS (SELECT entity, regexp_extract(before, '\\S*\\s*$') || chr(0) || regexp_extract(after, '^\\s*\\S*') AS context, regexp_replace(before || ' ' || after, '{PLAIN["email"]}', ' ', 'g') AS line, count(*) AS n FROM sides GROUP BY ALL),
+    entities AS (SELECT entity, sum(n) AS fe FROM mentions GROUP BY 1 HAVING count(DISTINCT context) >= {support}),
+    pairs AS (SELECT entity, term, fe, sum(n) AS c FROM (SELECT entity, fe, n, context, {terms_of("line")} AS term FROM mentions JOIN entities USING (entity)) GROUP BY 1, 2, 3 HAVING count(DISTINCT context) >= {support}),
+    lines AS (SELECT unnest(string_split(text, chr(10))) AS line FROM d),
+    often AS (SELECT term, count(*) AS ft FROM (SELECT {terms_of("line")} AS term FROM lines) SEMI JOIN pairs USING (term) GROUP BY 1),
+    said AS (SELECT term, max(CASE WHEN n > fe THEN ln(c * n / (ft * fe)) / ln(n / fe) ELSE 0 END) AS share FROM pairs JOIN often USING (term), (SELECT count(*)::DOUBLE AS n FROM lines) GROUP BY 1 HAVING share >= {threshold}),
+    words AS (SELECT row, 1 + length(pre) AS start, w FROM (SELECT row, regexp_extract_all(text, '\\p{{L}}+') AS ws, regexp_split_to_array(text, '\\p{{L}}+') AS gs FROM d WHERE row IN (SELECT row FROM (SELECT row, {terms_of("text")} AS term FROM d) SEMI JOIN said USING (term)))
+        , LATERAL (SELECT unnest(range(1, len(ws) + 1)) AS i), LATERAL (SELECT ws[i] AS w, array_to_string(list_concat(gs[1 : i], ws[1 : i - 1]), '') AS pre)),
+    hits AS (SELECT row, CASE WHEN share >= {removal} THEN 'removed' ELSE 'term' END AS kind, 9 AS place, start - 1 AS start, start - 1 + length(w) AS stop FROM words JOIN said ON term = lower(w)),
+    together AS (SELECT row, kind, place, start, stop FROM spans UNION ALL SELECT * FROM hits),
+    per AS (SELECT row, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone, count(*) FILTER (place = 9) AS n_term,
+        coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY place, start) FILTER (place < 9), '') AS base, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY place, start) AS spans FROM together GROUP BY 1)
+    SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_term, 0) AS n_term FROM d LEFT JOIN per USING (row)
+    """

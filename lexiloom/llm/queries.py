@@ -72,6 +72,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op5_pii": pii.oracle(),
     "op6_licences": licences.oracle(),
     "op7_decontaminate": decontaminate.oracle(),
+    "op9_urls": urls.oracle(),
+    "op10_passages": passages.oracle(),
 }

@@ -98,3 +98,35 @@ def page_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
     marks = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min(good).alias("good"))
     named = with_host_and_path(pages).select("page_id", F.expr("try_cast(regexp_extract(path, '/([0-9]+)', 1) as bigint)").alias("doc_id"))
     return named.filter("doc_id is not null").join(marks, "doc_id").select("page_id", "good").distinct()
+
+
+def _strength_sql(table: str, n: str, good: str, least: float, most: float) -> str:
+    return f"""(SELECT greatest({least}, least({most}, coalesce(CASE WHEN n > nn / n AND spread > 0 THEN p * (1 - p) / spread - 1 ELSE {most} END, {most}))) FROM
+        (SELECT *, (gg - n * p * p - p * (1 - p) * (m - 1)) / (n - nn / n) AS spread FROM (SELECT *, good / n AS p FROM
+        (SELECT sum({n})::DOUBLE AS n, sum({good})::DOUBLE AS good, count(*)::DOUBLE AS m, sum({n} * {n})::DOUBLE AS nn, sum({good} * {good} / {n}) AS gg FROM {table}))))"""
+
+
+def oracle(least: float = 1.0, most: float = 1000.0, z: float = 1.645, threshold: float = 0.6) -> str:
+    """judge() over ``pages`` and page_outcomes() in DuckDB SQL."""
+    rules = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)
+    return f"""
+    WITH rest AS (SELECT page_id, CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+    raw AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS h FROM rest),
+    cut AS (SELECT page_id, translate(h, '{UPPER}', '{LOWER}') AS host, regexp_extract(substr(rest, length(h) + 1), '^[^?#]*') AS path FROM raw),
+    marks AS (SELECT doc_id, min(CASE WHEN quality = 1 AND coalesce(toxic, 0) = 0 THEN 1 ELSE 0 END) AS good FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY 1),
+    outcomes AS (SELECT DISTINCT page_id, good FROM cut JOIN marks ON doc_id = try_cast(regexp_extract(path, '/([0-9]+)', 1) AS BIGINT)),
+    h AS (SELECT host, string_split(host, '.') AS parts, count(*) AS n, sum(good)::BIGINT AS good FROM cut JOIN outcomes USING (page_id) GROUP BY 1),
+    hosts AS (SELECT host, array_to_string(parts[-2:], '.') AS domain, parts[-1] AS suffix, n, good FROM h),
+    domains AS (SELECT domain, suffix, sum(n)::BIGINT AS dn, sum(good)::BIGINT AS dgood FROM hosts GROUP BY 1, 2),
+    suffixes AS (SELECT suffix, sum(dn)::BIGINT AS sn, sum(dgood)::BIGINT AS sgood FROM domains GROUP BY 1),
+    k AS (SELECT {_strength_sql("hosts", "n", "good", least, most)} AS hk, {_strength_sql("domains", "dn", "dgood", least, most)} AS dk, {_strength_sql("suffixes", "sn", "sgood", least, most)} AS sk,
+        (SELECT coalesce(sum(sgood) / sum(sn), 0.5) FROM suffixes) AS overall),
+    known AS (SELECT a.host, coalesce(h.n, 0) AS n, coalesce(h.good, 0) AS good, coalesce(dn, 0) AS dn, coalesce(dgood, 0) AS dgood, coalesce(sn, 0) AS sn, coalesce(sgood, 0) AS sgood
+        FROM (SELECT DISTINCT host, array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix FROM cut) a
+        LEFT JOIN hosts h ON h.host = a.host LEFT JOIN domains d ON d.domain = a.domain LEFT JOIN suffixes s ON s.suffix = a.suffix),
+    means AS (SELECT host, n, hk, (good + hk * (dgood + dk * (sgood + sk * overall) / (sn + sk)) / (dn + dk)) / (n + hk) AS mean FROM known, k),
+    judged AS (SELECT host, CASE WHEN mean - {z} * sqrt(mean * (1 - mean) / (n + hk + 1)) < {threshold} THEN 'block' ELSE 'allow' END AS reputed FROM means),
+    ruled AS (SELECT host, path, arg_max(r.h || r.p, length(r.h || r.p)) AS rule, arg_max(r.v, length(r.h || r.p)) AS verdict FROM (SELECT DISTINCT host, path FROM cut) c
+        JOIN (VALUES {rules}) r(v, h, p) ON (host = r.h OR ends_with(host, '.' || r.h)) AND starts_with(path, r.p) GROUP BY 1, 2)
+    SELECT page_id, c.host, c.path, r.rule, coalesce(r.verdict, j.reputed) AS verdict FROM cut c JOIN judged j USING (host) LEFT JOIN ruled r ON r.host = c.host AND r.path = c.path
+    """
