@@ -96,8 +96,9 @@ def repeats(docs: DataFrame, *, least: int = 50, window: int = 20) -> DataFrame:
     rows = materialise(texts.mapInPandas(suffixes, "doc_id long, text_id long, at int, key long"), "suffixes")
     of_docs = rows.filter("key is null").select("doc_id", "text_id", F.col("at").alias("n_words"))
     kept = rows.filter("key is not null").select("text_id", "at", "key")
-    shared = kept.groupBy("key").agg(F.min("text_id").alias("a"), F.max("text_id").alias("b")).filter("a <> b").select("key")
-    matches = kept.join(shared, "key").groupBy("text_id").agg(F.collect_set("at").alias("matched"))
+    # what is joined is written first: then both sides are plain exchanges, and hot keys are split at run time
+    shared = materialise(kept.groupBy("key").agg(F.min("text_id").alias("a"), F.max("text_id").alias("b")).filter("a <> b").select("key"), "shared")
+    matches = materialise(kept.join(shared, "key").groupBy("text_id").agg(F.collect_set("at").alias("matched")), "matches")
 
     def extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -112,6 +113,7 @@ def repeats(docs: DataFrame, *, least: int = 50, window: int = 20) -> DataFrame:
     wanted = texts.select("text_id", "text").join(matches, "text_id").groupBy("text_id", "text").agg(F.first("matched").alias("matched"))
     around = materialise(wanted.mapInPandas(extend, "text_id long, at int, passage long"), "passages")
     twice = around.groupBy("passage").agg(F.min("text_id").alias("a"), F.max("text_id").alias("b")).filter("a <> b").select("passage")
+    twice = materialise(twice, "twice")
     starts = around.join(twice, "passage").groupBy("text_id").agg(F.array_sort(F.collect_set("at")).alias("starts"))
 
     ends = F.transform("starts", lambda x, i: F.when((i == 0) | (x > F.get("starts", i - 1) + least), x))
@@ -119,7 +121,8 @@ def repeats(docs: DataFrame, *, least: int = 50, window: int = 20) -> DataFrame:
     stops = F.transform("starts", lambda x, i: F.when(F.coalesce(F.get("starts", i + 1) > x + least, F.lit(True)), x + least))
     spans = spans.select("text_id", F.arrays_zip("first", F.filter(stops, lambda x: x.isNotNull()).alias("stop")).alias("spans"))
     copies = of_docs.groupBy("text_id").agg(F.count("*").alias("n")).filter("n > 1").select("text_id", F.lit(True).alias("copied"))
-    out = of_docs.join(spans, "text_id", "left").join(copies, "text_id", "left").filter("copied or spans is not null")
+    found = materialise(spans.join(copies, "text_id", "full"), "spans")
+    out = of_docs.join(found, "text_id")
     whole = F.array(F.struct(F.lit(0).alias("first"), F.col("n_words").alias("stop")))
     out = out.withColumn("spans", F.when(F.col("copied"), whole).otherwise(F.col("spans")))
     total = F.aggregate("spans", F.lit(0), lambda a, s: a + s["stop"] - s["first"])
