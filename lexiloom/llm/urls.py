@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import materialise
+
 #: Fixed values of the contract: (verdict, host, path).
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -45,27 +47,24 @@ def _strength(counts: DataFrame, least: float, most: float) -> DataFrame:
     return sums.select(F.greatest(F.lit(least), F.least(F.lit(most), F.coalesce(kappa, F.lit(most)))).alias("kappa"))
 
 
-def reputation(hosts: DataFrame, outcomes: DataFrame, *, least: float = 1.0, most: float = 1000.0, z: float = 1.645) -> DataFrame:
-    """``host, n, mean, bound`` for each of ``hosts`` (host: distinct), from ``outcomes`` (host, good: 0 or 1).
+def reputation(counts: DataFrame, *, least: float = 1.0, most: float = 1000.0, z: float = 1.645) -> DataFrame:
+    """``host, n, mean, bound`` for each row of ``counts`` (host: distinct; n, good: its labelled and good pages).
 
     The registered domain is a host's last two labels, the suffix its last one. With no outcomes at all every mean is
-    one half. Outcomes with null are left out. Only sums meet in one task: three rows of them for each part.
+    one half. Only sums meet in one task: three rows of them for each part.
     """
     domain = F.substring_index("host", ".", -2).alias("domain")
     suffix = F.substring_index("host", ".", -1).alias("suffix")
-    counted = outcomes.filter("host is not null and good is not null").groupBy("host").agg(F.count("*").alias("n"), F.sum("good").alias("good"))
-    hosts_n = counted.select("host", domain, suffix, "n", "good")
-    domains_n = hosts_n.groupBy("domain", "suffix").agg(F.sum("n").alias("dn"), F.sum("good").alias("dgood"))
-    suffixes_n = domains_n.groupBy("suffix").agg(F.sum("dn").alias("sn"), F.sum("dgood").alias("sgood"))
-    everything = suffixes_n.agg((F.coalesce(F.sum("sgood") / F.sum("sn"), F.lit(0.5))).alias("overall"))
-    kappas = (
-        _strength(hosts_n, least, most).withColumnRenamed("kappa", "hk")
-        .crossJoin(F.broadcast(_strength(domains_n.select(F.col("dn").alias("n"), F.col("dgood").alias("good")), least, most).withColumnRenamed("kappa", "dk")))
-        .crossJoin(F.broadcast(_strength(suffixes_n.select(F.col("sn").alias("n"), F.col("sgood").alias("good")), least, most).withColumnRenamed("kappa", "sk")))
-        .crossJoin(F.broadcast(everything))
-    )
-    known = hosts.select("host", domain, suffix).join(hosts_n.select("host", "n", "good"), "host", "left")
-    known = known.join(domains_n.drop("suffix"), "domain", "left").join(suffixes_n, "suffix", "left").na.fill(0, ["n", "good", "dn", "dgood", "sn", "sgood"])
+    hosts = counts.select("host", domain, suffix, "n", "good")
+    labelled = hosts.filter("n > 0")
+    domains = labelled.groupBy("domain", "suffix").agg(F.sum("n").alias("dn"), F.sum("good").alias("dgood"))
+    suffixes = domains.groupBy("suffix").agg(F.sum("dn").alias("sn"), F.sum("dgood").alias("sgood"))
+    everything = suffixes.agg((F.coalesce(F.sum("sgood") / F.sum("sn"), F.lit(0.5))).alias("overall"))
+    kappas = everything
+    for name, groups in (("hk", labelled), ("dk", domains.select(F.col("dn").alias("n"), F.col("dgood").alias("good"))), ("sk", suffixes.select(F.col("sn").alias("n"), F.col("sgood").alias("good")))):
+        # one row each
+        kappas = kappas.crossJoin(F.broadcast(_strength(groups, least, most).withColumnRenamed("kappa", name)))
+    known = hosts.join(domains.drop("suffix"), "domain", "left").join(suffixes, "suffix", "left").na.fill(0, ["dn", "dgood", "sn", "sgood"])
     known = known.crossJoin(F.broadcast(kappas))
     known = known.withColumn("smean", (F.col("sgood") + F.col("sk") * F.col("overall")) / (F.col("sn") + F.col("sk")))
     known = known.withColumn("dmean", (F.col("dgood") + F.col("dk") * F.col("smean")) / (F.col("dn") + F.col("dk")))
@@ -82,8 +81,9 @@ def judge(pages: DataFrame, outcomes: DataFrame, *, rules: list[tuple[str, str,
     urls have the empty host, which has a reputation like any other; repeated rows stay; an empty table gives no rows.
     """
     cut = with_host_and_path(pages)
-    seen = cut.select("page_id", "host").join(outcomes.select("page_id", "good"), "page_id").select("host", "good")
-    known = reputation(cut.select("host").distinct(), seen, **fit)
+    seen = cut.select("page_id", "host").join(outcomes.filter("good is not null").select("page_id", "good"), "page_id", "left")
+    counts = seen.groupBy("host").agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"))
+    known = reputation(materialise(counts, "hosts"), **fit)
     verdict = F.when(F.col("bound") < threshold, "block").otherwise("allow")
     out = cut.join(known.select("host", verdict.alias("reputed")), "host").withColumn("found", rule_of(F.col("host"), F.col("path"), rules))
     return out.select("page_id", "host", "path", F.col("found.rule").alias("rule"), F.coalesce("found.verdict", "reputed").alias("verdict"))

@@ -53,9 +53,9 @@ def strength(groups):
 
 def test_reputation_is_brute_force(spark):
     data = {"a.x.com": (50, 5), "b.x.com": (4, 4), "c.y.com": (200, 190), "d.z.org": (1, 0), "": (3, 3), "only": (10, 1)}
-    outcomes = [(h, 1 if i < g else 0) for h, (n, g) in data.items() for i in range(n)] + [(None, 1), ("a.x.com", None)]
     hosts = [*data, "new.x.com", "new.w.net"]
-    got = {r.host: r for r in urls.reputation(spark.createDataFrame([(h,) for h in hosts], "host string"), spark.createDataFrame(outcomes, "host string, good int")).collect()}
+    counts = spark.createDataFrame([(h, *data.get(h, (0, 0))) for h in hosts], "host string, n long, good long")
+    got = {r.host: r for r in urls.reputation(counts).collect()}
     up = lambda h, k: ".".join(h.split(".")[-k:])
     level = lambda k: {d: tuple(sum(data[h][i] for h in data if up(h, k) == d) for i in (0, 1)) for d in {up(h, k) for h in data}}
     dom, suf = level(2), level(1)
@@ -70,7 +70,7 @@ def test_reputation_is_brute_force(spark):
         mean = (g + hk * dmean) / (n + hk)
         bound = mean - 1.645 * (mean * (1 - mean) / (n + hk + 1)) ** 0.5
         assert abs(got[h].mean - mean) < 1e-9 and abs(got[h].bound - bound) < 1e-9, h
-    bad = urls.judge(spark.createDataFrame([(1, "http://a.x.com/q"), (2, "http://c.y.com/")], "page_id long, url string"), spark.createDataFrame([(1, 0)] * 40 + [(2, 1)] * 40, "page_id long, good int"))
+    bad = urls.judge(spark.createDataFrame([(1, "http://a.x.com/q"), (2, "http://c.y.com/")], "page_id long, url string"), spark.createDataFrame([(1, 0)] * 40 + [(2, 1)] * 40 + [(None, 1), (2, None)], "page_id long, good int"))
     assert {r.page_id: r.verdict for r in bad.collect()} == {1: "block", 2: "allow"}
 
 
