@@ -109,14 +109,15 @@ def disclosing(found: DataFrame, *, threshold: float = 0.8, removal: float = 0.9
     mentions = materialise(mentions.groupBy("entity", context.alias("context"), line.alias("line")).agg(F.count("*").alias("n")), "mentions")
     contexts = mentions.groupBy("entity", "context").agg(F.sum("n").alias("n"))
     entities = contexts.groupBy("entity").agg(F.sum("n").alias("fe"), F.count("*").alias("contexts")).filter(F.col("contexts") >= support)
+    entities = materialise(entities, "entities")
     pairs = mentions.join(entities, "entity").select("entity", "fe", "n", "context", F.explode(terms(F.col("line"))).alias("term"))
     pairs = pairs.groupBy("entity", "term", "fe", "context").agg(F.sum("n").alias("n"))
     pairs = pairs.groupBy("entity", "term", "fe").agg(F.sum("n").alias("c"), F.count("*").alias("met")).filter(F.col("met") >= support)
     pairs = materialise(pairs, "pairs")
-    wanted = pairs.select("term").distinct()
+    wanted = materialise(pairs.select("term").distinct(), "terms")
     lines = found.select(F.explode(F.split("text", "\n")).alias("line"))
     total = found.agg(F.sum(F.size(F.split("text", "\n"))).alias("lines"))
-    often = lines.select(F.explode(terms(F.col("line"))).alias("term")).join(wanted, "term").groupBy("term").agg(F.count("*").alias("ft"))
+    often = lines.select(F.explode(terms(F.col("line"))).alias("term")).groupBy("term").agg(F.count("*").alias("ft")).join(wanted, "term")
     share = F.ln(F.col("c") * F.col("lines") / (F.col("ft") * F.col("fe"))) / F.ln(F.col("lines") / F.col("fe"))
     # one row of totals
     scored = pairs.join(often, "term").crossJoin(F.broadcast(total)).select("term", F.when(F.col("lines") > F.col("fe"), share).otherwise(0.0).alias("share"))
