@@ -87,10 +87,10 @@ def entity(kind: Column, value: Column) -> Column:
 
 
 def detect(docs: DataFrame) -> DataFrame:
-    """``row, doc`` (all columns of ``docs`` as they are), ``text`` and the spans of each kind, written once."""
+    """``row, doc`` (all columns of ``docs`` as they are) and the spans of each kind, written once."""
     found = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), whole_text().alias("text"))
-    found = found.select(F.monotonically_increasing_id().alias("row"), "doc", "text", *[base_spans(F.col("text"), k).alias(k) for k in KINDS])
-    return materialise(found, "personal")
+    found = found.select(F.monotonically_increasing_id().alias("row"), "doc", *[base_spans(F.col("text"), k).alias(k) for k in KINDS])
+    return materialise(found, "personal").withColumn("text", F.coalesce("doc.text", F.lit("")))
 
 
 def disclosing(found: DataFrame, *, threshold: float = 0.8, removal: float = 0.95, support: int = 3) -> DataFrame:
@@ -101,10 +101,10 @@ def disclosing(found: DataFrame, *, threshold: float = 0.8, removal: float = 0.9
     """
     spans = F.explode(F.concat(*KINDS)).alias("s")
     here = found.filter(F.size(F.concat(*KINDS)) > 0).select("text", spans)
-    before = F.regexp_extract(F.expr("left(text, s.start)"), r"[^\n]*$", 0)
-    after = F.regexp_extract(F.expr("substring(text, s.stop + 1)"), r"^[^\n]*", 0)
+    before = F.substring_index(F.expr("left(text, s.start)"), "\n", -1)
+    after = F.substring_index(F.expr("substring(text, s.stop + 1)"), "\n", 1)
     mentions = here.select(entity(F.col("s.kind"), F.col("s.value")).alias("entity"), before.alias("before"), after.alias("after"))
-    context = F.xxhash64(F.regexp_extract("before", r"\S*\s*$", 0), F.regexp_extract("after", r"^\s*\S*", 0))
+    context = F.xxhash64(F.substring_index(F.rtrim("before"), " ", -1), F.substring_index(F.ltrim("after"), " ", 1))
     line = F.regexp_replace(F.concat_ws(" ", "before", "after"), PATTERNS["email"], " ")
     mentions = materialise(mentions.groupBy("entity", context.alias("context"), line.alias("line")).agg(F.count("*").alias("n")), "mentions")
     contexts = mentions.groupBy("entity", "context").agg(F.sum("n").alias("n"))
@@ -165,7 +165,7 @@ def sanitise(docs: DataFrame, **limits) -> DataFrame:
 
 def report(docs: DataFrame, **limits) -> DataFrame:
     """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans`` of each row, and n_term; see sanitise()."""
-    out = sanitise(docs, **limits)
+    out = sanitise(docs.select("doc_id", "text"), **limits)
     counts = [F.size(k).cast("long").alias(f"n_{k}") for k in [*KINDS, "term"]]
     base = F.sha2(written(F.concat(*KINDS)), 256)
     return out.select("doc.doc_id", *counts[:4], base.alias("base_sha256"), written(F.col("all")).alias("spans"), counts[4])
@@ -199,8 +199,8 @@ def oracle(threshold: float = 0.8, removal: float = 0.95, support: int = 3, shor
     WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
     spans AS ({" UNION ALL ".join(_located_sql(k) for k in KINDS)}),
     sides AS (SELECT row, kind || ':' || CASE WHEN kind IN ('card', 'phone') THEN regexp_replace(value, '[^0-9]', '', 'g') ELSE lower(value) END AS entity,
-        regexp_extract(substr(text, 1, start), '[^\\n]*$') AS before, regexp_extract(substr(text, stop + 1), '^[^\\n]*') AS after FROM spans JOIN d USING (row)),
-    mentions AS (SELECT entity, regexp_extract(before, '\\S*\\s*$') || chr(0) || regexp_extract(after, '^\\s*\\S*') AS context, regexp_replace(before || ' ' || after, '{PLAIN["email"]}', ' ', 'g') AS line, count(*) AS n FROM sides GROUP BY ALL),
+        string_split(substr(text, 1, start), chr(10))[-1] AS before, string_split(substr(text, stop + 1), chr(10))[1] AS after FROM spans JOIN d USING (row)),
+    mentions AS (SELECT entity, string_split(rtrim(before), ' ')[-1] || chr(0) || string_split(ltrim(after), ' ')[1] AS context, regexp_replace(before || ' ' || after, '{PLAIN["email"]}', ' ', 'g') AS line, count(*) AS n FROM sides GROUP BY ALL),
     entities AS (SELECT entity, sum(n) AS fe FROM mentions GROUP BY 1 HAVING count(DISTINCT context) >= {support}),
     pairs AS (SELECT entity, term, fe, sum(n) AS c FROM (SELECT entity, fe, n, context, {terms_of("line")} AS term FROM mentions JOIN entities USING (entity)) GROUP BY 1, 2, 3 HAVING count(DISTINCT context) >= {support}),
     lines AS (SELECT unnest(string_split(text, chr(10))) AS line FROM d),
