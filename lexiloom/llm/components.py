@@ -11,13 +11,13 @@ from .shared import materialise
 def _large(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is joined to the least node of its neighbourhood."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+    least = materialise(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "least")
     return both.join(least, "a").filter("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small(edges: DataFrame) -> DataFrame:
     """A node and its smaller neighbours are joined to the least of them. edges: a > b."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    least = materialise(edges.groupBy("a").agg(F.min("b").alias("m")), "least")
     moved = edges.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b")))
 
@@ -26,7 +26,8 @@ def components(edges: DataFrame) -> DataFrame:
     """``edges`` (a, b: long) to ``node, component``: a row for each node of an edge, with the least node it reaches.
 
     Only minima are gathered, and they combine before the shuffle, so that a node with very many edges makes no
-    large group; each round is written to the shared folder. Loops and nulls are left out; no edges, no rows.
+    large group. Minima and edges are written to the shared folder before they are joined: then both sides are plain
+    exchanges, and the rows of such a node are split at run time. Loops and nulls are left out; no edges, no rows.
     """
     now = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now = materialise(now, "edges")
@@ -35,6 +36,6 @@ def components(edges: DataFrame) -> DataFrame:
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == seen or not state[0]:
             break
-        seen, now = state, materialise(_small(_large(now)).distinct(), "edges")
+        seen, now = state, materialise(_small(materialise(_large(now), "edges")).distinct(), "edges")
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)

@@ -173,8 +173,8 @@ def near_duplicates(docs: DataFrame, *, width: int = 3, largest: int = 4096) ->
     distinct = materialise(of.groupBy("fingerprint").agg(F.min("doc_id").alias("least")), "prints")
     linked = components(links(distinct.select("fingerprint"), largest))
     grouped = distinct.join(linked, distinct["fingerprint"] == linked["node"], "left")
-    grouped = grouped.select("fingerprint", "least", F.coalesce("component", "fingerprint").alias("group"))
-    names = grouped.groupBy("group").agg(F.min("least").alias("component_id"))
+    grouped = materialise(grouped.select("fingerprint", "least", F.coalesce("component", "fingerprint").alias("group")), "grouped")
+    names = materialise(grouped.groupBy("group").agg(F.min("least").alias("component_id")), "names")
     named = grouped.join(names, "group").select("fingerprint", "component_id")
     digits = F.lower(F.lpad(F.hex("fingerprint"), 16, "0"))
     return of.join(named, "fingerprint").select("doc_id", digits.alias("fingerprint"), "component_id")
