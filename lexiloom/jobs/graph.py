@@ -21,12 +21,13 @@ def relations(found: DataFrame, relation: str = "CO_OCCURS") -> DataFrame:
     """``source, target, relation_type, pair_chunks, confidence``: names that share chunks, the source the lesser.
 
     Pairs are made inside each chunk's own sorted list of distinct names, which a chunk's size bounds. Confidence is the
-    share of the rarer name's chunks that have both.
+    share of the rarer name's chunks that have both. The names' counts are written before the joins, so that both sides
+    are plain exchanges and the pairs of hot names are split at run time.
     """
     lists = found.groupBy("chunk_id").agg(F.array_sort(F.collect_set("name")).alias("names"))
     pairs = F.flatten(F.transform("names", lambda a, i: F.transform(F.slice("names", i + 2, F.size("names")), lambda b: F.struct(a.alias("source"), b.alias("target")))))
     n = lists.select(F.explode(pairs).alias("p")).groupBy("p.source", "p.target").agg(F.count("*").alias("pair_chunks"))
-    often = found.groupBy("name").agg(F.count_distinct("chunk_id").alias("chunks"))
+    often = written(found.groupBy("name").agg(F.count_distinct("chunk_id").alias("chunks")), "names")
     a, b = (often.select(F.col("name").alias(x), F.col("chunks").alias(f"{x}_chunks")) for x in ("source", "target"))
     share = F.col("pair_chunks") / F.least("source_chunks", "target_chunks")
     return n.join(a, "source").join(b, "target").select("source", "target", F.lit(relation).alias("relation_type"), "pair_chunks", share.alias("confidence"))
@@ -38,8 +39,8 @@ def resolve(entities: DataFrame) -> DataFrame:
 
 
 def with_canonical(entities: DataFrame, resolved: DataFrame) -> DataFrame:
-    """Each entity with its canonical_id; hot names are left to the adaptive skew join."""
-    named = resolved.select(F.col("name").alias("__name"), F.col("entity_type").alias("__type"), "canonical_id")
+    """Each entity with its canonical_id. ``resolved`` is written first, so that hot names are split at run time."""
+    named = written(resolved, "resolved").select(F.col("name").alias("__name"), F.col("entity_type").alias("__type"), "canonical_id")
     return entities.join(named, (F.lower(F.trim("name")) == F.col("__name")) & (F.col("entity_type") == F.col("__type"))).drop("__name", "__type")
 
 

@@ -1,0 +1,45 @@
+"""What the plans of the jobs look like: filters and columns reach the scan, and nothing shuffles without need."""
+
+from pyspark.sql import functions as F
+
+from lexiloom.functions.vectors import nearest
+from lexiloom.jobs import catalog, graph, ingest
+from lexiloom.operators import read
+from lexiloom.sources.adapters import Model
+
+from .conftest import DATA
+
+SF = f"{DATA}/sf0.001"
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_filters_and_columns_reach_the_scan(spark):
+    out = plan(read.where(Model(spark, SF).raw("orders"), "o_totalprice > 200000").select("o_orderkey"))
+    assert "PushedFilters: [IsNotNull(o_totalprice), GreaterThan(o_totalprice,200000.0)]" in out
+    assert "ReadSchema: struct<o_orderkey:bigint,o_totalprice:double>" in out
+
+
+def test_chunks_and_mentions_need_no_shuffle(spark):
+    m = Model(spark, SF)
+    assert "Exchange" not in plan(m.chunks()) and "Exchange" not in plan(m.mentions())
+
+
+def test_a_page_after_a_key_sorts_nothing_before_it(spark):
+    out = plan(read.page_after(Model(spark, SF).raw("orders"), "o_orderkey", 500, 40))
+    assert "TakeOrderedAndProject" in out and "GreaterThan(o_orderkey,500)" in out
+
+
+def test_nearest_moves_only_candidates(spark):
+    m = Model(spark, SF)
+    out = plan(nearest(catalog._queries(m), m.vectors(), 5))
+    assert "CartesianProduct" not in out and "BroadcastNestedLoopJoin" not in out and "MapInPandas" in out
+
+
+def test_no_python_and_no_product_in_graph_jobs(spark):
+    m = Model(spark, SF)
+    for df in (graph.relations(m.mentions()), graph.document_summary(m.mentions()), ingest.hashed_counts(m.chunks().withColumn("k", F.col("id")), "k", "content"), m.citations()):
+        out = plan(df)
+        assert "Python" not in out and "Pandas" not in out and "CartesianProduct" not in out
