@@ -153,7 +153,7 @@ def search(docs: DataFrame, items: DataFrame, *, width: int = 5, containment: fl
 def clean(docs: DataFrame, items: DataFrame, **settings) -> DataFrame:
     """The rows of ``docs`` that hold none of ``items``, all columns kept; rows with a null doc_id are judged together."""
     bad = search(docs, items, **settings).select(F.col("doc_id").alias("held_by")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("held_by")), "left_anti")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["held_by"]), "left_anti")
 
 
 def oracle(width: int = 5, containment: float = 0.8) -> str:

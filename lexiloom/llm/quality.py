@@ -158,3 +158,9 @@ def score(docs: DataFrame, machine: Machine, *, threshold: float = 0.3) -> DataF
 
     out = docs.withColumn("score", scored(whole_text()))
     return out.withColumn("held_out", held_out(F.col("doc_id"))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def accepted(docs: DataFrame, machine: Machine, *, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` that the machine doesn't reject, with all their columns as they are; see score()."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("doc_id"), F.col("text"))
+    return score(rows, machine, threshold=threshold).filter("predicted = 1").select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
