@@ -677,11 +677,8 @@ def g6_concept_map(m):
     "citations", "mentions",
 )
 def r1_retrieve(m):
-    best = chat.top_citations(m.citations().drop("rank"), 2)
-    hits = best.join(m.chunks().select(F.col("id").alias("chunk_id"), "document_id", "chunk_index"), "chunk_id")
-    wide = ingest.around(hits, m.chunks(), 1)
-    facts = m.mentions().select(F.col("chunk_id").alias("id"), "name")
-    return wide.join(facts, "id", "left").groupBy("document_id", "chunk_index").agg(F.count("name").alias("facts"))
+    hits = chat.top_citations(m.citations().drop("rank"), 2)
+    return chat.ground(hits, m.chunks(), m.mentions()).select("document_id", "chunk_index", "facts")
 
 
 @query("SELECT message_id, chunk_id, relevance_score, rank FROM citations", "citations")

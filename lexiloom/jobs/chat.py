@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ingest import around
+
 
 def history(messages: DataFrame, last: int | None = None) -> DataFrame:
     """Messages with their ``turn`` in the session, from 1, by time and id; only the ``last`` ones if given."""
@@ -84,3 +86,15 @@ def prompts(messages: DataFrame, sessions: DataFrame, citations: DataFrame, chun
     wide = sessions.select(F.col("id").alias("session_id")).join(turns, "session_id").join(texts, "session_id", "left")
     facts = F.concat(F.array(F.lit(system)), F.coalesce(F.col("facts.content"), F.array().cast("array<string>")), F.col("turns.said"))
     return wide.select("session_id", F.array_join(facts, "\n").alias("prompt"))
+
+
+def ground(hits: DataFrame, chunks: DataFrame, found: DataFrame, width: int = 1) -> DataFrame:
+    """What answers rest on: ``hits`` (chunk_id) widened to ``width`` chunks either side, each with its graph facts.
+
+    ``found``: mentions (chunk_id, name). Returns document_id, chunk_index, page_number, content and facts, the number
+    of concepts; a chunk near several hits comes once. Hits may come from any search.
+    """
+    at = hits.select("chunk_id").distinct().join(chunks.select(F.col("id").alias("chunk_id"), "document_id", "chunk_index"), "chunk_id")
+    facts = found.groupBy(F.col("chunk_id").alias("id")).agg(F.count("name").alias("facts"))
+    wide = around(at, chunks, width).join(facts, "id", "left")
+    return wide.select("document_id", "chunk_index", "page_number", "content", F.coalesce("facts", F.lit(0)).alias("facts"))

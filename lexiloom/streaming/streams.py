@@ -19,16 +19,15 @@ def ingest(stream: DataFrame, target: str, checkpoint: str, *, key: str = "doc_i
     """Chunk the documents that have arrived and append the chunks to ``target``, each once, however often it is retried.
 
     Chunks have ids that depend on document and index alone, and each batch has a folder of its own that a retry
-    overwrites; documents that came in an earlier batch are left out.
+    overwrites; documents that came in another batch are left out. So a lost checkpoint doubles nothing either.
     """
     spark = stream.sparkSession
 
     def append(batch: DataFrame, number: int) -> None:
         docs = batch.dropDuplicates([key])
         path = spark._jvm.org.apache.hadoop.fs.Path(target)
-        if number and path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-            known = spark.read.parquet(f"{target}/batch=*").select(F.col("document_id").alias(key), F.input_file_name().alias("file"))
-            known = known.filter(~F.col("file").contains(f"/batch={number}/"))
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            known = spark.read.option("basePath", target).parquet(target).filter(F.col("batch") != number).select(F.col("document_id").alias(key))
             docs = docs.join(known.select(key).distinct(), key, "left_anti")
         chunks = chunk(docs, text=text, key=key)
         chunks.withColumn("id", id_from(F.col("document_id"), F.col("chunk_index"))).write.mode("overwrite").parquet(f"{target}/batch={number}")

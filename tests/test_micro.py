@@ -230,3 +230,5 @@ def test_ingest_again_adds_only_what_is_new(spark, tmp_path):
     spark.createDataFrame([(2, "two"), (3, "three")], rows).coalesce(1).write.mode("append").parquet(src)
     run()
     assert values(spark.read.parquet(f"{out}/batch=*"), "document_id") == [(1,), (2,), (3,)]
+    streams.ingest(streams.read_files(spark, src, spark.createDataFrame([], rows).schema), out, f"{mark}-lost")
+    assert values(spark.read.parquet(f"{out}/batch=*"), "document_id") == [(1,), (2,), (3,)]
