@@ -96,14 +96,18 @@ def detect(docs: DataFrame) -> DataFrame:
 def disclosing(found: DataFrame, *, threshold: float = 0.8, removal: float = 0.95, support: int = 3) -> DataFrame:
     """``term, share, removed``: the terms that reveal an entity of ``found``, the result of detect().
 
-    A term needs ``support`` different contexts of the same entity, so that copies of one line prove nothing; a context
-    is the words next to the entity on either side. Counts run over all lines of all documents.
+    A term needs ``support`` different contexts of the same entity, none of them over half of its lines, so that copies
+    and near copies of one line prove nothing; a context is the words next to the entity on either side. Counts run
+    over all lines of all documents.
     """
     spans = F.explode(F.concat(*KINDS)).alias("s")
-    here = found.filter(F.size(F.concat(*KINDS)) > 0).select("text", spans)
+    here = found.filter(F.size(F.concat(*KINDS)) > 0).select("row", "text", spans)
     before = F.substring_index(F.expr("left(text, s.start)"), "\n", -1)
     after = F.substring_index(F.expr("substring(text, s.stop + 1)"), "\n", 1)
-    mentions = here.select(entity(F.col("s.kind"), F.col("s.value")).alias("entity"), before.alias("before"), after.alias("after"))
+    number = F.size(F.split(F.expr("left(text, s.start)"), "\n"))
+    mentions = here.select("row", number.alias("number"), entity(F.col("s.kind"), F.col("s.value")).alias("entity"), "s.start", before.alias("before"), after.alias("after"))
+    # a line that has an entity twice is one line
+    mentions = mentions.groupBy("row", "number", "entity").agg(F.min_by("before", "start").alias("before"), F.min_by("after", "start").alias("after"))
     context = F.xxhash64(F.substring_index(F.rtrim("before"), " ", -1), F.substring_index(F.ltrim("after"), " ", 1))
     line = F.regexp_replace(F.concat_ws(" ", "before", "after"), PATTERNS["email"], " ")
     mentions = materialise(mentions.groupBy("entity", context.alias("context"), line.alias("line")).agg(F.count("*").alias("n")), "mentions")
@@ -112,7 +116,8 @@ def disclosing(found: DataFrame, *, threshold: float = 0.8, removal: float = 0.9
     entities = materialise(entities, "entities")
     pairs = mentions.join(entities, "entity").select("entity", "fe", "n", "context", F.explode(terms(F.col("line"))).alias("term"))
     pairs = pairs.groupBy("entity", "term", "fe", "context").agg(F.sum("n").alias("n"))
-    pairs = pairs.groupBy("entity", "term", "fe").agg(F.sum("n").alias("c"), F.count("*").alias("met")).filter(F.col("met") >= support)
+    pairs = pairs.groupBy("entity", "term", "fe").agg(F.sum("n").alias("c"), F.count("*").alias("met"), F.max("n").alias("most"))
+    pairs = pairs.filter((F.col("met") >= support) & (F.col("most") * 2 <= F.col("c")))
     pairs = materialise(pairs, "pairs")
     wanted = materialise(pairs.select("term").distinct(), "terms")
     lines = found.select(F.explode(F.split("text", "\n")).alias("line"))
@@ -198,11 +203,13 @@ def oracle(threshold: float = 0.8, removal: float = 0.95, support: int = 3, shor
     return f"""
     WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
     spans AS ({" UNION ALL ".join(_located_sql(k) for k in KINDS)}),
-    sides AS (SELECT row, kind || ':' || CASE WHEN kind IN ('card', 'phone') THEN regexp_replace(value, '[^0-9]', '', 'g') ELSE lower(value) END AS entity,
-        string_split(substr(text, 1, start), chr(10))[-1] AS before, string_split(substr(text, stop + 1), chr(10))[1] AS after FROM spans JOIN d USING (row)),
+    every AS (SELECT row, start, kind || ':' || CASE WHEN kind IN ('card', 'phone') THEN regexp_replace(value, '[^0-9]', '', 'g') ELSE lower(value) END AS entity,
+        len(string_split(substr(text, 1, start), chr(10))) AS number, string_split(substr(text, 1, start), chr(10))[-1] AS before, string_split(substr(text, stop + 1), chr(10))[1] AS after FROM spans JOIN d USING (row)),
+    sides AS (SELECT row, number, entity, arg_min(before, start) AS before, arg_min(after, start) AS after FROM every GROUP BY 1, 2, 3),
     mentions AS (SELECT entity, string_split(rtrim(before), ' ')[-1] || chr(0) || string_split(ltrim(after), ' ')[1] AS context, regexp_replace(before || ' ' || after, '{PLAIN["email"]}', ' ', 'g') AS line, count(*) AS n FROM sides GROUP BY ALL),
     entities AS (SELECT entity, sum(n) AS fe FROM mentions GROUP BY 1 HAVING count(DISTINCT context) >= {support}),
-    pairs AS (SELECT entity, term, fe, sum(n) AS c FROM (SELECT entity, fe, n, context, {terms_of("line")} AS term FROM mentions JOIN entities USING (entity)) GROUP BY 1, 2, 3 HAVING count(DISTINCT context) >= {support}),
+    met AS (SELECT entity, term, fe, context, sum(n) AS n FROM (SELECT entity, fe, n, context, {terms_of("line")} AS term FROM mentions JOIN entities USING (entity)) GROUP BY ALL),
+    pairs AS (SELECT entity, term, fe, sum(n) AS c FROM met GROUP BY 1, 2, 3 HAVING count(*) >= {support} AND max(n) * 2 <= sum(n)),
     lines AS (SELECT unnest(string_split(text, chr(10))) AS line FROM d),
     often AS (SELECT term, count(*) AS ft FROM (SELECT {terms_of("line")} AS term FROM lines) SEMI JOIN pairs USING (term) GROUP BY 1),
     said AS (SELECT term, max(CASE WHEN n > fe THEN ln(c * n / (ft * fe)) / ln(n / fe) ELSE 0 END) AS share FROM pairs JOIN often USING (term), (SELECT count(*)::DOUBLE AS n FROM lines) GROUP BY 1 HAVING share >= {threshold}),

@@ -52,7 +52,8 @@ def corpus(spark):
     fill = ["plain words about nothing much here today", "other lines that say even less again today"]
     rows = [(i, f"start{i} the zorbafon project of bob@corp.com meets today\n{fill[i % 2]}") for i in range(4)]
     rows[1] = (1, "again Zorbafon bob@corp.com went home today")
-    rows[2] = (2, "so bob@corp.com wrote zorbafon down today")
+    rows[2] = (2, "so bob@corp.com wrote zorbafon down today, and bob@corp.com again")
+    rows += [(97, "rare1 words1 here: 9.9.9.9 then 9.9.9.9 and 9.9.9.9, unheard of")]
     rows += [(10 + i, f"{fill[i % 2]} number{i}") for i in range(60)] + [(99, "A Zorbafon alone."), (98, "zorbafons aren't")]
     return spark.createDataFrame(rows, "doc_id long, text string")
 
@@ -73,6 +74,8 @@ def test_terms_that_reveal_an_entity(spark):
     gone = {r.doc.doc_id: r.sanitised for r in pii.sanitise(df, removal=0.8).collect()}
     assert gone[99] == "A  alone."
     assert {r.term for r in pii.disclosing(found, support=5).collect()} == set()
+    copies = df.unionByName(spark.createDataFrame([(200 + i, "again Zorbafon bob@corp.com went home today") for i in range(9)], df.schema))
+    assert pii.disclosing(pii.detect(copies)).isEmpty()
 
 
 def pii_spans(r):
@@ -89,4 +92,4 @@ def test_cleaned_keeps_columns_and_clean_texts(spark):
 def test_overlaps_go_with_the_first(spark):
     df = spark.createDataFrame([(1, "call +1.2.3.4.5678 now")], "doc_id long, text string")
     r = pii.sanitise(df).first()
-    assert pii_spans(r) == [("ip", 6, 13), ("phone", 5, 17)] and r.sanitised == "call <PHONE> now"
+    assert pii_spans(r) == [("ip", 6, 13), ("phone", 5, 18)] and r.sanitised == "call <PHONE> now"
