@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from .shared import materialise, whole_text
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
+#: Emitted pieces that a task holds before it hands them on.
+MOST_HELD = 1000
 #: Python's str.split() takes these for white space, the tokenizer does not.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 #: How the tokenizer file cuts a lower-cased text, and the bytes that its alphabet writes as themselves.
@@ -184,7 +186,8 @@ def pack(docs: DataFrame, tokenizer: str, *, end_id: int = 1, size: int = 2048,
             for doc_id, text in zip(batch["doc_id"].array, batch["text"], strict=True):
                 ids = encode(text) + tail
                 packer.add(doc_id, 0, ids, len(ids) // 4)
-            yield packer.take(keep_ids)
+                if len(packer.done) >= MOST_HELD:
+                    yield packer.take(keep_ids)
         yield packer.take(keep_ids)
         yield packer.left().assign(part=part)
 
