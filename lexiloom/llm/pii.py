@@ -81,6 +81,11 @@ def terms(text: Column, shortest: int = 4) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: F.length(w) >= shortest))
 
 
+def letters(line: Column) -> Column:
+    """A hash of the line's words of letters, in their order and without case."""
+    return F.xxhash64(F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}]+", " ")))
+
+
 def entity(kind: Column, value: Column) -> Column:
     """What counts as one protected entity: the kind and the value without case and separators."""
     return F.concat_ws(":", kind, F.when(kind.isin("card", "phone"), F.regexp_replace(value, r"[^0-9]", "")).otherwise(F.lower(value)))
@@ -93,12 +98,15 @@ def detect(docs: DataFrame) -> DataFrame:
     return materialise(found, "personal").withColumn("text", F.coalesce("doc.text", F.lit("")))
 
 
-def disclosing(found: DataFrame, *, threshold: float = 0.8, removal: float = 0.95, support: int = 3) -> DataFrame:
+def disclosing(found: DataFrame, *, threshold: float = 0.8, removal: float = 0.95, support: int = 3, distinct: bool = False) -> DataFrame:
     """``term, share, removed``: the terms that reveal an entity of ``found``, the result of detect().
 
     A term needs ``support`` different contexts of the same entity, none of them over half of its lines, so that copies
     and near copies of one line prove nothing; a context is the words next to the entity on either side. Counts run
     over all lines of all documents.
+
+    ``distinct``: each distinct line counts once instead (lines that differ only in case and in what isn't a letter are
+    one), and a term needs ``support`` of an entity's, whatever stands next to it. Copies then add and hide nothing.
     """
     spans = F.explode(F.concat(*KINDS)).alias("s")
     here = found.filter(F.size(F.concat(*KINDS)) > 0).select("row", "text", spans)
@@ -110,18 +118,25 @@ def disclosing(found: DataFrame, *, threshold: float = 0.8, removal: float = 0.9
     mentions = mentions.groupBy("row", "number", "entity").agg(F.min_by("before", "start").alias("before"), F.min_by("after", "start").alias("after"))
     context = F.xxhash64(F.substring_index(F.rtrim("before"), " ", -1), F.substring_index(F.ltrim("after"), " ", 1))
     line = F.regexp_replace(F.concat_ws(" ", "before", "after"), PATTERNS["email"], " ")
-    mentions = materialise(mentions.groupBy("entity", context.alias("context"), line.alias("line")).agg(F.count("*").alias("n")), "mentions")
+    if distinct:
+        mentions = mentions.select("entity", line.alias("line")).groupBy("entity", letters(F.col("line")).alias("context")).agg(F.min("line").alias("line")).withColumn("n", F.lit(1).cast("long"))
+        mentions = materialise(mentions, "mentions")
+    else:
+        mentions = materialise(mentions.groupBy("entity", context.alias("context"), line.alias("line")).agg(F.count("*").alias("n")), "mentions")
     contexts = mentions.groupBy("entity", "context").agg(F.sum("n").alias("n"))
     entities = contexts.groupBy("entity").agg(F.sum("n").alias("fe"), F.count("*").alias("contexts")).filter(F.col("contexts") >= support)
     entities = materialise(entities, "entities")
     pairs = mentions.join(entities, "entity").select("entity", "fe", "n", "context", F.explode(terms(F.col("line"))).alias("term"))
     pairs = pairs.groupBy("entity", "term", "fe", "context").agg(F.sum("n").alias("n"))
     pairs = pairs.groupBy("entity", "term", "fe").agg(F.sum("n").alias("c"), F.count("*").alias("met"), F.max("n").alias("most"))
-    pairs = pairs.filter((F.col("met") >= support) & (F.col("most") * 2 <= F.col("c")))
+    pairs = pairs.filter((F.col("met") >= support) & (F.lit(distinct) | (F.col("most") * 2 <= F.col("c"))))
     pairs = materialise(pairs, "pairs")
     wanted = materialise(pairs.select("term").distinct(), "terms")
     lines = found.select(F.explode(F.split("text", "\n")).alias("line"))
     total = found.agg(F.sum(F.size(F.split("text", "\n"))).alias("lines"))
+    if distinct:
+        lines = materialise(lines.groupBy(letters(F.col("line")).alias("context")).agg(F.min("line").alias("line")).select("line"), "lines")
+        total = lines.agg(F.count("*").alias("lines"))
     often = lines.select(F.explode(terms(F.col("line"))).alias("term")).groupBy("term").agg(F.count("*").alias("ft")).join(wanted, "term")
     share = F.ln(F.col("c") * F.col("lines") / (F.col("ft") * F.col("fe"))) / F.ln(F.col("lines") / F.col("fe"))
     # one row of totals
