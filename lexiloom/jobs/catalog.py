@@ -239,6 +239,20 @@ def j8_k_hop(m):
     return graph.k_hop(read.scored_at_least(edges, 0.9, "confidence_score"), start, 2)
 
 
+@query()
+def j7_all_neighbours(m):
+    """Of every node."""
+    edges = m.edges()
+    return graph.neighbours(edges, graph.adjacency(edges, "both").select("node"))
+
+
+@query()
+def j8_hops_of_documents(m):
+    """Over all edges, from the names in the documents whose id is divisible by 100."""
+    named = m.entities().filter("document_id % 100 = 0")
+    return graph.k_hop(io.written(m.edges(), "edges"), named.select(F.col("name").alias("node")).distinct(), 2)
+
+
 @query("SELECT e.id AS entity_id, e.name, c.chunk_index, c.page_number, d.id AS document_id, d.title, d.file_path FROM entities e JOIN chunks c ON c.id = e.chunk_id JOIN docs d ON d.id = c.document_id", "entities", "docs")
 def j9_provenance(m):
     return graph.provenance(m.entities(), m.chunks(), m.documents()).drop("chunk_id")
@@ -259,6 +273,13 @@ def j11_context(m):
     return ingest.around(hits, m.chunks(), 1).select("document_id", "chunk_index", "page_number")
 
 
+@query()
+def j11_context_of_citations(m):
+    """Around every chunk that a message cites."""
+    hits = m.chunks().join(m.citations().select(F.col("chunk_id").alias("id")).distinct(), "id", "left_semi")
+    return ingest.around(hits, m.chunks(), 1).select("document_id", "chunk_index", "page_number")
+
+
 _DOT = "list_dot_product({}.embedding::DOUBLE[], {}.embedding::DOUBLE[])"
 _TOP = """SELECT query_id, vec_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM
     (SELECT q.vec_id AS query_id, v.vec_id, {dot} / (sqrt({qq}) * sqrt({vv})) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0 {more})) WHERE rank <= 5"""
