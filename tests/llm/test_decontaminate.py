@@ -58,3 +58,18 @@ def test_signatures_of_blocks_and_windows():
         for w in (0, 5, len(signatures) - 1):
             part = hashes[w * u // 2 : w * u // 2 + 3 * u // 2]
             assert np.array_equal(signatures[w], (part[:, None] * d.MULTIPLIERS).min(axis=0))
+
+
+def test_an_item_in_pieces_far_apart(spark):
+    docs, items = [], []
+    for i in (0, 10, 45, 47, 54):  # no window of these met two coordinates
+        rng = random.Random(i)
+        words = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]  # noqa: B023, E731
+        item = words(37)
+        doc = words(300)
+        for at in range(33):
+            doc += item[at : at + 5] + words(300)
+        docs.append((i, " ".join(doc)))
+        items.append((i, " ".join(item)))
+    got = {(r.doc_id, r.item_id): r.containment for r in d.search(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == brute(docs, items) == {(i, i): 1.0 for i, _ in docs}
