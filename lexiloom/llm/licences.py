@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .licence_texts import WHOLE
+from .shared import materialise
+
 #: Pairs of spellings that count as equal, applied in this order to lower-cased text.
 SPELLINGS = [
     ("licence", "license"),
@@ -33,6 +36,11 @@ THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH RE
 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
 THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
 }
+TEXTS["BSD-3-Clause"] = TEXTS["BSD-2-Clause"].replace(
+    "\nTHIS SOFTWARE",
+    "\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\nTHIS SOFTWARE",
+)
+TEXTS |= WHOLE
 #: One-line notices.
 NOTICES = {
     "MIT": ["Released under the MIT License.", "Licensed under the MIT License."],
@@ -68,21 +76,22 @@ def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     """``doc_id, digest, license, n_notices, notices`` for each row of ``docs`` (doc_id, text).
 
     license: that of the entire text, by its canonical digest; null if unknown. notices: the licences of single lines,
-    distinct, sorted, comma-joined; n_notices counts such lines. ``known`` (digest, license) is joined by digest, and
-    broadcast by Spark only where its measured size allows. A null text is empty and unknown; repeated rows stay, as do
+    distinct, sorted, comma-joined; n_notices counts such lines; every line is looked up. ``known`` (digest, license) is
+    written first, joined by digest, and broadcast by Spark only where its measured size allows. A null text is empty and unknown; repeated rows stay, as do
     null doc_ids; an empty table gives no rows; other columns aren't read.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    lines = F.transform(F.filter(F.split("text", "\n"), lambda x: x.rlike(NOTICE_LIKE)), digest)
-    marked = rows.select("doc_id", digest(F.col("text")).alias("digest"), F.monotonically_increasing_id().alias("row"), lines.alias("lines"))
+    known = materialise(known, "known")
+    marked = rows.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
+    lines = marked.select("row", F.explode(F.split("text", "\n")).alias("line"))
     found = (
-        marked.filter(F.size("lines") > 0)
-        .select("row", F.explode("lines").alias("digest"))
+        lines.select("row", F.coalesce(digest(F.col("line")), F.lit("")).alias("digest"))
         .join(known, "digest")
         .groupBy("row")
         .agg(F.count("*").alias("n_notices"), F.array_join(F.array_sort(F.collect_set("license")), ",").alias("notices"))
     )
-    out = marked.drop("lines").join(known, "digest", "left").join(found, "row", "left")
+    marked = marked.select("doc_id", digest(F.col("text")).alias("digest"), "row")
+    out = marked.join(known, "digest", "left").join(found, "row", "left")
     return out.select("doc_id", "digest", "license", F.coalesce("n_notices", F.lit(0)).cast("long").alias("n_notices"), F.coalesce("notices", F.lit("")).alias("notices"))
 
 
