@@ -1,28 +1,41 @@
 """Repeated passages by a sparse suffix array.
 
-Only suffixes that start at minimisers are kept: of every ``window`` neighbouring seeds (short runs of words) the one
-with the least hash. So any passage of ``least`` words holds a kept suffix that shares ``least - window + 1`` words
-with it, wherever the passage stands. Suffixes are ordered by the hash of that many words; neighbours that agree and
-come from different texts are matches. Each match is then extended left and right, a word at a time: the passages of
-exactly ``least`` words around it are compared in turn, and what is repeated is their union. Agreement is found by
-minima and maxima over texts, which combine before the shuffle: no group is gathered and no pairs are made.
+Retained are the suffixes that start at minimisers: of every ``window`` neighbouring seeds (short runs of words) the one
+with the least hash. Nothing outside a window decides it, so equal passages of ``least`` words retain suffixes at equal
+places: one of them in the first ``window`` words, which agrees in its first ``least - window + 1`` words, its head.
+
+1. All retained suffixes are sorted by the hash of their head, over range partitions, and neighbours are compared: a
+   suffix whose head no other text has leaves.
+2. The others get the words that follow the head and those to the left of the suffix, ``window - 1`` of each, and are
+   sorted word by word: head, words to the right, words to the left, text.
+3. The common prefixes of neighbours, counted in words, cut that order into intervals of suffixes that agree in their
+   first r words. For each r a match is extended to the left: members of an interval that agree in the ``least - r``
+   words before them, and come from different texts, share a passage of ``least`` words. What a suffix shares is one
+   span of words; a text's overlapping spans are joined, which gives the maximal repeats.
+
+Range partitions end where the text says so, not only the words, so a frequent passage lies over many tasks. Tasks hold
+blocks of the order. An interval at the edge of a block may go on in the next one: what isn't settled there is compared
+once more over all edges, by minima and maxima that combine before the shuffle. No group is gathered, no pairs are made.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import materialise, whole_text
 
 SEED_WORDS = 8
 BASE = 0x9E3779B97F4A7C15
+#: Characters of texts that a task holds at once, but for a longer text.
+CHARACTERS = 1 << 20
 
 
 @lru_cache(maxsize=1)
@@ -37,91 +50,220 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-class Rolling:
-    """Hashes of any runs of a text's lower-cased words, from prefix sums modulo 2^64."""
+class Words:
+    """The lower-cased words of some texts in one row, as codes from 1 up, and hashes of any runs of them.
 
-    def __init__(self, text: str):
-        parts = text.encode().lower().split()
-        self.n = len(parts)
-        up, self.down = _powers(1 << max(16, self.n.bit_length()))
-        each = np.fromiter(map(crc32, parts), dtype=np.uint64, count=self.n) + np.uint64(1)
-        self.sums = np.append(np.uint64(0), np.cumsum(_mix(each) * up[: self.n], dtype=np.uint64))
+    n: words of each text; first: where it begins; rest: words from each place to the end of its text.
+    """
+
+    def __init__(self, texts: list[str]):
+        parts = [t.encode().lower().split() for t in texts]
+        self.n = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
+        self.first = np.cumsum(self.n) - self.n
+        total = int(self.n.sum())
+        self.codes = np.maximum(np.fromiter(map(crc32, chain.from_iterable(parts)), dtype=np.uint64, count=total), np.uint64(1))
+        up, self.down = _powers(1 << max(18, total.bit_length()))
+        self.sums = np.append(np.uint64(0), np.cumsum(_mix(self.codes) * up[:total], dtype=np.uint64))
+        self.rest = np.repeat(self.first + self.n, self.n) - np.arange(total)
 
     def runs(self, starts: np.ndarray, length: int) -> np.ndarray:
         return _mix((self.sums[starts + length] - self.sums[starts]) * self.down[starts])
 
 
-def minimisers(words: Rolling, window: int) -> np.ndarray:
-    """For each window of seeds, by its first word: the position of its least seed. Nothing outside decides it."""
-    seeds = words.n - SEED_WORDS + 1
-    if seeds < window:
-        return np.zeros(0, dtype=np.int64)
-    views = np.lib.stride_tricks.sliding_window_view(words.runs(np.arange(seeds), SEED_WORDS), window)
-    return views.argmin(axis=1) + np.arange(len(views))
+def minimisers(words: Words, window: int, least: int) -> np.ndarray:
+    """The places, ascending, that passages of ``least`` words retain: the first least seed of their first ``window``."""
+    starts = np.flatnonzero(words.rest >= least)
+    if not len(starts):
+        return starts
+    hashes = words.runs(np.arange(len(words.codes) - SEED_WORDS + 1), SEED_WORDS)
+    at, width = np.arange(len(hashes)), 1
+    while width < window:
+        step = min(width, window - width)
+        later = hashes[step:] < hashes[:-step]
+        hashes, at = np.where(later, hashes[step:], hashes[:-step]), np.where(later, at[step:], at[:-step])
+        width += step
+    return np.unique(at[starts])
+
+
+def context(words: Words, at: np.ndarray, head: int, reach: int) -> np.ndarray:
+    """Codes of the ``reach`` words after the head of the suffixes ``at``, and of those before them, nearest first.
+
+    One row each; 0 stands for what is beyond the text.
+    """
+    step = np.arange(reach)
+    right, left = at[:, None] + head + step, at[:, None] - 1 - step
+    begin = words.first[np.searchsorted(words.first, at, side="right") - 1][:, None]
+    end = at[:, None] + words.rest[at][:, None]
+    codes = words.codes.astype(np.uint32)
+    inside = (right < end, left >= begin)
+    return np.hstack([np.where(ok, codes[np.clip(x, 0, len(codes) - 1)], np.uint32(0)) for x, ok in zip((right, left), inside, strict=True)])
+
+
+def _prefixes(codes: np.ndarray) -> np.ndarray:
+    """Column k: a hash of the first k codes of each row."""
+    out = np.zeros((len(codes), codes.shape[1] + 1), dtype=np.uint64)
+    for k in range(codes.shape[1]):
+        out[:, k + 1] = _mix(out[:, k] * np.uint64(BASE) + codes[:, k].astype(np.uint64))
+    return out
+
+
+def common_prefixes(head: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Words after the head that each suffix of the order shares with the one before; -1 where the heads differ."""
+    shared = np.full(len(head), -1)
+    same = np.logical_and.accumulate(right[1:] == right[:-1], axis=1).sum(axis=1)
+    shared[1:] = np.where(head[1:] == head[:-1], same, -1)
+    return shared
+
+
+def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal values start, and how long each is."""
+    start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    return start, np.diff(np.append(start, len(key)))
+
+
+def extended(head: np.ndarray, codes: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple]]:
+    """For suffixes in their order: the words before each where its furthest and its nearest repeated passage begins.
+
+    (-1 and ``reach + 1`` where there is none; codes: context()), and the edges: (key of the passage, rows, words before
+    them, whether they are open). Open rows share the passage with no other text of the block; others are witnesses.
+    """
+    reach = codes.shape[1] // 2
+    right, left = codes[:, :reach], codes[:, reach:]
+    shared = common_prefixes(head, right)
+    room_right, room_left = (np.logical_and.accumulate(x != 0, axis=1).sum(axis=1) for x in (right, left))
+    to_right, to_left = _prefixes(right), _prefixes(left)
+    far, near, edges = np.full(len(head), -1), np.full(len(head), reach + 1), []
+    for more in range(reach + 1):
+        before = reach - more
+        interval = np.cumsum(shared < more)
+        rows = np.flatnonzero((room_right >= more) & (room_left >= before))
+        if not len(rows):
+            continue
+        rows = rows[np.argsort(key := _mix(interval[rows].astype(np.uint64) * np.uint64(BASE) + to_left[rows, before]), kind="stable")]
+        start, size = _runs(np.sort(key))
+        low, high = np.minimum.reduceat(text[rows], start), np.maximum.reduceat(text[rows], start)
+        met = np.repeat(low != high, size)
+        far[rows[met]] = np.maximum(far[rows[met]], before)
+        near[rows[met]] = np.minimum(near[rows[met]], before)
+        at_edge = (interval[rows] == interval[0]) | (interval[rows] == interval[-1])
+        run = np.repeat(np.arange(len(start)), size)
+        for some, is_open in ((at_edge & ~met, True), (at_edge & met & ((text[rows] == low[run]) | (text[rows] == high[run])), False)):
+            some = rows[some]
+            if len(some):
+                keys = _mix(_mix(head[some] + to_right[some, more]) * np.uint64(BASE) + to_left[some, before] + np.uint64(more))
+                edges.append((keys, some, before, is_open))
+    return far, near, edges
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= most:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held)
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in parts of about CHARACTERS characters of ``text``."""
+    for batch in batches:
+        sizes = np.cumsum([len(t) for t in batch.column("text").to_pylist()])
+        cuts = np.flatnonzero(np.diff(sizes // CHARACTERS, prepend=0)).tolist()
+        for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+            if b > a:
+                yield batch.slice(a, b - a)
+
+
+def _numbers(table, name: str) -> np.ndarray:
+    return table.column(name).to_numpy()
 
 
-def _signed(x: np.ndarray) -> np.ndarray:
-    return x.view(np.int64)
+def _batch(**columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict(columns)
 
 
-def repeats(docs: DataFrame, *, least: int = 50, window: int = 20) -> DataFrame:
+def _none(n: int, kind: pa.DataType) -> pa.Array:
+    return pa.nulls(n, kind)
+
+
+def repeats(docs: DataFrame, *, least: int = 50, window: int = 20, block: int = 100_000) -> DataFrame:
     """The words of each text that lie in a passage of ``least`` words or more which another document has too.
 
     ``doc_id, n_words, n_repeated, spans`` for each row of ``docs`` (doc_id, text) with such words; spans are maximal
     runs ``start-end`` of word positions, end exclusive, comma-joined. Words stand between ASCII white space and are
     compared in lower case (A to Z). A text's passages count once however often it repeats them. Rows with equal texts
     are different documents, so a copied text of ``least`` words is repeated whole; repeated rows, and null ids too,
-    count as documents. Null, empty and shorter texts have no rows; no documents, no rows. Texts are told apart, and
-    passages found equal, by 64-bit hashes.
+    count as documents. Null, empty and shorter texts have no rows; no documents, no rows; other columns aren't read.
+    Texts and heads are told apart by 64-bit hashes, words by 32-bit codes. ``block``: suffixes that a task holds at once.
     """
     if least - window + 1 < SEED_WORDS:
         raise ValueError("window is too wide for passages that short")
-    length = least - window + 1
-
-    def suffixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for doc_id, text_id, text in zip(batch["doc_id"].astype("Int64").array, batch["text_id"], batch["text"], strict=True):
-                words = Rolling(text)
-                if words.n < least:
-                    continue
-                at = np.unique(minimisers(words, window)[: words.n - least + 1])
-                keys = _signed(words.runs(at, length))
-                ids = pd.array([doc_id] + [None] * len(at), dtype="Int64")
-                out.append(pd.DataFrame({"doc_id": ids, "text_id": text_id, "at": np.append(words.n, at), "key": pd.array([None, *keys.tolist()], dtype="Int64")}))
-            if out:
-                yield pd.concat(out)
+    head, reach = least - window + 1, window - 1
+
+    def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _parts(batches):
+            words = Words(part.column("text").to_pylist())
+            long, text_id = np.flatnonzero(words.n >= least), _numbers(part, "text_id")
+            yield _batch(doc_id=part.column("doc_id").take(pa.array(long)), text_id=text_id[long], at=words.n[long].astype(np.int32), key=_none(len(long), pa.int64()))
+            at = minimisers(words, window, least)
+            of = np.searchsorted(words.first, at, side="right") - 1
+            yield _batch(doc_id=_none(len(at), pa.int64()), text_id=text_id[of], at=(at - words.first[of]).astype(np.int32), key=words.runs(at, head).view(np.int64))
 
     texts = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")).withColumn("text_id", F.xxhash64("text"))
-    rows = materialise(texts.mapInPandas(suffixes, "doc_id long, text_id long, at int, key long"), "suffixes")
+    rows = materialise(texts.mapInArrow(suffixes, "doc_id long, text_id long, at int, key long"), "suffixes")
     of_docs = rows.filter("key is null").select("doc_id", "text_id", F.col("at").alias("n_words"))
-    kept = rows.filter("key is not null").select("text_id", "at", "key")
-    # what is joined is written first: then both sides are plain exchanges, and hot keys are split at run time
-    shared = materialise(kept.groupBy("key").agg(F.min("text_id").alias("a"), F.max("text_id").alias("b")).filter("a <> b").select("key"), "shared")
-    matches = materialise(kept.join(shared, "key").groupBy("text_id").agg(F.collect_set("at").alias("matched")), "matches")
-
-    def extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for text_id, text, matched in zip(batch["text_id"], batch["text"], batch["matched"], strict=True):
-                words = Rolling(text)
-                starts = np.flatnonzero(np.isin(minimisers(words, window)[: words.n - least + 1], np.asarray(matched)))
-                out.append(pd.DataFrame({"text_id": text_id, "at": starts.astype(np.int32), "passage": _signed(words.runs(starts, least))}))
-            if out:
-                yield pd.concat(out)
-
-    wanted = texts.select("text_id", "text").join(matches, "text_id").groupBy("text_id", "text").agg(F.first("matched").alias("matched"))
-    around = materialise(wanted.mapInPandas(extend, "text_id long, at int, passage long"), "passages")
-    twice = around.groupBy("passage").agg(F.min("text_id").alias("a"), F.max("text_id").alias("b")).filter("a <> b").select("passage")
-    twice = materialise(twice, "twice")
-    starts = around.join(twice, "passage").groupBy("text_id").agg(F.array_sort(F.collect_set("at")).alias("starts"))
-
-    ends = F.transform("starts", lambda x, i: F.when((i == 0) | (x > F.get("starts", i - 1) + least), x))
-    spans = starts.select("text_id", "starts", F.filter(ends, lambda x: x.isNotNull()).alias("first"))
-    stops = F.transform("starts", lambda x, i: F.when(F.coalesce(F.get("starts", i + 1) > x + least, F.lit(True)), x + least))
-    spans = spans.select("text_id", F.arrays_zip("first", F.filter(stops, lambda x: x.isNotNull()).alias("stop")).alias("spans"))
+
+    def same_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _blocks(batches, block):
+            key, text, at = (_numbers(held, c) for c in ("key", "text_id", "at"))
+            start, size = _runs(key)
+            met, edge = text[start] != text[start + size - 1], np.isin(np.arange(len(start)), [0, len(start) - 1])
+            good, loose = np.repeat(met, size), np.repeat(edge & ~met, size)
+            yield _batch(text_id=text[good], at=at[good], key=_none(int(good.sum()), pa.int64()))
+            yield _batch(text_id=text[loose], at=at[loose], key=key[loose])
+            seen = np.concatenate([start[edge & met], (start + size - 1)[edge & met]])
+            yield _batch(text_id=text[seen], at=_none(len(seen), pa.int32()), key=key[seen])
+
+    order = rows.filter("key is not null").select("key", "text_id", "at")
+    order = order.repartitionByRange("key", "text_id").sortWithinPartitions("key", "text_id")
+    compared = materialise(order.mapInArrow(same_heads, "text_id long, at int, key long"), "heads")
+    kept = compared.filter("key is null").unionByName(_settled(compared.filter("key is not null"), "at")).select("text_id", "at")
+    kept = materialise(kept.groupBy("text_id").agg(F.collect_set("at").alias("ats")), "kept")
+
+    def with_context(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _parts(batches):
+            words = Words(part.column("text").to_pylist())
+            ats = part.column("ats")
+            n = np.diff(ats.offsets.to_numpy())
+            own = ats.flatten().to_numpy().astype(np.int64)
+            at = own + np.repeat(words.first, n)
+            raw = context(words, at, head, reach).astype(">u4").tobytes()
+            width = 8 * reach
+            yield _batch(text_id=np.repeat(_numbers(part, "text_id"), n), at=own.astype(np.int32), head=words.runs(at, head).view(np.int64), context=[raw[i : i + width] for i in range(0, width * len(at), width)] if width else pa.array([b""] * len(at)))
+
+    wanted = texts.select("text_id", "text").join(kept, "text_id").groupBy("text_id", "text").agg(F.first("ats").alias("ats"))
+    found = materialise(wanted.select("text_id", "text", "ats").mapInArrow(with_context, "text_id long, at int, head long, context binary"), "contexts")
+
+    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _blocks(batches, block):
+            text, at, heads = (_numbers(held, c) for c in ("text_id", "at", "head"))
+            codes = np.frombuffer(b"".join(held.column("context").to_pylist()), dtype=">u4").astype(np.uint32).reshape(len(at), 2 * reach)
+            far, near, edges = extended(heads.view(np.uint64), codes, text)
+            good = far >= 0
+            yield _batch(text_id=text[good], first=(at - far)[good].astype(np.int32), stop=(at - near + least)[good].astype(np.int32), key=_none(int(good.sum()), pa.int64()))
+            for keys, some, before, is_open in edges:
+                first = (at[some] - before).astype(np.int32)
+                yield _batch(text_id=text[some], first=first if is_open else _none(len(some), pa.int32()), stop=first + np.int32(least), key=keys.view(np.int64))
+
+    order = found.repartitionByRange("head", "context", "text_id").sortWithinPartitions("head", "context", "text_id")
+    spans = materialise(order.mapInArrow(extend, "text_id long, first int, stop int, key long"), "spans")
+    spans = spans.filter("key is null").unionByName(_settled(spans.filter("key is not null"), "first")).select("text_id", "first", "stop")
+
     copies = of_docs.groupBy("text_id").agg(F.count("*").alias("n")).filter("n > 1").select("text_id", F.lit(True).alias("copied"))
-    found = materialise(spans.join(copies, "text_id", "full"), "spans")
+    found = materialise(joined(spans).join(copies, "text_id", "full"), "repeats")
     out = of_docs.join(found, "text_id")
     whole = F.array(F.struct(F.lit(0).alias("first"), F.col("n_words").alias("stop")))
     out = out.withColumn("spans", F.when(F.col("copied"), whole).otherwise(F.col("spans")))
@@ -130,6 +272,23 @@ def repeats(docs: DataFrame, *, least: int = 50, window: int = 20) -> DataFrame:
     return out.select("doc_id", "n_words", total.alias("n_repeated"), said.alias("spans"))
 
 
+def _settled(edges: DataFrame, place: str) -> DataFrame:
+    """The open rows of ``edges`` (key, text_id; ``place`` is null for witnesses) whose key another text has as well."""
+    # written first: then both sides are plain exchanges, and hot keys are split at run time
+    twice = edges.groupBy("key").agg(F.min("text_id").alias("a"), F.max("text_id").alias("b")).filter("a <> b").select("key")
+    return edges.filter(F.col(place).isNotNull()).join(materialise(twice, "twice"), "key").select(*edges.columns)
+
+
+def joined(spans: DataFrame) -> DataFrame:
+    """``text_id, spans``: a text's spans (text_id, first, stop) in order, those that overlap or touch as one."""
+    by = Window.partitionBy("text_id").orderBy("first", "stop")
+    before = F.max("stop").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = spans.select("text_id", "first", "stop", F.when(F.col("first") <= before, 0).otherwise(1).alias("fresh"))
+    fresh = fresh.withColumn("run", F.sum("fresh").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = fresh.groupBy("text_id", "run").agg(F.min("first").alias("first"), F.max("stop").alias("stop"))
+    return merged.groupBy("text_id").agg(F.array_sort(F.collect_list(F.struct("first", "stop"))).alias("spans"))
+
+
 def oracle(least: int = 50) -> str:
     """repeats() by brute force, in DuckDB SQL: every passage of ``least`` words of every document."""
     return f"""
