@@ -14,8 +14,9 @@ places: one of them in the first ``window`` words, which agrees in its first ``l
    span of words; a text's overlapping spans are joined, which gives the maximal repeats.
 
 Range partitions end where the text says so, not only the words, so a frequent passage lies over many tasks. Tasks hold
-blocks of the order. An interval at the edge of a block may go on in the next one: what isn't settled there is compared
-once more over all edges, by minima and maxima that combine before the shuffle. No group is gathered, no pairs are made.
+blocks of the order. An interval at the edge of a block may go on in the next one. The suffixes of such heads are sorted
+and compared once more with left and right exchanged; what lies at an edge in both orders is settled by minima and maxima
+of texts by passage, which combine before the shuffle. No group is gathered, no pairs are made.
 """
 
 from __future__ import annotations
@@ -121,38 +122,47 @@ def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.diff(np.append(start, len(key)))
 
 
-def extended(head: np.ndarray, codes: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple]]:
-    """For suffixes in their order: the words before each where its furthest and its nearest repeated passage begins.
+def compared(head: np.ndarray, codes: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple]]:
+    """Suffixes in their order (head, codes, text) compared at each depth k from 0 to ``reach``, the half of the codes.
 
-    (-1 and ``reach + 1`` where there is none; codes: context()), and the edges: (key of the passage, rows, words before
-    them, whether they are open). Open rows share the passage with no other text of the block; others are witnesses.
+    At depth k the common prefixes cut the order into intervals of suffixes that agree in head and the first k codes of
+    the first half; members that agree in the first ``reach - k`` of the second half are a run. Returns, by row and
+    depth, whether the run holds another text, and whether the interval lies at an edge of the block; and for each depth
+    its rows in order of their runs: (row, run, whether its text is the run's first or last). Codes are those of context().
     """
     reach = codes.shape[1] // 2
-    right, left = codes[:, :reach], codes[:, reach:]
-    shared = common_prefixes(head, right)
-    room_right, room_left = (np.logical_and.accumulate(x != 0, axis=1).sum(axis=1) for x in (right, left))
-    to_right, to_left = _prefixes(right), _prefixes(left)
-    far, near, edges = np.full(len(head), -1), np.full(len(head), reach + 1), []
-    for more in range(reach + 1):
-        before = reach - more
-        interval = np.cumsum(shared < more)
-        rows = np.flatnonzero((room_right >= more) & (room_left >= before))
-        if not len(rows):
-            continue
-        rows = rows[np.argsort(key := _mix(interval[rows].astype(np.uint64) * np.uint64(BASE) + to_left[rows, before]), kind="stable")]
-        start, size = _runs(np.sort(key))
-        low, high = np.minimum.reduceat(text[rows], start), np.maximum.reduceat(text[rows], start)
-        met = np.repeat(low != high, size)
-        far[rows[met]] = np.maximum(far[rows[met]], before)
-        near[rows[met]] = np.minimum(near[rows[met]], before)
-        at_edge = (interval[rows] == interval[0]) | (interval[rows] == interval[-1])
-        run = np.repeat(np.arange(len(start)), size)
-        for some, is_open in ((at_edge & ~met, True), (at_edge & met & ((text[rows] == low[run]) | (text[rows] == high[run])), False)):
-            some = rows[some]
-            if len(some):
-                keys = _mix(_mix(head[some] + to_right[some, more]) * np.uint64(BASE) + to_left[some, before] + np.uint64(more))
-                edges.append((keys, some, before, is_open))
-    return far, near, edges
+    one, other = codes[:, :reach], codes[:, reach:]
+    shared = common_prefixes(head, one)
+    room_one, room_other = (np.logical_and.accumulate(x != 0, axis=1).sum(axis=1) for x in (one, other))
+    beside = _prefixes(other)
+    (met, edge), runs = np.zeros((2, len(head), reach + 1), dtype=bool), []
+    for k in range(reach + 1):
+        interval = np.cumsum(shared < k)
+        rows = np.flatnonzero((room_one >= k) & (room_other >= reach - k))
+        key = _mix(interval[rows].astype(np.uint64) * np.uint64(BASE) + beside[rows, reach - k])
+        rows = rows[np.argsort(key, kind="stable")]
+        if len(rows):
+            start, size = _runs(np.sort(key))
+            low, high = (np.repeat(f.reduceat(text[rows], start), size) for f in (np.minimum, np.maximum))
+            met[rows, k] = low != high
+            edge[rows, k] = (interval[rows] == interval[0]) | (interval[rows] == interval[-1])
+            runs.append((rows, np.repeat(np.arange(len(start)), size), (text[rows] == low) | (text[rows] == high)))
+        else:
+            runs.append((rows, rows, rows.astype(bool)))
+    return met, edge, runs
+
+
+def reached(met: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows with a repeated passage (met: by row and words to the left of it): the rows, the most and the fewest."""
+    good = np.flatnonzero(met.any(axis=1))
+    return good, met.shape[1] - 1 - met[good, ::-1].argmax(axis=1), met[good].argmax(axis=1)
+
+
+def passage_keys(head: np.ndarray, codes: np.ndarray, rows: np.ndarray, before: int) -> np.ndarray:
+    """A hash of the passages that begin ``before`` words left of the suffixes ``rows``. codes: left words first."""
+    reach = codes.shape[1] // 2
+    left, right = (_prefixes(x)[:, -1] for x in (codes[rows, :before], codes[rows, reach : 2 * reach - before]))
+    return _mix(_mix(head[rows] + right) * np.uint64(BASE) + left + np.uint64(before))
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
@@ -229,8 +239,8 @@ def repeats(docs: DataFrame, *, least: int = 50, window: int = 20, block: int =
 
     order = rows.filter("key is not null").select("key", "text_id", "at")
     order = order.repartitionByRange("key", "text_id").sortWithinPartitions("key", "text_id")
-    compared = materialise(order.mapInArrow(same_heads, "text_id long, at int, key long"), "heads")
-    kept = compared.filter("key is null").unionByName(_settled(compared.filter("key is not null"), "at")).select("text_id", "at")
+    same = materialise(order.mapInArrow(same_heads, "text_id long, at int, key long"), "heads")
+    kept = same.filter("key is null").unionByName(_settled(same.filter("key is not null"), "at")).select("text_id", "at")
     kept = materialise(kept.groupBy("text_id").agg(F.collect_set("at").alias("ats")), "kept")
 
     def with_context(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,23 +254,61 @@ def repeats(docs: DataFrame, *, least: int = 50, window: int = 20, block: int =
             width = 8 * reach
             yield _batch(text_id=np.repeat(_numbers(part, "text_id"), n), at=own.astype(np.int32), head=words.runs(at, head).view(np.int64), context=[raw[i : i + width] for i in range(0, width * len(at), width)] if width else pa.array([b""] * len(at)))
 
-    wanted = texts.select("text_id", "text").join(kept, "text_id").groupBy("text_id", "text").agg(F.first("ats").alias("ats"))
+    # copies are one text before they meet in a task
+    wanted = texts.groupBy("text_id").agg(F.first("text").alias("text")).join(kept, "text_id")
     found = materialise(wanted.select("text_id", "text", "ats").mapInArrow(with_context, "text_id long, at int, head long, context binary"), "contexts")
 
+    def read(held: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        codes = np.frombuffer(b"".join(held.column("context").to_pylist()), dtype=">u4").astype(np.uint32)
+        return _numbers(held, "head").view(np.uint64), codes.reshape(held.num_rows, 2 * reach), _numbers(held, "text_id"), _numbers(held, "at")
+
+    def spans_of(text: np.ndarray, at: np.ndarray, met: np.ndarray) -> dict:
+        good, most, fewest = reached(met)
+        return {"text_id": text[good], "first": (at[good] - most).astype(np.int32), "stop": (at[good] - fewest + least).astype(np.int32)}
+
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in _blocks(batches, block):
-            text, at, heads = (_numbers(held, c) for c in ("text_id", "at", "head"))
-            codes = np.frombuffer(b"".join(held.column("context").to_pylist()), dtype=">u4").astype(np.uint32).reshape(len(at), 2 * reach)
-            far, near, edges = extended(heads.view(np.uint64), codes, text)
-            good = far >= 0
-            yield _batch(text_id=text[good], first=(at - far)[good].astype(np.int32), stop=(at - near + least)[good].astype(np.int32), key=_none(int(good.sum()), pa.int64()))
-            for keys, some, before, is_open in edges:
-                first = (at[some] - before).astype(np.int32)
-                yield _batch(text_id=text[some], first=first if is_open else _none(len(some), pa.int32()), stop=first + np.int32(least), key=keys.view(np.int64))
+            head, codes, text, at = read(held)
+            met, edge, _ = compared(head, codes, text)
+            met, edge = met[:, ::-1], edge[:, ::-1]
+            spans = spans_of(text, at, met)
+            n = len(spans["text_id"])
+            yield _batch(**spans, at=_none(n, pa.int32()), head=_none(n, pa.int64()), context=_none(n, pa.binary()), edge=_none(n, pa.binary()), open=_none(n, pa.binary()))
+            some = np.flatnonzero((head == head[0]) | (head == head[-1]))
+            turned = np.hstack([codes[some, reach:], codes[some, :reach]]).astype(">u4")
+            n = len(some)
+            yield _batch(
+                text_id=text[some], first=_none(n, pa.int32()), stop=_none(n, pa.int32()), at=at[some], head=head[some].view(np.int64),
+                context=[x.tobytes() for x in turned], edge=[x.tobytes() for x in edge[some]], open=[x.tobytes() for x in (edge & ~met)[some]],
+            )
+
+    def extend_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _blocks(batches, block):
+            head, codes, text, at = read(held)
+            was_edge, was_open = (np.frombuffer(b"".join(held.column(c).to_pylist()), dtype=bool).reshape(len(at), reach + 1) for c in ("edge", "open"))
+            met, edge, runs = compared(head, codes, text)
+            spans = spans_of(text, at, met)
+            yield _batch(**spans, key=_none(len(spans["text_id"]), pa.int64()))
+            for before, (rows, run, outer) in enumerate(runs):
+                here = edge[rows, before] & was_edge[rows, before]
+                rows, run, outer = rows[here], run[here], outer[here]
+                unmet = was_open[rows, before] & ~met[rows, before]
+                # a run's first and last text stand for what is settled in it
+                _, once = np.unique(np.stack([run, text[rows]]), axis=1, return_index=True)
+                seen = np.zeros(len(rows), dtype=bool)
+                seen[once] = True
+                for some, place in ((rows[unmet], True), (rows[seen & outer & ~unmet], False)):
+                    first = (at[some] - before).astype(np.int32)
+                    yield _batch(text_id=text[some], first=first if place else _none(len(some), pa.int32()), stop=first + np.int32(least), key=passage_keys(head, codes, some, before).view(np.int64))
 
     order = found.repartitionByRange("head", "context", "text_id").sortWithinPartitions("head", "context", "text_id")
-    spans = materialise(order.mapInArrow(extend, "text_id long, first int, stop int, key long"), "spans")
-    spans = spans.filter("key is null").unionByName(_settled(spans.filter("key is not null"), "first")).select("text_id", "first", "stop")
+    spans = materialise(order.mapInArrow(extend, "text_id long, first int, stop int, at int, head long, context binary, edge binary, open binary"), "spans")
+    edges = spans.filter("first is null").select("text_id", "at", "head", "context", "edge", "open")
+    order = edges.repartitionByRange("head", "context", "text_id").sortWithinPartitions("head", "context", "text_id")
+    more = materialise(order.mapInArrow(extend_edges, "text_id long, first int, stop int, key long"), "spans")
+    columns = ["text_id", "first", "stop"]
+    spans = spans.filter("first is not null").select(columns).unionByName(more.filter("key is null").select(columns))
+    spans = spans.unionByName(_settled(more.filter("key is not null"), "first").select(columns))
 
     copies = of_docs.groupBy("text_id").agg(F.count("*").alias("n")).filter("n > 1").select("text_id", F.lit(True).alias("copied"))
     found = materialise(joined(spans).join(copies, "text_id", "full"), "repeats")

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexiloom.llm.passages import Words, common_prefixes, context, extended, joined, minimisers, repeats
+from lexiloom.llm.passages import Words, common_prefixes, compared, context, joined, minimisers, reached, repeats
 
 
 def brute(rows, least):
@@ -93,11 +93,14 @@ def test_neighbours_share_the_longest_prefix_and_matches_extend_both_ways():
         best = max(common(tails[i], tails[j]) for j in range(len(rows)) if j != i)
         near = max(common(tails[i], tails[j]) for j in (i - 1, i + 1) if 0 <= j < len(rows))
         assert min(best, least) == min(near, least) or best < head
-    far, close, edges = extended(heads, codes, text)
+    met, edge, _ = compared(heads, codes, text)
+    good, most, fewest = reached(met[:, ::-1])
+    far, close = np.full(len(rows), -1), np.full(len(rows), reach + 1)
+    far[good], close[good] = most, fewest
     for i, (_, _, own, place, words) in enumerate(rows):
         starts = [a for a in range(max(0, place - reach), place + 1) if a + least <= len(words) and any(own != r[2] and r[4][max(0, r[3] - (place - a)) :][:least] == words[a : a + least] for r in rows)]
         assert (far[i], close[i]) == ((place - starts[0], place - starts[-1]) if starts else (-1, reach + 1))
-    assert (far >= 0).sum() > 50 and edges
+    assert (far >= 0).sum() > 50 and edge.any()
 
 
 def test_spans_are_joined_to_maximal_runs(spark):
