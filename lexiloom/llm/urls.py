@@ -2,7 +2,8 @@
 
 Labelled page outcomes are counted by host, registered domain and suffix. A suffix is shrunk towards all pages, a
 domain towards its suffix and a host towards its domain, each through a beta prior whose strength is fitted by moments
-at its level. A host is blocked if the lower posterior bound of its share of good pages is under a threshold.
+at its level. A host is blocked if even the upper posterior bound of its share of good pages falls short of a fraction
+of the share over all pages: hosts that nothing is known of pass, unless their domain or suffix is known to be bad.
 """
 
 from __future__ import annotations
@@ -14,6 +15,14 @@ from .shared import materialise
 
 #: Fixed values of the contract: (verdict, host, path).
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+#: Public suffixes of two labels; every other suffix is the last label.
+SUFFIXES = (
+    "co.uk org.uk me.uk ltd.uk plc.uk net.uk ac.uk gov.uk nhs.uk sch.uk com.au net.au org.au edu.au gov.au id.au co.nz net.nz org.nz ac.nz govt.nz "
+    "co.jp ne.jp or.jp ac.jp go.jp ad.jp ed.jp gr.jp com.br net.br org.br gov.br edu.br com.cn net.cn org.cn gov.cn edu.cn ac.cn com.tw net.tw org.tw edu.tw gov.tw "
+    "co.kr ne.kr or.kr re.kr go.kr ac.kr co.in net.in org.in gov.in ac.in co.za org.za net.za gov.za ac.za com.mx org.mx gob.mx edu.mx com.ar org.ar gob.ar edu.ar "
+    "com.tr org.tr gov.tr edu.tr com.sg org.sg gov.sg edu.sg com.hk org.hk gov.hk edu.hk com.my org.my gov.my edu.my co.id or.id go.id ac.id co.th or.th go.th ac.th "
+    "com.vn org.vn gov.vn edu.vn com.ph org.ph gov.ph edu.ph co.il org.il gov.il ac.il com.ua org.ua gov.ua edu.ua com.pl org.pl gov.pl edu.pl com.co org.co gov.co edu.co"
+).split()
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -36,55 +45,68 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Co
     return out
 
 
-def _strength(counts: DataFrame, least: float, most: float) -> DataFrame:
-    """One row, kappa: the beta prior's strength from how rates differ between the groups of ``counts`` (n, good)."""
+def _strength(counts: DataFrame, least: float) -> DataFrame:
+    """One row, kappa: the beta prior's strength from how rates differ between the groups of ``counts`` (n, good).
+
+    At least ``least``, and no more than the outcomes it is fitted on: where groups differ no more than chance has it,
+    their evidence is pooled that far.
+    """
     sums = counts.agg(F.sum("n").alias("n"), F.sum("good").alias("good"), F.count("*").alias("m"), F.sum(F.col("n") * F.col("n")).alias("nn"), F.sum(F.col("good") * F.col("good") / F.col("n")).alias("gg"))
     p = (F.col("good") / F.col("n")).alias("p")
     sums = sums.select("*", p).select("*", (F.col("gg") - F.col("n") * F.col("p") * F.col("p")).alias("between"))
     inside = F.col("p") * (1 - F.col("p"))
     spread = (F.col("between") - inside * (F.col("m") - 1)) / (F.col("n") - F.col("nn") / F.col("n"))
+    most = F.coalesce(F.col("n"), F.lit(0)).cast("double")
     kappa = F.when((F.col("n") > F.col("nn") / F.col("n")) & (spread > 0), inside / spread - 1).otherwise(most)
-    return sums.select(F.greatest(F.lit(least), F.least(F.lit(most), F.coalesce(kappa, F.lit(most)))).alias("kappa"))
+    return sums.select(F.greatest(F.lit(least), F.least(most, F.coalesce(kappa, most))).alias("kappa"))
+
+
+def parts_of(host: Column, suffixes: list[str]) -> tuple[Column, Column]:
+    """(registered domain, public suffix) of a host: the suffix is its last two labels if ``suffixes`` has them, else the last."""
+    two = F.substring_index(host, ".", -2)
+    wide = two.isin(suffixes)
+    return F.when(wide, F.substring_index(host, ".", -3)).otherwise(two), F.when(wide, two).otherwise(F.substring_index(host, ".", -1))
 
 
-def reputation(counts: DataFrame, *, least: float = 1.0, most: float = 1000.0, z: float = 1.645) -> DataFrame:
-    """``host, n, mean, bound`` for each row of ``counts`` (host: distinct; n, good: its labelled and good pages).
+def reputation(counts: DataFrame, *, least: float = 1.0, z: float = 1.645, suffixes: list[str] = SUFFIXES) -> DataFrame:
+    """``host, n, mean, bound, overall`` for each row of ``counts`` (host: distinct; n, good: its labelled and good pages).
 
-    The registered domain is a host's last two labels, the suffix its last one. With no outcomes at all every mean is
-    one half. Only sums meet in one task: three rows of them for each part.
+    bound: ``z`` deviations above the mean; overall: the share of good pages of all. The registered domain is the public
+    suffix (see parts_of()) and the label before it. With no outcomes at all every mean is one half. Only sums meet in
+    one task: three rows of them for each part.
     """
-    domain = F.substring_index("host", ".", -2).alias("domain")
-    suffix = F.substring_index("host", ".", -1).alias("suffix")
-    hosts = counts.select("host", domain, suffix, "n", "good")
+    domain, suffix = parts_of(F.col("host"), suffixes)
+    hosts = counts.select("host", domain.alias("domain"), suffix.alias("suffix"), "n", "good")
     labelled = hosts.filter("n > 0")
     domains = labelled.groupBy("domain", "suffix").agg(F.sum("n").alias("dn"), F.sum("good").alias("dgood"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("dn").alias("sn"), F.sum("dgood").alias("sgood"))
-    everything = suffixes.agg((F.coalesce(F.sum("sgood") / F.sum("sn"), F.lit(0.5))).alias("overall"))
+    by_suffix = domains.groupBy("suffix").agg(F.sum("dn").alias("sn"), F.sum("dgood").alias("sgood"))
+    everything = by_suffix.agg((F.coalesce(F.sum("sgood") / F.sum("sn"), F.lit(0.5))).alias("overall"))
     kappas = everything
-    for name, groups in (("hk", labelled), ("dk", domains.select(F.col("dn").alias("n"), F.col("dgood").alias("good"))), ("sk", suffixes.select(F.col("sn").alias("n"), F.col("sgood").alias("good")))):
+    for name, groups in (("hk", labelled), ("dk", domains.select(F.col("dn").alias("n"), F.col("dgood").alias("good"))), ("sk", by_suffix.select(F.col("sn").alias("n"), F.col("sgood").alias("good")))):
         # one row each
-        kappas = kappas.crossJoin(F.broadcast(_strength(groups, least, most).withColumnRenamed("kappa", name)))
-    known = hosts.join(domains.drop("suffix"), "domain", "left").join(suffixes, "suffix", "left").na.fill(0, ["dn", "dgood", "sn", "sgood"])
+        kappas = kappas.crossJoin(F.broadcast(_strength(groups, least).withColumnRenamed("kappa", name)))
+    known = hosts.join(domains.drop("suffix"), "domain", "left").join(by_suffix, "suffix", "left").na.fill(0, ["dn", "dgood", "sn", "sgood"])
     known = known.crossJoin(F.broadcast(kappas))
     known = known.withColumn("smean", (F.col("sgood") + F.col("sk") * F.col("overall")) / (F.col("sn") + F.col("sk")))
     known = known.withColumn("dmean", (F.col("dgood") + F.col("dk") * F.col("smean")) / (F.col("dn") + F.col("dk")))
     known = known.withColumn("mean", (F.col("good") + F.col("hk") * F.col("dmean")) / (F.col("n") + F.col("hk")))
-    bound = F.col("mean") - z * F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("n") + F.col("hk") + 1))
-    return known.select("host", "n", "mean", bound.alias("bound"))
+    bound = F.col("mean") + z * F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("n") + F.col("hk") + 1))
+    return known.select("host", "n", "mean", bound.alias("bound"), "overall")
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, *, rules: list[tuple[str, str, str]] = RULES, threshold: float = 0.6, **fit) -> DataFrame:
+def judge(pages: DataFrame, outcomes: DataFrame, *, rules: list[tuple[str, str, str]] = RULES, share: float = 0.9, **fit) -> DataFrame:
     """A verdict for every row of ``pages`` (page_id, url): ``page_id, host, path, rule, verdict``.
 
     ``outcomes``: page_id, good (0 or 1) of labelled pages; a page_id there counts for each page row that has it, and
-    null ids for none. The longest rule that fits decides; else the host's posterior bound against ``threshold``. Null
-    urls have the empty host, which has a reputation like any other; repeated rows stay; an empty table gives no rows.
+    null ids for none. The longest rule that fits decides; else the host is blocked if its upper posterior bound is under
+    ``share`` of the share of good pages of all. Null urls have the empty host, which has a reputation like any other;
+    repeated rows stay; an empty table gives no rows; urls of any length are read whole.
     """
     cut = with_host_and_path(pages)
     seen = cut.select("page_id", "host").join(outcomes.filter("good is not null").select("page_id", "good"), "page_id", "left")
     counts = seen.groupBy("host").agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"))
     known = reputation(materialise(counts, "hosts"), **fit)
-    verdict = F.when(F.col("bound") < threshold, "block").otherwise("allow")
+    verdict = F.when(F.col("bound") < share * F.col("overall"), "block").otherwise("allow")
     out = cut.join(known.select("host", verdict.alias("reputed")), "host").withColumn("found", rule_of(F.col("host"), F.col("path"), rules))
     return out.select("page_id", "host", "path", F.col("found.rule").alias("rule"), F.coalesce("found.verdict", "reputed").alias("verdict"))
 
@@ -100,14 +122,17 @@ def page_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
     return named.filter("doc_id is not null").join(marks, "doc_id").select("page_id", "good").distinct()
 
 
-def _strength_sql(table: str, n: str, good: str, least: float, most: float) -> str:
-    return f"""(SELECT greatest({least}, least({most}, coalesce(CASE WHEN n > nn / n AND spread > 0 THEN p * (1 - p) / spread - 1 ELSE {most} END, {most}))) FROM
+def _strength_sql(table: str, n: str, good: str, least: float) -> str:
+    return f"""(SELECT greatest({least}, least(coalesce(n, 0), coalesce(CASE WHEN n > nn / n AND spread > 0 THEN p * (1 - p) / spread - 1 END, n, 0))) FROM
         (SELECT *, (gg - n * p * p - p * (1 - p) * (m - 1)) / (n - nn / n) AS spread FROM (SELECT *, good / n AS p FROM
         (SELECT sum({n})::DOUBLE AS n, sum({good})::DOUBLE AS good, count(*)::DOUBLE AS m, sum({n} * {n})::DOUBLE AS nn, sum({good} * {good} / {n}) AS gg FROM {table}))))"""
 
 
-def oracle(least: float = 1.0, most: float = 1000.0, z: float = 1.645, threshold: float = 0.6) -> str:
+def oracle(least: float = 1.0, z: float = 1.645, share: float = 0.9) -> str:
     """judge() over ``pages`` and page_outcomes() in DuckDB SQL."""
+    wide = "array_to_string({p}[-2:], '.') IN (" + ", ".join(f"'{x}'" for x in SUFFIXES) + ")"
+    domain = "CASE WHEN " + wide + " THEN array_to_string({p}[-3:], '.') ELSE array_to_string({p}[-2:], '.') END"
+    suffix = "CASE WHEN " + wide + " THEN array_to_string({p}[-2:], '.') ELSE {p}[-1] END"
     rules = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)
     return f"""
     WITH rest AS (SELECT page_id, CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
@@ -116,16 +141,16 @@ def oracle(least: float = 1.0, most: float = 1000.0, z: float = 1.645, threshold
     marks AS (SELECT doc_id, min(CASE WHEN quality = 1 AND coalesce(toxic, 0) = 0 THEN 1 ELSE 0 END) AS good FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY 1),
     outcomes AS (SELECT DISTINCT page_id, good FROM cut JOIN marks ON doc_id = try_cast(regexp_extract(path, '/([0-9]+)', 1) AS BIGINT)),
     h AS (SELECT host, string_split(host, '.') AS parts, count(*) AS n, sum(good)::BIGINT AS good FROM cut JOIN outcomes USING (page_id) GROUP BY 1),
-    hosts AS (SELECT host, array_to_string(parts[-2:], '.') AS domain, parts[-1] AS suffix, n, good FROM h),
+    hosts AS (SELECT host, {domain.format(p="parts")} AS domain, {suffix.format(p="parts")} AS suffix, n, good FROM h),
     domains AS (SELECT domain, suffix, sum(n)::BIGINT AS dn, sum(good)::BIGINT AS dgood FROM hosts GROUP BY 1, 2),
     suffixes AS (SELECT suffix, sum(dn)::BIGINT AS sn, sum(dgood)::BIGINT AS sgood FROM domains GROUP BY 1),
-    k AS (SELECT {_strength_sql("hosts", "n", "good", least, most)} AS hk, {_strength_sql("domains", "dn", "dgood", least, most)} AS dk, {_strength_sql("suffixes", "sn", "sgood", least, most)} AS sk,
+    k AS (SELECT {_strength_sql("hosts", "n", "good", least)} AS hk, {_strength_sql("domains", "dn", "dgood", least)} AS dk, {_strength_sql("suffixes", "sn", "sgood", least)} AS sk,
         (SELECT coalesce(sum(sgood) / sum(sn), 0.5) FROM suffixes) AS overall),
     known AS (SELECT a.host, coalesce(h.n, 0) AS n, coalesce(h.good, 0) AS good, coalesce(dn, 0) AS dn, coalesce(dgood, 0) AS dgood, coalesce(sn, 0) AS sn, coalesce(sgood, 0) AS sgood
-        FROM (SELECT DISTINCT host, array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix FROM cut) a
+        FROM (SELECT host, {domain.format(p="parts")} AS domain, {suffix.format(p="parts")} AS suffix FROM (SELECT DISTINCT host, string_split(host, '.') AS parts FROM cut)) a
         LEFT JOIN hosts h ON h.host = a.host LEFT JOIN domains d ON d.domain = a.domain LEFT JOIN suffixes s ON s.suffix = a.suffix),
-    means AS (SELECT host, n, hk, (good + hk * (dgood + dk * (sgood + sk * overall) / (sn + sk)) / (dn + dk)) / (n + hk) AS mean FROM known, k),
-    judged AS (SELECT host, CASE WHEN mean - {z} * sqrt(mean * (1 - mean) / (n + hk + 1)) < {threshold} THEN 'block' ELSE 'allow' END AS reputed FROM means),
+    means AS (SELECT host, n, hk, overall, (good + hk * (dgood + dk * (sgood + sk * overall) / (sn + sk)) / (dn + dk)) / (n + hk) AS mean FROM known, k),
+    judged AS (SELECT host, CASE WHEN mean + {z} * sqrt(mean * (1 - mean) / (n + hk + 1)) < {share} * overall THEN 'block' ELSE 'allow' END AS reputed FROM means),
     ruled AS (SELECT host, path, arg_max(r.h || r.p, length(r.h || r.p)) AS rule, arg_max(r.v, length(r.h || r.p)) AS verdict FROM (SELECT DISTINCT host, path FROM cut) c
         JOIN (VALUES {rules}) r(v, h, p) ON (host = r.h OR ends_with(host, '.' || r.h)) AND starts_with(path, r.p) GROUP BY 1, 2)
     SELECT page_id, c.host, c.path, r.rule, coalesce(r.verdict, j.reputed) AS verdict FROM cut c JOIN judged j USING (host) LEFT JOIN ruled r ON r.host = c.host AND r.path = c.path

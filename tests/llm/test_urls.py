@@ -44,19 +44,17 @@ def test_hosts_paths_and_rules(spark):
 
 def strength(groups):
     n, good = sum(a for a, _ in groups), sum(b for _, b in groups)
-    if not n:
-        return 1000.0
     p, nn = good / n, sum(a * a for a, _ in groups)
     spread = (sum(b * b / a for a, b in groups) - n * p * p - p * (1 - p) * (len(groups) - 1)) / (n - nn / n) if n > nn / n else 0
-    return min(1000.0, max(1.0, p * (1 - p) / spread - 1)) if spread > 0 else 1000.0
+    return max(1.0, min(n, p * (1 - p) / spread - 1 if spread > 0 else n))
 
 
 def test_reputation_is_brute_force(spark):
-    data = {"a.x.com": (50, 5), "b.x.com": (4, 4), "c.y.com": (200, 190), "d.z.org": (1, 0), "": (3, 3), "only": (10, 1)}
+    data = {"a.x.com": (50, 5), "b.x.com": (4, 4), "c.y.com": (200, 190), "d.z.org": (1, 0), "": (3, 3), "only": (10, 1), "a.shop.co.uk": (9, 2), "b.other.co.uk": (20, 19), "co.uk": (2, 1)}
     hosts = [*data, "new.x.com", "new.w.net"]
     counts = spark.createDataFrame([(h, *data.get(h, (0, 0))) for h in hosts], "host string, n long, good long")
     got = {r.host: r for r in urls.reputation(counts).collect()}
-    up = lambda h, k: ".".join(h.split(".")[-k:])
+    up = lambda h, k: ".".join(h.split(".")[-k - (h.split(".")[-2:] == ["co", "uk"]) :])
     level = lambda k: {d: tuple(sum(data[h][i] for h in data if up(h, k) == d) for i in (0, 1)) for d in {up(h, k) for h in data}}
     dom, suf = level(2), level(1)
     hk, dk, sk = strength(list(data.values())), strength(list(dom.values())), strength(list(suf.values()))
@@ -68,10 +66,21 @@ def test_reputation_is_brute_force(spark):
         dmean = (dg + dk * smean) / (dn + dk)
         n, g = data.get(h, (0, 0))
         mean = (g + hk * dmean) / (n + hk)
-        bound = mean - 1.645 * (mean * (1 - mean) / (n + hk + 1)) ** 0.5
+        bound = mean + 1.645 * (mean * (1 - mean) / (n + hk + 1)) ** 0.5
         assert abs(got[h].mean - mean) < 1e-9 and abs(got[h].bound - bound) < 1e-9, h
-    bad = urls.judge(spark.createDataFrame([(1, "http://a.x.com/q"), (2, "http://c.y.com/")], "page_id long, url string"), spark.createDataFrame([(1, 0)] * 40 + [(2, 1)] * 40 + [(None, 1), (2, None)], "page_id long, good int"))
-    assert {r.page_id: r.verdict for r in bad.collect()} == {1: "block", 2: "allow"}
+        assert abs(got[h].overall - overall) < 1e-9
+
+
+def test_the_reputation_decides(spark):
+    """A host that is credibly worse is blocked, so is one without outcomes below a bad domain; a new one passes."""
+    hosts = {**{f"h{i}.good{i}.com": (30, 27) for i in range(20)}, "a.farm.net": (40, 2), "b.farm.net": (40, 1), "c.farm.net": (40, 3), "few.other.com": (2, 1)}
+    urls_of = {h: f"http://{h}/q" for h in [*hosts, "new.farm.net", "new.else.com", "few.other.com"]}
+    pages = [(i, u) for i, u in enumerate(urls_of.values())]
+    marks = [(i, int(k < hosts[h][1])) for i, h in enumerate(urls_of) if h in hosts for k in range(hosts[h][0])]
+    got = {r.host: r.verdict for r in urls.judge(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(marks, "page_id long, good int"), rules=[]).collect()}
+    assert {h for h, v in got.items() if v == "block"} == {"a.farm.net", "b.farm.net", "c.farm.net", "new.farm.net"}
+    long = spark.createDataFrame([(1, "http://" + "a." * 50_000 + "com/" + "x" * 1_000_000)], "page_id long, url string")
+    assert urls.judge(long, spark.createDataFrame([(1, 1)], "page_id long, good int")).selectExpr("length(host)", "length(path)", "verdict").collect() == [(100_003, 1_000_001, "allow")]
 
 
 def test_outcomes_come_from_the_number_in_the_path(spark):
