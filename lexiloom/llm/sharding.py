@@ -31,10 +31,13 @@ def topology(shards: int, *, built: int = 8, racks: int = 2, per_rack: int = 2)
     """Shards 0 to ``shards - 1``. The first ``built`` fill regions of ``racks`` racks of ``per_rack`` shards.
 
     Each later shard is a region of its own, so that no older subtree changes its weight: it takes keys only into
-    itself.
+    itself. That holds from ``built`` shards up, so there can't be fewer: a smaller tree is laid out with a smaller
+    ``built``, and keeps it as it grows.
     """
+    if not 1 <= built <= shards:
+        raise ValueError(f"{shards} shards, but the tree is laid out for {built} from the start")
     per_region = racks * per_rack
-    old = [Shard(s // per_region, s % per_region // per_rack, s) for s in range(min(shards, built))]
+    old = [Shard(s // per_region, s % per_region // per_rack, s) for s in range(built)]
     first = -(-built // per_region)
     return old + [Shard(first + s - built, 0, s) for s in range(built, shards)]
 
@@ -74,7 +77,9 @@ def place(docs: DataFrame, shards: int = 8, **shape) -> DataFrame:
     Returns doc_id, size (bytes of the text and 1; a null text has none), text_crc32, law, shard, slot, grown_shard
     (with one shard more). Slots count from 0 in each shard without a gap: rows are numbered where they lie, and the
     numbers of the parts before are added, so no shard is gathered. A null doc_id is a key like any other; rows with
-    equal doc_id share a shard and have slots of their own; an empty table gives no rows; other columns aren't read.
+    equal doc_id share a shard and have slots of their own; an empty table gives no rows; other columns aren't read;
+    a text of any length is one row's size and checksum. ``shape``: see topology(); its ``built`` must stay the same
+    while shards are added.
     """
     text, key = F.col("text"), F.col("doc_id")
     rows = docs.select(

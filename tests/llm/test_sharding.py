@@ -1,6 +1,10 @@
+import math
+import struct
 import zlib
 from collections import Counter
 
+import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from lexiloom.llm.sharding import Shard, place, shard_of, topology
@@ -22,11 +26,40 @@ def test_placement(spark):
     assert place(df.limit(0)).isEmpty()
 
 
-def test_each_added_shard_takes_rows_only_into_itself(spark):
-    df = spark.range(3000)
-    for n in (8, 9, 10, 11):
-        moved = df.select(shard_of(F.col("id"), topology(n)).alias("a"), shard_of(F.col("id"), topology(n + 1)).alias("b")).filter("a <> b")
-        assert {r.b for r in moved.select("b").distinct().collect()} == {n}
+def drawn(key, nodes):
+    """The descent of the weighted tree, drawn apart from Spark."""
+    path, left = (), nodes
+    for level in ("region", "rack", "shard"):
+        draws = []
+        for child in sorted({getattr(n, level) for n in left}):
+            seed = xxhash.xxh64_intdigest("/".join(map(str, (*path, child))), 42)
+            mixed = seed if key is None else xxhash.xxh64_intdigest(struct.pack("<q", key), seed)
+            draws.append((-math.log(((mixed >> 11) + 0.5) / 2**53) / sum(n.weight for n in left if getattr(n, level) == child), child))
+        won = min(draws)[1] if len(draws) > 1 else draws[0][1]
+        path, left = (*path, won), [n for n in left if getattr(n, level) == won]
+    return path[-1]
+
+
+@pytest.mark.parametrize("built", [1, 2, 3, 5, 8])
+def test_each_added_shard_takes_rows_only_into_itself(spark, built):
+    keys = [*range(700), -5, 1 << 40, None]
+    df = spark.createDataFrame([(k,) for k in keys], "id long")
+    sizes = range(built, 22)
+    got = df.select("id", *[shard_of(F.col("id"), topology(n, built=built)).alias(f"n{n}") for n in sizes]).collect()
+    for n in sizes:
+        nodes = topology(n, built=built)
+        assert [r[f"n{n}"] for r in got] == [drawn(r.id, nodes) for r in got]
+        if n > built:
+            assert {r[f"n{n}"] for r in got if r[f"n{n}"] != r[f"n{n - 1}"]} == {n - 1}
+
+
+def test_fewer_shards_than_the_tree_was_laid_out_for(spark):
+    with pytest.raises(ValueError):
+        topology(7)
+    df = spark.createDataFrame([(i, "x" * (1_000_000 * (i == 3))) for i in range(40)], "doc_id long, text string")
+    out = place(df, 3, built=2).collect()
+    assert {r.shard for r in out} <= {0, 1, 2} and all(r.grown_shard in (r.shard, 3) for r in out)
+    assert max(r["size"] for r in out) == 1_000_001
 
 
 def test_a_change_of_weight_moves_rows_only_into_its_subtree(spark):
