@@ -50,11 +50,15 @@ VALID = {
 }
 
 
-def located(text: Column, pattern: Column, kind: str) -> Column:
-    """All matches of ``pattern`` from left to right, as spans of code points: the gaps between them give the places."""
+def located(text: Column, pattern: Column, kind: str, block: int = 256) -> Column:
+    """All matches of ``pattern`` from left to right, as spans of code points: the gaps between them give the places.
+
+    Spans are gathered in blocks of ``block`` matches, so that a text with very many costs little more for each.
+    """
     found = F.regexp_extract_all(text, pattern, F.lit(0))
     steps = F.zip_with(found, F.slice(F.split(text, pattern, -1), 1, F.size(found)), lambda m, g: F.struct(F.length(g).alias("gap"), m.alias("value")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("spans"))
+    cuts = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / block).cast("int")), lambda b: F.slice(steps, b * block + 1, block))
+    none = F.array().cast(SPANS)
 
     def step(acc: Column, x: Column) -> Column:
         first = acc["at"] + x["gap"]
@@ -62,7 +66,12 @@ def located(text: Column, pattern: Column, kind: str) -> Column:
         span = F.struct(F.lit(kind).alias("kind"), first.alias("start"), stop.alias("stop"), x["value"].alias("value"))
         return F.struct(stop.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
 
-    return F.aggregate(steps, start, step, lambda acc: acc["spans"])
+    def whole(acc: Column, cut: Column) -> Column:
+        at = F.coalesce(F.get(acc, F.size(acc) - 1)["at"], F.lit(0))
+        return F.concat(acc, F.array(F.aggregate(cut, F.struct(at.alias("at"), none.alias("spans")), step)))
+
+    blocks = F.aggregate(cuts, F.array().cast(f"array<struct<at: int, spans: {SPANS}>>"), whole)
+    return F.when(F.size(found) > 0, F.flatten(F.transform(blocks, lambda b: b["spans"]))).otherwise(none)
 
 
 def base_spans(text: Column, kind: str) -> Column:
@@ -76,9 +85,9 @@ def written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")
 
 
-def terms(text: Column, shortest: int = 4) -> Column:
-    """Distinct lower-cased words of letters."""
-    return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: F.length(w) >= shortest))
+def terms(text: Column) -> Column:
+    """Distinct lower-cased words of letters and digits, of any length: names, numbers, tokens."""
+    return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
 
 
 def letters(line: Column) -> Column:
@@ -174,7 +183,7 @@ def sanitise(docs: DataFrame, **limits) -> DataFrame:
     out = found.join(materialise(hits, "hits"), "row", "left")
 
     def spans_of(any_: str, kind: str) -> Column:
-        pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.col(any_), F.lit(r")(?!\p{L})"))
+        pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.col(any_), F.lit(r")(?![\p{L}\p{N}])"))
         return F.when(F.col(any_).isNotNull(), located(F.col("text"), pattern, kind)).otherwise(F.array().cast(SPANS))
 
     out = out.withColumn("term", F.array_sort(F.concat(spans_of("general", "term"), spans_of("gone", "removed")), lambda a, b: a["start"] - b["start"]))
@@ -212,9 +221,9 @@ def _located_sql(kind: str) -> str:
         FROM (SELECT row, m, g, unnest(range(1, len(m) + 1)) AS i FROM (SELECT row, regexp_extract_all(text, '{PLAIN[kind]}') AS m, regexp_split_to_array(text, '{PLAIN[kind]}') AS g FROM d))) WHERE {valid[kind]}"""
 
 
-def oracle(threshold: float = 0.8, removal: float = 0.95, support: int = 3, shortest: int = 4) -> str:
+def oracle(threshold: float = 0.8, removal: float = 0.95, support: int = 3) -> str:
     """report() in DuckDB SQL."""
-    terms_of = lambda x: f"unnest(list_distinct(list_filter(regexp_split_to_array(lower({x}), '[^\\p{{L}}]+'), lambda w: length(w) >= {shortest})))"
+    terms_of = lambda x: f"unnest(list_distinct(list_filter(regexp_split_to_array(lower({x}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')))"
     return f"""
     WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
     spans AS ({" UNION ALL ".join(_located_sql(k) for k in KINDS)}),
@@ -228,7 +237,7 @@ def oracle(threshold: float = 0.8, removal: float = 0.95, support: int = 3, shor
     lines AS (SELECT unnest(string_split(text, chr(10))) AS line FROM d),
     often AS (SELECT term, count(*) AS ft FROM (SELECT {terms_of("line")} AS term FROM lines) SEMI JOIN pairs USING (term) GROUP BY 1),
     said AS (SELECT term, max(CASE WHEN n > fe THEN ln(c * n / (ft * fe)) / ln(n / fe) ELSE 0 END) AS share FROM pairs JOIN often USING (term), (SELECT count(*)::DOUBLE AS n FROM lines) GROUP BY 1 HAVING share >= {threshold}),
-    words AS (SELECT row, 1 + length(pre) AS start, w FROM (SELECT row, regexp_extract_all(text, '\\p{{L}}+') AS ws, regexp_split_to_array(text, '\\p{{L}}+') AS gs FROM d WHERE row IN (SELECT row FROM (SELECT row, {terms_of("text")} AS term FROM d) SEMI JOIN said USING (term)))
+    words AS (SELECT row, 1 + length(pre) AS start, w FROM (SELECT row, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+') AS ws, regexp_split_to_array(text, '[\\p{{L}}\\p{{N}}]+') AS gs FROM d WHERE row IN (SELECT row FROM (SELECT row, {terms_of("text")} AS term FROM d) SEMI JOIN said USING (term)))
         , LATERAL (SELECT unnest(range(1, len(ws) + 1)) AS i), LATERAL (SELECT ws[i] AS w, array_to_string(list_concat(gs[1 : i], ws[1 : i - 1]), '') AS pre)),
     hits AS (SELECT row, CASE WHEN share >= {removal} THEN 'removed' ELSE 'term' END AS kind, 9 AS place, start - 1 AS start, start - 1 + length(w) AS stop FROM words JOIN said ON term = lower(w)),
     together AS (SELECT row, kind, place, start, stop FROM spans UNION ALL SELECT * FROM hits),

@@ -93,3 +93,19 @@ def test_overlaps_go_with_the_first(spark):
     df = spark.createDataFrame([(1, "call +1.2.3.4.5678 now")], "doc_id long, text string")
     r = pii.sanitise(df).first()
     assert pii_spans(r) == [("ip", 6, 13), ("phone", 5, 18)] and r.sanitised == "call <PHONE> now"
+
+
+def test_short_names_and_numbers_are_terms_too(spark):
+    said = ["then Li 4471 wrote to bob@corp.com again", "call li at bob@corp.com or 4471 now", "is LI (bob@corp.com) 4471?"]
+    rows = [*enumerate(said), (90, "Li came home."), (91, "room 4471 is free"), (92, "like 44710 others, Lia")] + [(10 + i, f"plain words w{i} or then again now at home is free") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.term for r in pii.disclosing(pii.detect(df)).collect()} == {"li", "4471"}
+    out = {r.doc.doc_id: r.sanitised for r in pii.sanitise(df).collect()}
+    assert (out[90], out[91], out[92]) == ("<TERM> came home.", "room <TERM> is free", "like 44710 others, Lia")
+
+
+def test_very_many_matches_keep_their_places(spark):
+    text = "".join(f"é {i % 200}.1.2.3 x" for i in range(1500))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    r = pii.report(df).first()
+    assert r.n_ip == 1500 and r.base_sha256 == hashlib.sha256(",".join(f"ip:{a}:{b}" for a, b in brute(text)["ip"]).encode()).hexdigest()
