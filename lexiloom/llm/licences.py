@@ -77,26 +77,26 @@ def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
 
     license: that of the entire text, by its canonical digest; null if unknown. notices: the licences of single lines,
     distinct, sorted, comma-joined; n_notices counts such lines; every line is looked up. ``known`` (digest, license) is
-    written first, joined by digest, and broadcast by Spark only where its measured size allows. A null text is empty and unknown; repeated rows stay, as do
-    null doc_ids; an empty table gives no rows; other columns aren't read.
+    joined by digest, and broadcast by Spark only where its measured size allows. A null text is empty and unknown;
+    repeated rows stay, as do null doc_ids; an empty table gives no rows; other columns aren't read.
+
+    Texts are read once: what is written is the digests of the text and of its lines, with a number for the row, so that
+    a lost executor can't number rows anew.
     """
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    known = materialise(known, "known")
-    marked = rows.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
-    lines = marked.select("row", F.explode(F.split("text", "\n")).alias("line"))
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.unhex(digest(x)))
+    rows = docs.select("doc_id", F.unhex(digest(F.coalesce("text", F.lit("")))).alias("digest"), lines.alias("lines"))
+    rows = materialise(rows.withColumn("row", F.monotonically_increasing_id()), "digests")
+    known = materialise(known.select(F.unhex("digest").alias("digest"), "license"), "known")
     found = (
-        lines.select("row", F.coalesce(digest(F.col("line")), F.lit("")).alias("digest"))
+        rows.select("row", F.explode("lines").alias("digest"))
         .join(known, "digest")
         .groupBy("row")
         .agg(F.count("*").alias("n_notices"), F.array_join(F.array_sort(F.collect_set("license")), ",").alias("notices"))
     )
-    marked = marked.select("doc_id", digest(F.col("text")).alias("digest"), "row")
-    out = marked.join(known, "digest", "left").join(found, "row", "left")
-    return out.select("doc_id", "digest", "license", F.coalesce("n_notices", F.lit(0)).cast("long").alias("n_notices"), F.coalesce("notices", F.lit("")).alias("notices"))
-
+    # written first: then both sides are plain exchanges
+    out = rows.select("row", "doc_id", "digest").join(known, "digest", "left").join(materialise(found, "notices"), "row", "left")
+    return out.select("doc_id", F.lower(F.hex("digest")).alias("digest"), "license", F.coalesce("n_notices", F.lit(0)).cast("long").alias("n_notices"), F.coalesce("notices", F.lit("")).alias("notices"))
 
-#: Every known notice has this word in one of its spellings.
-NOTICE_LIKE = r"(?i)licen[sc]e"
 
 SPELLED = "replace(" * len(SPELLINGS) + "{x}" + "".join(f", '{a}', '{b}')" for a, b in SPELLINGS)
 _LOW = r"regexp_replace(lower({x}), '(?m)^[ \t]*(?:copyright|\(c\)|©)[ \t]*(?:\(c\)|©|[0-9]{{4}})[^\n]*$', ' ', 'g')"
@@ -115,7 +115,7 @@ def oracle() -> str:
     lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents),
     found AS (SELECT doc_id, count(*) AS n, string_agg(DISTINCT license, ',' ORDER BY license) AS notices
               FROM lines JOIN known ON sha256({canonical_sql("line")}) = digest
-              WHERE regexp_matches(line, '(?i)licen[sc]e') GROUP BY 1),
+              GROUP BY 1),
     whole AS (SELECT doc_id, sha256({canonical_sql("coalesce(text, '')")}) AS digest FROM documents)
     SELECT w.doc_id, w.digest, k.license, coalesce(f.n, 0)::BIGINT AS n_notices, coalesce(f.notices, '') AS notices
     FROM whole w LEFT JOIN known k USING (digest) LEFT JOIN found f USING (doc_id)
