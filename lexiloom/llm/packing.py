@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .shared import materialise, whole_text
 
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>"
 #: Emitted pieces that a task holds before it hands them on.
 MOST_HELD = 1000
 #: Python's str.split() takes these for white space, the tokenizer does not.
@@ -163,6 +163,7 @@ class Packer:
 
 
 def _frame(rows: list[tuple], group: int | None) -> pd.DataFrame:
+    rows = [(*x[:7], None if x[7] is None else np.frombuffer(x[7], dtype="<i4")) for x in rows]
     out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
     return out.astype({"doc_id": "Int64"}).assign(part=pd.array([group] * len(out), dtype="Int64"))
 
@@ -207,8 +208,7 @@ def pack(docs: DataFrame, tokenizer: str, *, end_id: int = 1, size: int = 2048,
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    out = out.drop("part")
-    return with_ids(out) if keep_ids else out.drop("ids")
+    return out.drop("part") if keep_ids else out.drop("part", "ids")
 
 
 def _merging(level: int, last: bool, settings: tuple, fan_in: int, keep_ids: bool):
@@ -219,20 +219,10 @@ def _merging(level: int, last: bool, settings: tuple, fan_in: int, keep_ids: boo
         to = int(group["part"].iloc[0]) // fan_in
         packer = Packer(level << 58 | to << 32, *settings)
         for doc_id, start, ids, doc_tokens in zip(group["doc_id"].astype("Int64").array, group["start"], group["ids"], group["doc_tokens"], strict=True):
-            packer.add(doc_id, int(start), bytes(ids), int(doc_tokens))
+            packer.add(doc_id, int(start), np.asarray(ids, dtype="<i4").tobytes(), int(doc_tokens))
         if last:
             packer.close()
         done = packer.take(keep_ids)
         return done if last else pd.concat([done, packer.left().assign(part=to)])
 
     return merge
-
-
-def with_ids(pieces: DataFrame) -> DataFrame:
-    """ids from bytes to an array of int."""
-
-    @F.pandas_udf("array<int>")
-    def unpacked(ids: pd.Series) -> pd.Series:
-        return ids.map(lambda x: np.frombuffer(x, dtype="<u4").astype("int32"))
-
-    return pieces.withColumn("ids", unpacked("ids"))
