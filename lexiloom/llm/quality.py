@@ -90,14 +90,14 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]], *, factors
     scale = np.maximum(stats.std(axis=0), 1e-3) if rows else np.ones(STATISTICS)
     w, v, w0 = np.zeros(size), rng.normal(0, 0.05, (size, factors)), 0.0
     gw, gv, g0 = np.full(size, 1e-6), np.full((size, factors), 1e-6), 1e-6
-    ats = [np.append(r[0], WORDS + np.arange(STATISTICS)) for r in rows]
-    xs = [np.append(r[1], _standard(r[2], mean, scale)) for r in rows]
+    ats = [np.append(r[0], WORDS + np.arange(STATISTICS)).astype(np.int32) for r in rows]
+    xs = [np.append(r[1], _standard(r[2], mean, scale)).astype(np.float32) for r in rows]
     labels = np.array([r[3] for r in rows], dtype=float)
     for _ in range(epochs):
         order = rng.permutation(len(rows))
         for start in range(0, len(rows), batch):
             take = order[start : start + batch]
-            at, x, y = np.concatenate([ats[i] for i in take]), np.concatenate([xs[i] for i in take]), labels[take]
+            at, x, y = np.concatenate([ats[i] for i in take]), np.concatenate([xs[i] for i in take]).astype(float), labels[take]
             lengths = np.array([len(ats[i]) for i in take])
             first = np.cumsum(lengths) - lengths
             vx = v[at] * x[:, None]
@@ -136,12 +136,15 @@ def fit(docs: DataFrame, labels: DataFrame, *, most: int = 6000, **settings) ->
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(d, *features(t), q) for d, t, q in zip(batch["doc_id"], batch["text"], batch["quality"], strict=True)]
+            rows = []
+            for doc_id, text, quality in zip(batch["doc_id"], batch["text"], batch["quality"], strict=True):
+                buckets, counts, stats = features(text)
+                rows.append((doc_id, buckets.astype("<i4").tobytes(), counts.astype("<f4").tobytes(), stats.astype("<f8").tobytes(), quality))
             yield pd.DataFrame(rows, columns=["doc_id", "buckets", "counts", "stats", "quality"])
 
-    found = sample.mapInPandas(of, "doc_id long, buckets array<int>, counts array<float>, stats array<double>, quality int").toPandas()
-    found = found.assign(key=[np.asarray(b, dtype=np.int32).tobytes() for b in found["buckets"]]).sort_values(["doc_id", "key"])
-    rows = [(np.asarray(b, dtype=np.int64), np.asarray(c, dtype=float), np.asarray(s, dtype=float), int(q)) for b, c, s, q in zip(found["buckets"], found["counts"], found["stats"], found["quality"], strict=True)]
+    found = sample.mapInPandas(of, "doc_id long, buckets binary, counts binary, stats binary, quality int").orderBy("doc_id", "buckets")
+    # bounded by ``most``; 8 bytes for a word
+    rows = [(np.frombuffer(r.buckets, "<i4"), np.frombuffer(r.counts, "<f4"), np.frombuffer(r.stats, "<f8"), r.quality) for r in found.toLocalIterator()]
     return train(rows, **settings)
 
 
