@@ -4,8 +4,8 @@ Test items are short and documents long, so the Jaccard similarity of the two sa
 partitioned by their number of shingles m into classes u/2 < m <= u (u: powers of two), and for each class documents
 are cut into windows of 1.5 u shingles every u/2: an item that lies in a document lies whole in one window, with a
 similarity of about a quarter at least. Windows and items are compared by the coordinates of their MinHash signatures.
-A bit table of fixed size holds the items' coordinates; only documents whose windows of a class meet two of them, in one
-window or in several, leave the scan: an item may lie in pieces far apart. Each of its shingles is in a window of at most
+A bit table for each class, of 8 bits or more a coordinate, holds the items' coordinates; only documents whose windows of
+a class meet two of them, in one window or in several, leave the scan: an item may lie in pieces far apart. Each of its shingles is in a window of at most
 1.5 u, so a coordinate is met with a chance of m / (m + 1.5 u), a quarter at least, wherever the pieces lie and however
 often shingles repeat. What meets an item in the join is verified by exact shingle containment over the
 whole document.
@@ -26,7 +26,9 @@ from .shared import materialise
 #: Coordinates of a signature: a document that holds an item misses it with a chance of about 2 in 100,000, one that
 #: holds 0.8 of it in pieces with about 3 in 10,000.
 HASHES = 48
-TABLE_BITS = 22
+#: The least and the greatest size of a class's table, as powers of two of bits: 8 kB to 128 MB. Beyond 2 million items a
+#: class more windows leave the scan by chance; what is found stays the same.
+LEAST_BITS, MOST_BITS = 16, 30
 #: Shingles whose hashes are held at once.
 CHUNK = 1 << 14
 _RNG = np.random.default_rng(20)
@@ -91,7 +93,30 @@ def window_signatures(hashes: np.ndarray, classes: list[int]) -> Iterator[tuple[
 
 
 def _slots(signatures: np.ndarray) -> np.ndarray:
-    return ((signatures + np.arange(HASHES, dtype=np.uint64)) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - TABLE_BITS)
+    """A place in the greatest table for each coordinate; smaller tables take its upper bits."""
+    return ((signatures + np.arange(HASHES, dtype=np.uint64)) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - MOST_BITS)
+
+
+def table_bits(coordinates: int) -> int:
+    """The size, as a power of two, of a table for so many coordinates."""
+    return min(MOST_BITS, max(LEAST_BITS, (8 * coordinates - 1).bit_length()))
+
+
+def _met(table: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """Which slots are set. table: bits, eight a byte."""
+    at = slots >> np.uint64(MOST_BITS - (8 * len(table) - 1).bit_length())
+    return (table[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0
+
+
+def _tables(signed: DataFrame) -> dict[int, np.ndarray]:
+    """The bit table of each class; its slots come in pages of at most 2^16."""
+    sizes = {r["class"]: 1 << table_bits(r["n"]) for r in signed.groupBy("class").agg(F.count("*").alias("n")).collect()}
+    tables = {u: np.zeros(bits >> 3, dtype=np.uint8) for u, bits in sizes.items()}
+    pages = signed.groupBy("class", F.shiftright("slot", 16).alias("page")).agg(F.collect_set("slot").alias("slots"))
+    for r in pages.toLocalIterator():
+        at = np.asarray(r["slots"], dtype=np.int64) >> (MOST_BITS - sizes[r["class"]].bit_length() + 1)
+        np.bitwise_or.at(tables[r["class"]], at >> 3, (1 << (at & 7)).astype(np.uint8))
+    return tables
 
 
 def search(docs: DataFrame, items: DataFrame, *, width: int = 5, containment: float = 0.8) -> DataFrame:
@@ -100,7 +125,8 @@ def search(docs: DataFrame, items: DataFrame, *, width: int = 5, containment: fl
     ``docs``: doc_id, text; ``items``: item_id, text. A null or empty text has no shingles, contains nothing and is
     contained in nothing. Of repeated ids the best containment counts; null ids are kept as an id of their own. No
     documents or no items, no rows; other columns aren't read. Items may be many: they are broadcast by Spark only
-    where their measured size allows, and the bit tables have a fixed size for each of at most 30 classes.
+    where their measured size allows, and the bit tables grow with them up to 128 MB for each of at most 30 classes.
+    A document is cut into shingles once for all items that it may hold.
     """
     spark = docs.sparkSession
     wanted = items.select("item_id", words(F.col("text")).alias("words")).filter(F.size("words") > 0)
@@ -114,16 +140,14 @@ def search(docs: DataFrame, items: DataFrame, *, width: int = 5, containment: fl
                 yield pd.DataFrame({"item_id": pd.array([item_id] * HASHES, dtype="Int64"), "class": u, "place": np.arange(HASHES), "value": least.view(np.int64), "slot": _slots(least[None, :])[0].astype(np.int64)})
 
     signed = materialise(wanted.mapInPandas(sign, "item_id long, class int, place int, value long, slot long"), "signed")
-    tables = {r["class"]: np.zeros(1 << TABLE_BITS, dtype=bool) for r in signed.select("class").distinct().collect()}
-    for r in signed.groupBy("class").agg(F.collect_set("slot").alias("slots")).toLocalIterator():
-        tables[r["class"]][r["slots"]] = True
+    tables = _tables(signed)
     classes = sorted(tables)
     if classes:
         classes = [1 << k for k in range(classes[0].bit_length() - 1, classes[-1].bit_length())]
-    packed = spark.sparkContext.broadcast({u: np.packbits(t) for u, t in tables.items()})
+    packed = spark.sparkContext.broadcast(tables)
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = {u: np.unpackbits(t).view(bool) for u, t in packed.value.items()}
+        held = packed.value
         for batch in batches:
             out = []
             for doc_id, text in zip(batch["doc_id"].astype("Int64").array, batch["text"], strict=True):
@@ -133,7 +157,7 @@ def search(docs: DataFrame, items: DataFrame, *, width: int = 5, containment: fl
                 for u, signatures in window_signatures(hashes, classes):
                     if u not in held:
                         continue
-                    met = held[u][_slots(signatures)]
+                    met = _met(held[u], _slots(signatures))
                     at, place = np.nonzero(met)
                     if len(np.unique(place)) >= 2:
                         values = signatures[at, place].view(np.int64)
@@ -146,9 +170,13 @@ def search(docs: DataFrame, items: DataFrame, *, width: int = 5, containment: fl
     met = rows.mapInPandas(probe, "doc_id long, class int, place int, value long")
     pairs = met.join(signed.drop("slot"), ["class", "place", "value"]).groupBy("doc_id", "item_id").agg(F.count("*").alias("n")).select(F.col("doc_id").alias("held_by"), F.col("item_id").alias("item"))
     pairs = materialise(pairs, "candidates")
-    texts = docs.select("doc_id", "text").join(pairs, F.col("doc_id").eqNullSafe(F.col("held_by")))
+    # a document's items in one list, which their number bounds
+    listed = materialise(pairs.groupBy("held_by").agg(F.collect_set(F.struct("item")).alias("items")), "listed")
+    texts = docs.select("doc_id", "text").join(listed, F.col("doc_id").eqNullSafe(F.col("held_by")))
+    # words are a column of their own: inside shingles() the text would be split for each shingle
+    texts = texts.select("doc_id", words(F.col("text")).alias("words"), "items.item").select("doc_id", "item", shingles(F.col("words"), width).alias("held"))
+    texts = texts.select("doc_id", "held", F.explode("item").alias("item"))
     both = texts.join(wanted.select("item_id", F.col("shingles").alias("wanted")), F.col("item").eqNullSafe(F.col("item_id")))
-    both = both.withColumn("words", words(F.col("text"))).withColumn("held", shingles(F.col("words"), width))
     share = F.size(F.array_intersect("wanted", "held")) / F.size("wanted")
     return both.select("doc_id", "item_id", share.alias("containment")).groupBy("doc_id", "item_id").agg(F.max("containment").alias("containment")).filter(F.col("containment") >= containment)
 

@@ -73,3 +73,27 @@ def test_an_item_in_pieces_far_apart(spark):
         items.append((i, " ".join(item)))
     got = {(r.doc_id, r.item_id): r.containment for r in d.search(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert got == brute(docs, items) == {(i, i): 1.0 for i, _ in docs}
+
+
+def test_tables_grow_with_the_items(spark):
+    assert [d.table_bits(n) for n in (1, 1 << 13, (1 << 13) + 1, 1 << 40)] == [16, 16, 17, 30]
+    rng = np.random.default_rng(1)
+    slots = rng.integers(0, 1 << d.MOST_BITS, 30_000)
+    signed = spark.createDataFrame([(8, int(s)) for s in slots] + [(16, 5)], "class int, slot long")
+    tables = d._tables(signed)
+    assert {u: 8 * len(t) for u, t in tables.items()} == {8: 1 << 18, 16: 1 << 16}
+    assert d._met(tables[8], slots.astype(np.uint64)).all() and d._met(tables[16], np.array([5], dtype=np.uint64)).all()
+    other = rng.integers(0, 1 << d.MOST_BITS, 30_000).astype(np.uint64)
+    assert d._met(tables[8], other).mean() < 0.15
+
+
+def test_very_long_items_and_documents(spark):
+    """An item of more shingles than are hashed at once, whole and in halves far apart."""
+    rng = random.Random(5)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    long, short = words(20_000), words(40)
+    docs = [(1, words(3000) + long + words(3000)), (2, long[:10_000] + words(40_000) + long[10_000:]), (3, long[:12_000]), (4, words(70_000) + short), (5, words(20_000))]
+    docs = [(i, " ".join(w)) for i, w in docs]
+    items = [(7, " ".join(long)), (8, " ".join(short))]
+    got = {(r.doc_id, r.item_id): r.containment for r in d.search(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == brute(docs, items) and set(got) == {(1, 7), (2, 7), (4, 8)}
