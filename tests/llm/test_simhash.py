@@ -101,3 +101,10 @@ def test_long_chains_of_edges(spark):
     out = {r.node: r.component for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert {out[i] for i in range(61)} == {0} and out[300] == 0 and out[201] == out[200] == 200 and 100 not in out
     assert components(spark.createDataFrame([], "a long, b long")).isEmpty()
+
+
+def test_a_text_of_more_shingles_than_are_hashed_at_once():
+    rng = random.Random(9)
+    for n in (1 << 16, (1 << 16) + 2, (1 << 16) + 3, 140_000):
+        text = " ".join(rng.choices(["alpha", "Beta", "c", "dd"], k=n))
+        assert simhash.fingerprint(text) == brute_fingerprint(text)
