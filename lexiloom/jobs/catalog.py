@@ -214,20 +214,22 @@ def j6_edges_with_ends(m):
     return graph.with_ends(m.edges(), names, ["chunks"]).select("id", "source_chunks", "target_chunks")
 
 
-_START = "SELECT source_entity_id AS node FROM edges WHERE source_entity_id LIKE 'ab%'"
+#: The names with most edges: they have neighbours at every scale.
+_START = "SELECT node FROM (SELECT source_entity_id AS node FROM edges UNION ALL SELECT target_entity_id FROM edges) GROUP BY 1 ORDER BY count(*) DESC, node LIMIT {}"
 
 
-def _start(m):
-    return m.edges().filter("source_entity_id like 'ab%'").select(F.col("source_entity_id").alias("node")).distinct()
+def _start(edges, n):
+    return graph.most_connected(edges, n).select(F.col("id").alias("node"))
 
 
-@query(f"SELECT DISTINCT node, neighbour FROM (SELECT source_entity_id AS node, target_entity_id AS neighbour FROM edges UNION ALL SELECT target_entity_id, source_entity_id FROM edges) WHERE node IN ({_START})", "edges")
+@query(f"SELECT DISTINCT node, neighbour FROM (SELECT source_entity_id AS node, target_entity_id AS neighbour FROM edges UNION ALL SELECT target_entity_id, source_entity_id FROM edges) WHERE node IN ({_START.format(20)})", "edges")
 def j7_neighbours(m):
-    return graph.neighbours(m.edges(), _start(m))
+    edges = io.written(m.edges(), "edges")
+    return graph.neighbours(edges, _start(edges, 20))
 
 
-_HOP = """, links AS (SELECT source_entity_id AS a, target_entity_id AS b FROM edges WHERE confidence_score >= 0.9 UNION SELECT target_entity_id, source_entity_id FROM edges WHERE confidence_score >= 0.9),
-h0 AS (SELECT DISTINCT source_entity_id AS start, source_entity_id AS node, 0::BIGINT AS hop FROM edges WHERE source_entity_id LIKE 'abl%'),
+_HOP = f""", links AS (SELECT source_entity_id AS a, target_entity_id AS b FROM edges UNION SELECT target_entity_id, source_entity_id FROM edges),
+h0 AS (SELECT node AS start, node, 0::BIGINT AS hop FROM ({_START.format(3)})),
 h1 AS (SELECT DISTINCT start, b AS node, 1::BIGINT AS hop FROM h0 JOIN links ON a = node), h2 AS (SELECT DISTINCT start, b AS node, 2::BIGINT AS hop FROM h1 JOIN links ON a = node)
 SELECT start, node, min(hop) AS hop FROM (SELECT * FROM h0 UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2) GROUP BY 1, 2"""
 
@@ -235,8 +237,7 @@ SELECT start, node, min(hop) AS hop FROM (SELECT * FROM h0 UNION ALL SELECT * FR
 @query(_HOP, "edges")
 def j8_k_hop(m):
     edges = io.written(m.edges(), "edges")
-    start = edges.filter("source_entity_id like 'abl%'").select(F.col("source_entity_id").alias("node")).distinct()
-    return graph.k_hop(read.scored_at_least(edges, 0.9, "confidence_score"), start, 2)
+    return graph.k_hop(edges, _start(edges, 3), 2)
 
 
 @query()
@@ -741,7 +742,7 @@ def _folder(m, name: str) -> str:
 def t1_ingest(m):
     target = _folder(m, "chunks")
     streams.ingest(_stream(m, "documents"), target, _folder(m, "ingest"))
-    return m.spark.read.parquet(f"{target}/batch=*").select("document_id", "chunk_index", "page_number", F.md5("content").alias("content"))
+    return m.spark.read.parquet(target).select("document_id", "chunk_index", "page_number", F.md5("content").alias("content"))
 
 
 def _collected(m, stream: DataFrame, name: str) -> DataFrame:

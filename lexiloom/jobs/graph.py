@@ -70,7 +70,7 @@ def k_hop(edges: DataFrame, start: DataFrame, hops: int, *, direction: str = "bo
 
     Each step is written to the shared folder, so the plan stays short; a step without new nodes is the last.
     """
-    links = adjacency(edges, direction).select("node", "neighbour").distinct()
+    links = written(adjacency(edges, direction).select("node", "neighbour").distinct(), "links")
     seen = written(start.select(F.col("node").alias("start"), "node", F.lit(0).alias("hop")).distinct(), "hop")
     front = seen
     for hop in range(1, hops + 1):

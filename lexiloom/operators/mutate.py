@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import FOREIGN_KEYS
+from ..sources.tables import written
 
 
 def stamped(rows: DataFrame, now: Column, actor: Column) -> DataFrame:
@@ -37,7 +38,11 @@ def add_new(table: DataFrame, rows: DataFrame, now: Column, actor: Column, key:
 
 
 def update(table: DataFrame, rows: DataFrame, now: Column, actor: Column, key: str = "id") -> tuple[DataFrame, DataFrame]:
-    """(the table with whole rows replaced by key and stamped, the keys that matched nothing)."""
+    """(the table with whole rows replaced by key and stamped, the keys that matched nothing).
+
+    Of ``rows`` with one key, which collisions() names, the greatest counts, compared column by column.
+    """
+    rows = rows.groupBy(F.col(key).alias("__key")).agg(F.max(F.struct(*rows.columns)).alias("row")).select("row.*")
     fresh = rows.join(table.select(key), key, "left_semi").withColumns({"updated_at": now, "updated_by": actor})
     unmatched = rows.join(table.select(key), key, "left_anti").select(key)
     return table.join(rows.select(key), key, "left_anti").unionByName(fresh), unmatched
@@ -91,7 +96,8 @@ def doomed_by_table(tables: dict[str, DataFrame], roots: dict[str, DataFrame], k
                 parents = out[fk.parent].select(F.col(key).alias(fk.column))
                 ways.append(tables[name].join(parents, fk.column, "left_semi").select(key))
         if ways:
-            out[name] = reduce(DataFrame.unionByName, ways).distinct() if len(ways) > 1 else ways[0]
+            # written, so that the tables below don't find these ids again
+            out[name] = written(reduce(DataFrame.unionByName, ways).distinct() if len(ways) > 1 else ways[0], "doomed")
     return out
 
 

@@ -28,9 +28,11 @@ def pages(spark: SparkSession, path: str, document_id: str, page_number: str, te
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, which all executors see; where unset, as in tests, a new local folder."""
+    """``spark.checkpoint.dir``, which all executors see; where unset, a new local folder, if Spark runs on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)

@@ -18,19 +18,23 @@ def read_files(spark: SparkSession, path: str, schema: T.StructType, per_batch:
 def ingest(stream: DataFrame, target: str, checkpoint: str, *, key: str = "doc_id", text: str = "text") -> None:
     """Chunk the documents that have arrived and append the chunks to ``target``, each once, however often it is retried.
 
-    Chunks have ids that depend on document and index alone, and each batch has a folder of its own that a retry
-    overwrites; documents that came in another batch are left out. So a lost checkpoint doubles nothing either.
+    Chunks have ids that depend on document and index alone. A batch has a folder of its own, named by the checkpoint's id
+    and the batch's number: a retry overwrites it, a stream that lost its checkpoint can't. Documents that came in another
+    batch, of whichever checkpoint, are left out, so a lost checkpoint neither doubles nor loses anything. Of several
+    texts of one document in a batch the least counts.
     """
     spark = stream.sparkSession
 
     def append(batch: DataFrame, number: int) -> None:
-        docs = batch.dropDuplicates([key])
+        run = spark.read.schema("id string").json(f"{checkpoint}/metadata").first()["id"]
+        docs = batch.groupBy(key).agg(F.min(text).alias(text))
         path = spark._jvm.org.apache.hadoop.fs.Path(target)
         if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-            known = spark.read.option("basePath", target).parquet(target).filter(F.col("batch") != number).select(F.col("document_id").alias(key))
-            docs = docs.join(known.select(key).distinct(), key, "left_anti")
+            # a row for each document
+            known = spark.read.option("basePath", target).parquet(target).filter((F.col("run") != run) | (F.col("batch") != number))
+            docs = docs.join(known.filter("chunk_index = 0").select(F.col("document_id").alias(key)), key, "left_anti")
         chunks = chunk(docs, text=text, key=key)
-        chunks.withColumn("id", id_from(F.col("document_id"), F.col("chunk_index"))).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        chunks.withColumn("id", id_from(F.col("document_id"), F.col("chunk_index"))).write.mode("overwrite").parquet(f"{target}/run={run}/batch={number}")
 
     stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 

@@ -229,6 +229,43 @@ def test_ingest_again_adds_only_what_is_new(spark, tmp_path):
     run()
     spark.createDataFrame([(2, "two"), (3, "three")], rows).coalesce(1).write.mode("append").parquet(src)
     run()
-    assert values(spark.read.parquet(f"{out}/batch=*"), "document_id") == [(1,), (2,), (3,)]
+    assert values(spark.read.parquet(out), "document_id") == [(1,), (2,), (3,)]
     streams.ingest(streams.read_files(spark, src, spark.createDataFrame([], rows).schema), out, f"{mark}-lost")
-    assert values(spark.read.parquet(f"{out}/batch=*"), "document_id") == [(1,), (2,), (3,)]
+    assert values(spark.read.parquet(out), "document_id") == [(1,), (2,), (3,)]
+
+
+def test_a_lost_checkpoint_loses_no_documents(spark, tmp_path):
+    """The files come in another order the second time."""
+    import os
+
+    src, out, seen = str(tmp_path / "src"), str(tmp_path / "out"), set()
+    for i, seconds in ((1, 100), (2, 200)):
+        spark.createDataFrame([(i, f"text of {i}")], "doc_id long, text string").coalesce(1).write.mode("append").parquet(src)
+        for f in set((tmp_path / "src").glob("*.parquet")) - seen:
+            seen.add(f)
+            os.utime(f, (seconds, seconds))
+    schema = spark.read.parquet(src).schema
+    run = lambda mark: streams.ingest(streams.read_files(spark, src, schema, per_batch=1), out, str(tmp_path / mark))
+    run("first")
+    assert values(spark.read.parquet(out), "document_id") == [(1,), (2,)]
+    for f in (tmp_path / "src").glob("*.parquet"):
+        os.utime(f, (300 - os.stat(f).st_mtime,) * 2)
+    run("second")
+    assert values(spark.read.parquet(out), "document_id") == [(1,), (2,)]
+
+
+def test_update_with_a_key_twice_keeps_the_key(spark):
+    table = spark.createDataFrame([(1, "a", None, None), (2, "x", None, None)], "id long, name string, updated_at timestamp, updated_by long")
+    rows = spark.createDataFrame([(1, "b", None, None), (1, "c", None, None), (9, "d", None, None)], table.schema)
+    new, unmatched = mutate.update(table, rows, F.lit("2024-01-01").cast("timestamp"), F.lit(7).cast("long"))
+    assert values(new, "id", "name") == [(1, "c"), (2, "x")] and values(unmatched, "id") == [(9,)]
+
+
+def test_shared_folder_on_a_cluster_must_be_given():
+    from types import SimpleNamespace
+
+    from lexiloom.sources.tables import shared_dir
+
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError):
+        shared_dir(session)
