@@ -4,7 +4,7 @@ Test items are short and documents long, so the Jaccard similarity of the two sa
 partitioned by their number of shingles m into classes u/2 < m <= u (u: powers of two), and for each class documents
 are cut into windows of 1.5 u shingles every u/2: an item that lies in a document lies whole in one window, with a
 similarity of about a quarter at least. Windows and items are compared by the coordinates of their MinHash signatures.
-A bit table for each class, of 8 bits or more a coordinate, holds the items' coordinates; only documents whose windows of
+A bit table for each class, of 1024 bits or more a coordinate, holds the items' coordinates; only documents whose windows of
 a class meet two of them, in one window or in several, leave the scan: an item may lie in pieces far apart. Each of its shingles is in a window of at most
 1.5 u, so a coordinate is met with a chance of m / (m + 1.5 u), a quarter at least, wherever the pieces lie and however
 often shingles repeat. What meets an item in the join is verified by exact shingle containment over the
@@ -26,9 +26,9 @@ from .shared import materialise
 #: Coordinates of a signature: a document that holds an item misses it with a chance of about 2 in 100,000, one that
 #: holds 0.8 of it in pieces with about 3 in 10,000.
 HASHES = 48
-#: The least and the greatest size of a class's table, as powers of two of bits: 8 kB to 128 MB. Beyond 2 million items a
+#: The least and the greatest size of a class's table, as powers of two of bits: 512 kB to 128 MB. Beyond 20,000 items a
 #: class more windows leave the scan by chance; what is found stays the same.
-LEAST_BITS, MOST_BITS = 16, 30
+LEAST_BITS, MOST_BITS = 22, 30
 #: Shingles whose hashes are held at once.
 CHUNK = 1 << 14
 _RNG = np.random.default_rng(20)
@@ -99,7 +99,7 @@ def _slots(signatures: np.ndarray) -> np.ndarray:
 
 def table_bits(coordinates: int) -> int:
     """The size, as a power of two, of a table for so many coordinates."""
-    return min(MOST_BITS, max(LEAST_BITS, (8 * coordinates - 1).bit_length()))
+    return min(MOST_BITS, max(LEAST_BITS, (1024 * coordinates - 1).bit_length()))
 
 
 def _met(table: np.ndarray, slots: np.ndarray) -> np.ndarray:

@@ -2,32 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import shared_dir, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see. ``spark.checkpoint.dir`` where set; a new local one otherwise (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back, which cuts lineage and survives lost executors.
+__all__ = ["materialise", "shared_dir", "whole_text"]
 
-    Tables stay below ``<shared>/<application id>/`` for the life of the application.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: A table written once to the shared folder and read back.
+materialise = written
 
 
 def whole_text(name: str = "text"):
