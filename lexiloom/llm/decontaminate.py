@@ -103,7 +103,9 @@ def table_bits(coordinates: int) -> int:
 
 
 def _met(table: np.ndarray, slots: np.ndarray) -> np.ndarray:
-    """Which slots are set. table: bits, eight a byte."""
+    """Which slots are set. table: bits, eight a byte, or a truth value for each."""
+    if table.dtype == bool:
+        return table[slots >> np.uint64(MOST_BITS - (len(table) - 1).bit_length())]
     at = slots >> np.uint64(MOST_BITS - (8 * len(table) - 1).bit_length())
     return (table[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0
 
@@ -147,7 +149,8 @@ def search(docs: DataFrame, items: DataFrame, *, width: int = 5, containment: fl
     packed = spark.sparkContext.broadcast(tables)
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = packed.value
+        # up to 16 MB a class are held unpacked, as these are faster to look up
+        held = {u: np.unpackbits(t, bitorder="little").view(bool) if len(t) <= 1 << 21 else t for u, t in packed.value.items()}
         for batch in batches:
             out = []
             for doc_id, text in zip(batch["doc_id"].astype("Int64").array, batch["text"], strict=True):

@@ -83,8 +83,10 @@ def test_tables_grow_with_the_items(spark):
     tables = d._tables(signed)
     assert {u: 8 * len(t) for u, t in tables.items()} == {8: 1 << 25, 16: 1 << 22}
     assert d._met(tables[8], slots.astype(np.uint64)).all() and d._met(tables[16], np.array([5], dtype=np.uint64)).all()
+    spread = {u: np.unpackbits(t, bitorder="little").view(bool) for u, t in tables.items()}
+    assert d._met(spread[8], slots.astype(np.uint64)).all()
     other = rng.integers(0, 1 << d.MOST_BITS, 30_000).astype(np.uint64)
-    assert d._met(tables[8], other).mean() < 0.002
+    assert d._met(tables[8], other).mean() < 0.002 and np.array_equal(d._met(spread[8], other), d._met(tables[8], other))
 
 
 def test_very_long_items_and_documents(spark):
