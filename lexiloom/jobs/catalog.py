@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -625,6 +626,16 @@ def i4_without_vector(m):
     return ingest.without_vector(m.chunks().withColumn("embedding", F.when(F.col("id") % 3 != 0, F.array(F.lit(0.5))))).select("id")
 
 
+@query("SELECT id, CASE WHEN id % 3 = 0 THEN length(content) ELSE 0.5 END::DOUBLE AS a, CASE WHEN id % 3 = 0 THEN length(content) - length(replace(content, ' ', '')) ELSE 0.25 END::DOUBLE AS b FROM chunks", "chunks")
+def i4_embed_missing(m):
+    """What has no vector gets one, and the whole table is committed and read back."""
+    held = F.when(F.col("id") % 3 != 0, F.array(F.lit(0.5), F.lit(0.25), F.lit(1.0)).cast("array<float>"))
+    root = _folder(m, "embedded")
+    io.commit(m.spark, root, {"document_chunks": ingest.embed_missing(m.chunks().withColumn("embedding", held), lengths)})
+    out = m.spark.read.parquet(io.manifest(m.spark, root)["document_chunks"])
+    return out.select("id", F.col("embedding")[0].cast("double").alias("a"), F.col("embedding")[1].cast("double").alias("b"))
+
+
 @query(
     """, work AS (SELECT document_id AS id, count(*) AS chunks, count(*) FILTER (document_id % 3 <> 0) AS embedded, CASE WHEN document_id % 2 = 0 THEN 1 ELSE 0 END AS entities, document_id % 29 = 0 AS failed FROM chunks GROUP BY document_id),
     nxt AS (SELECT d.id, d.status, CASE WHEN failed THEN 'Failed' WHEN coalesce(chunks, 0) = 0 THEN 'Pending' WHEN embedded < chunks THEN 'Chunking' WHEN entities = 0 THEN 'Extracting' ELSE 'Ready' END AS next_status FROM docs d LEFT JOIN work w USING (id))
@@ -642,6 +653,30 @@ def g1_mentions(m):
     return m.mentions().select("chunk_id", "name", "entity_type", F.md5("description").alias("description"))
 
 
+_TYPED = r""", typed AS (SELECT DISTINCT id AS chunk_id, document_id, 'TERM' AS entity_type, lower(unnest(regexp_extract_all(content, '\p{Lu}\p{Ll}{3,}'))) AS name FROM chunks
+    UNION ALL SELECT DISTINCT id, document_id, 'NUMBER', unnest(regexp_extract_all(content, '[0-9]+')) FROM chunks)"""
+
+
+def terms_and_numbers(texts: list[str]) -> list[list[tuple[str, str, str]]]:
+    """A stand-in for a model that finds entities of two types."""
+    rules = [("TERM", r"\p{Lu}\p{Ll}{3,}"), ("NUMBER", "[0-9]+")]
+    return [[(name.lower(), kind, f"{kind} {name}") for kind, rule in rules for name in regex.findall(rule, t)] for t in texts]
+
+
+@query(f"{_TYPED} SELECT chunk_id, document_id, name, entity_type FROM typed", "chunks")
+def g1_extracted(m):
+    return graph.extract(m.chunks(), terms_and_numbers).drop("description")
+
+
+@query(
+    f"""{_TYPED} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY n DESC, relation_type) AS rank FROM
+    (SELECT x.document_id, x.entity_type || '_' || y.entity_type AS relation_type, count(*) AS n FROM typed x JOIN typed y ON x.chunk_id = y.chunk_id AND (x.entity_type < y.entity_type OR (x.entity_type = y.entity_type AND x.name < y.name)) GROUP BY 1, 2)) WHERE rank <= 2""",
+    "chunks",
+)
+def g5_relation_types(m):
+    return graph.relation_types(graph.extract(m.chunks(), terms_and_numbers), 2)
+
+
 @query("SELECT source, target, relation_type, pair_chunks, round(confidence, 6) AS confidence FROM relations", "relations")
 def g2_relations(m):
     return graph.relations(m.mentions()).withColumn("confidence", F.round("confidence", 6))
@@ -703,6 +738,41 @@ def r1_retrieve(m):
     return chat.ground(hits, m.chunks(), m.mentions()).select("document_id", "chunk_index", "facts")
 
 
+_CONTEXT = r""", tok AS (SELECT kind, id, ('0x' || substr(md5(t), 1, 7))::BIGINT % 64 AS bucket, count(*) AS n FROM
+    (SELECT 'q' AS kind, id, unnest(regexp_split_to_array(lower(content), '[^\p{L}\p{N}]+')) AS t FROM messages WHERE id % 100 = 0 AND role = 'User'
+    UNION ALL SELECT 'c', id, unnest(regexp_split_to_array(lower(content), '[^\p{L}\p{N}]+')) FROM chunks) WHERE t <> '' GROUP BY 1, 2, 3),
+    size AS (SELECT kind, id, sum(n * n)::DOUBLE AS nn FROM tok GROUP BY 1, 2),
+    score AS (SELECT q.id AS question_id, c.id AS chunk_id, sum(q.n * c.n) AS dot FROM tok q JOIN tok c ON q.bucket = c.bucket WHERE q.kind = 'q' AND c.kind = 'c' GROUP BY 1, 2),
+    hits AS (SELECT * FROM (SELECT question_id, chunk_id, row_number() OVER (PARTITION BY question_id ORDER BY dot / (sqrt(a.nn) * sqrt(b.nn)) DESC, chunk_id) AS rank
+    FROM score JOIN size a ON a.kind = 'q' AND a.id = question_id JOIN size b ON b.kind = 'c' AND b.id = chunk_id) WHERE rank <= 3),
+    context AS (SELECT question_id, c.id AS chunk_id, c.document_id, c.chunk_index, c.page_number, min(rank) AS rank FROM hits h JOIN chunks k ON k.id = h.chunk_id
+    JOIN chunks c ON c.document_id = k.document_id AND c.chunk_index BETWEEN k.chunk_index - 1 AND k.chunk_index + 1 GROUP BY 1, 2, 3, 4, 5)"""
+
+
+def _context(m):
+    """Questions are the users' messages whose id is divisible by 100; all chunks are searched."""
+    asked = m.messages().filter("id % 100 = 0 AND role = 'User'").select(F.col("id").alias("question_id"), "content")
+    chunks = ingest.embed(m.chunks(), ingest.count_vectors, batch=1024)
+    return chat.retrieve(ingest.embed(asked, ingest.count_vectors), chunks, 3)
+
+
+@query(f"{_CONTEXT} SELECT * FROM context", "messages", "chunks")
+def r1_context(m):
+    return _context(m).drop("content")
+
+
+@query(
+    f"""{_CONTEXT}, named AS (SELECT question_id, context.chunk_id, name FROM context JOIN mentions ON mentions.chunk_id = context.chunk_id)
+    SELECT DISTINCT x.question_id, r.source, r.target, r.relation_type, r.pair_chunks, round(r.confidence, 6) AS confidence
+    FROM named x JOIN named y ON x.question_id = y.question_id AND x.chunk_id = y.chunk_id JOIN relations r ON r.source = x.name AND r.target = y.name""",
+    "messages", "relations",
+)
+def r1_facts(m):
+    """From questions to the nearest chunks, their context and the graph's facts there."""
+    found = m.mentions()
+    return chat.facts(_context(m), found, graph.relations(found)).withColumn("confidence", F.round("confidence", 6))
+
+
 @query("SELECT message_id, chunk_id, relevance_score, rank FROM citations", "citations")
 def r2_cite(m):
     return m.citations().select("message_id", "chunk_id", "relevance_score", "rank")

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.vectors import nearest
+from ..sources.tables import written
+from .graph import pairs
 from .ingest import around
 
 
@@ -98,3 +101,28 @@ def ground(hits: DataFrame, chunks: DataFrame, found: DataFrame, width: int = 1)
     facts = found.groupBy(F.col("chunk_id").alias("id")).agg(F.count("name").alias("facts"))
     wide = around(at, chunks, width).join(facts, "id", "left")
     return wide.select("document_id", "chunk_index", "page_number", "content", F.coalesce("facts", F.lit(0)).alias("facts"))
+
+
+def retrieve(questions: DataFrame, chunks: DataFrame, k: int = 5, width: int = 1) -> DataFrame:
+    """``question_id, rank, chunk_id, document_id, chunk_index, page_number, content``: the context of each question.
+
+    ``questions``: question_id, embedding; ``chunks`` with id and embedding. The ``k`` nearest of all chunks, widened to
+    ``width`` chunks either side; a chunk near several hits comes once, under the best one's rank. A question without
+    a usable vector has no rows.
+    """
+    hits = written(nearest(questions, chunks, k, query_id="question_id", vector_id="id"), "hits")
+    at = hits.join(chunks.select(F.col("id").alias("vec_id"), "document_id", "chunk_index"), "vec_id")
+    near = F.explode(F.sequence(F.col("chunk_index") - width, F.col("chunk_index") + width)).alias("chunk_index")
+    wanted = at.select(F.col("query_id").alias("question_id"), "rank", "document_id", near).groupBy("question_id", "document_id", "chunk_index").agg(F.min("rank").alias("rank"))
+    return chunks.join(wanted, ["document_id", "chunk_index"]).select("question_id", "rank", F.col("id").alias("chunk_id"), "document_id", "chunk_index", "page_number", "content")
+
+
+def facts(context: DataFrame, found: DataFrame, edges: DataFrame) -> DataFrame:
+    """``question_id`` and the columns of ``edges`` (source, target): those whose ends stand in one chunk of its context.
+
+    ``found``: mentions (chunk_id, name). Pairs are made inside one chunk's own names; each edge comes once a question.
+    """
+    named = context.select("question_id", "chunk_id").join(found.select("chunk_id", "name"), "chunk_id")
+    lists = named.groupBy("question_id", "chunk_id").agg(F.array_sort(F.collect_set("name")).alias("names"))
+    asked = lists.select("question_id", F.explode(pairs("names")).alias("p")).select("question_id", "p.source", "p.target").distinct()
+    return asked.join(edges, ["source", "target"])

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import preview
@@ -17,6 +20,30 @@ def mentions(chunks: DataFrame, pattern: str = NAME, entity_type: str = "TERM")
     return chunks.select(F.col("id").alias("chunk_id"), "document_id", F.explode(names).alias("name"), F.lit(entity_type).alias("entity_type"), preview(F.col("content")).alias("description"))
 
 
+def extract(chunks: DataFrame, extractor: Callable[[list[str]], list[list[tuple[str, str, str]]]]) -> DataFrame:
+    """As ``mentions``, by any batch extractor: for each text its (name, type, description), the first of each name and type.
+
+    Batches are Arrow batches; a null text is empty. An extractor that returns too few lists fails the job.
+    """
+    kinds = {c: chunks.schema[c].dataType.simpleString() for c in ("id", "document_id")}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            named = extractor(rows["content"].fillna("").tolist())
+            if len(named) != len(rows):
+                raise ValueError(f"{len(rows)} texts, but {len(named)} lists of entities")
+            out = [(c, d, *e) for c, d, es in zip(rows["chunk_id"], rows["document_id"], named) for e in es]
+            yield pd.DataFrame(out, columns=["chunk_id", "document_id", "name", "entity_type", "description"]).drop_duplicates(["chunk_id", "name", "entity_type"])
+
+    schema = f"chunk_id {kinds['id']}, document_id {kinds['document_id']}, name string, entity_type string, description string"
+    return chunks.select(F.col("id").alias("chunk_id"), "document_id", "content").mapInPandas(run, schema)
+
+
+def pairs(names: str) -> Column:
+    """source and target of every pair of a sorted list, the source the lesser."""
+    return F.flatten(F.transform(names, lambda a, i: F.transform(F.slice(names, i + 2, F.size(names)), lambda b: F.struct(a.alias("source"), b.alias("target")))))
+
+
 def relations(found: DataFrame, relation: str = "CO_OCCURS") -> DataFrame:
     """``source, target, relation_type, pair_chunks, confidence``: names that share chunks, the source the lesser.
 
@@ -25,8 +52,7 @@ def relations(found: DataFrame, relation: str = "CO_OCCURS") -> DataFrame:
     are plain exchanges and the pairs of hot names are split at run time.
     """
     lists = found.groupBy("chunk_id").agg(F.array_sort(F.collect_set("name")).alias("names"))
-    pairs = F.flatten(F.transform("names", lambda a, i: F.transform(F.slice("names", i + 2, F.size("names")), lambda b: F.struct(a.alias("source"), b.alias("target")))))
-    n = lists.select(F.explode(pairs).alias("p")).groupBy("p.source", "p.target").agg(F.count("*").alias("pair_chunks"))
+    n = lists.select(F.explode(pairs("names")).alias("p")).groupBy("p.source", "p.target").agg(F.count("*").alias("pair_chunks"))
     often = written(found.groupBy("name").agg(F.count_distinct("chunk_id").alias("chunks")), "names")
     a, b = (often.select(F.col("name").alias(x), F.col("chunks").alias(f"{x}_chunks")) for x in ("source", "target"))
     share = F.col("pair_chunks") / F.least("source_chunks", "target_chunks")
@@ -114,14 +140,31 @@ def provenance(entities: DataFrame, chunks: DataFrame, docs: DataFrame) -> DataF
 def document_summary(found: DataFrame) -> DataFrame:
     """``document_id, entities, edges, density``: the graph that a document's own mentions make."""
     lists = found.groupBy("document_id", "chunk_id").agg(F.array_sort(F.collect_set("name")).alias("names"))
-    pairs = F.flatten(F.transform("names", lambda a, i: F.transform(F.slice("names", i + 2, F.size("names")), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    edges = lists.select("document_id", F.explode(pairs).alias("p")).distinct().groupBy("document_id").agg(F.count("*").alias("edges"))
+    edges = lists.select("document_id", F.explode(pairs("names")).alias("p")).distinct().groupBy("document_id").agg(F.count("*").alias("edges"))
     nodes = found.groupBy("document_id").agg(F.count_distinct("name").alias("entities"))
     wide = nodes.join(edges, "document_id", "left").na.fill(0, ["edges"])
     most = F.col("entities") * (F.col("entities") - 1) / 2
     return wide.withColumn("density", F.when(most > 0, F.col("edges") / most).otherwise(0.0))
 
 
+def relation_types(found: DataFrame, k: int) -> DataFrame:
+    """``document_id, relation_type, n, rank``: the ``k`` commonest pairs of entity types that share a document's chunks.
+
+    ``n`` counts pairs of names by chunk. It comes from each chunk's number of names by type, so no pair is made.
+    """
+    per = found.groupBy("document_id", "chunk_id", "entity_type").agg(F.count_distinct("name").alias("n"))
+    lists = per.groupBy("document_id", "chunk_id").agg(F.array_sort(F.collect_list(F.struct("entity_type", "n"))).alias("types"))
+
+    def pair(a: Column, b: Column) -> Column:
+        within = F.shiftright(a["n"] * (a["n"] - 1), 1)
+        return F.struct(F.concat_ws("_", a["entity_type"], b["entity_type"]).alias("relation_type"), F.when(a["entity_type"] == b["entity_type"], within).otherwise(a["n"] * b["n"]).alias("n"))
+
+    two = F.flatten(F.transform("types", lambda a, i: F.transform(F.slice("types", i + 1, F.size("types")), lambda b: pair(a, b))))
+    n = lists.select("document_id", F.explode(two).alias("p")).groupBy("document_id", "p.relation_type").agg(F.sum("p.n").alias("n"))
+    by = Window.partitionBy("document_id").orderBy(F.desc("n"), "relation_type")
+    return n.filter("n > 0").withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k)
+
+
 def concept_map(found: DataFrame, chunks: DataFrame) -> DataFrame:
     """``name, document_id, pages``: where each concept stands; one row for a name and document, so none grows with a hot name."""
     places = chunks.select(F.col("id").alias("chunk_id"), "page_number")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,10 +72,24 @@ def embed(df: DataFrame, embedder: Callable[[list[str]], list[list[float]]], *,
     return bare.withColumn("__hash", F.md5(text)).join(vectors, "__hash", "left").drop("__hash")
 
 
+def count_vectors(texts: list[str], dim: int = 64) -> list[list[float]]:
+    """An offline embedder for ``embed``: the buckets of ``hashed_counts`` as dense vectors of whole numbers."""
+    out = [[0.0] * dim for _ in texts]
+    for vector, text in zip(out, texts):
+        for token in filter(None, regex.split(TOKEN_SPLIT, text.lower())):
+            vector[int(hashlib.md5(token.encode()).hexdigest()[:7], 16) % dim] += 1.0
+    return out
+
+
 def without_vector(chunks: DataFrame) -> DataFrame:
     return chunks.filter("embedding is null")
 
 
+def embed_missing(chunks: DataFrame, embedder: Callable[[list[str]], list[list[float]]], **how) -> DataFrame:
+    """``chunks`` with every vector: those without one are embedded (see ``embed``), the others stay as they are."""
+    return chunks.filter("embedding is not null").unionByName(embed(without_vector(chunks), embedder, **how))
+
+
 def advance(docs: DataFrame, stages: DataFrame, key: str = "id") -> DataFrame:
     """Documents with the status their work has reached, in ``next_status``, and whether the step is ``legal``.
 
