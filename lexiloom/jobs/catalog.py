@@ -312,12 +312,12 @@ def j14_scope(m):
 
 @query("SELECT count(*) AS total, ceil(count(*) / 25.0)::BIGINT AS pages FROM orders")
 def a1_count(m):
-    return m.raw("orders").agg(F.count("*").alias("total")).withColumn("pages", scalars.total_pages(F.col("total"), 25))
+    return read.counted(m.raw("orders"), 25)
 
 
 @query("SELECT user_id, status, count(*) AS n FROM docs GROUP BY 1, 2", "docs")
 def a2_status_counts(m):
-    return m.documents().groupBy("user_id", "status").agg(F.count("*").alias("n"))
+    return read.status_counts(m.documents(), "user_id")
 
 
 @query("SELECT document_id, count(*) AS chunks, count(DISTINCT page_number) AS pages, sum(length(content))::BIGINT AS chars, count(*) FILTER (chunk_index % 2 = 1) AS without_vector FROM chunks GROUP BY 1", "chunks")
@@ -375,7 +375,7 @@ def a9_duplicate_emails(m):
 
 @query("SELECT strftime(date_trunc('day', created_at), '%Y-%m-%d %H:%M:%S') AS day, created_by AS actor, count(*) AS created, count(*) FILTER (is_deleted) AS deleted FROM docs GROUP BY 1, 2", "docs")
 def a10_activity(m):
-    return m.documents().groupBy(F.date_trunc("day", "created_at").alias("day"), F.col("created_by").alias("actor")).agg(F.count("*").alias("created"), F.count_if("is_deleted").alias("deleted"))
+    return read.activity(m.documents())
 
 
 @query("SELECT source_entity_id, target_entity_id, relation_type, 2::BIGINT AS n, confidence_score FROM edges", "edges")

@@ -93,6 +93,22 @@ def page(df: DataFrame, number: int, size: int, *order: str) -> DataFrame:
     return out.withColumns({"has_previous": F.lit(number > 1), "has_next": F.lit(number) < F.col("total_pages")})
 
 
+def counted(df: DataFrame, size: int) -> DataFrame:
+    """One row ``total, pages``: how many rows there are and how many pages of ``size`` they fill."""
+    return df.agg(F.count("*").alias("total")).withColumn("pages", total_pages(F.col("total"), size))
+
+
+def status_counts(df: DataFrame, *by: str, status: str = "status") -> DataFrame:
+    """``by, status, n``: rows of each status for each owner; null is a value like any other."""
+    return df.groupBy(*by, status).agg(F.count("*").alias("n"))
+
+
+def activity(df: DataFrame, unit: str = "day") -> DataFrame:
+    """What each actor created in each ``unit`` of time, and how much of it has been deleted since."""
+    groups = df.groupBy(F.date_trunc(unit, "created_at").alias(unit), F.col("created_by").alias("actor"))
+    return groups.agg(F.count("*").alias("created"), F.count_if("is_deleted").alias("deleted"))
+
+
 def page_after(df: DataFrame, key: str, after, size: int) -> DataFrame:
     """The ``size`` rows that follow key ``after``; nothing before them is sorted."""
     return (df if after is None else df.filter(F.col(key) > after)).orderBy(key).limit(size)
