@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licences, media, packing, passages, pii, quality, sharding, simhash, urls
+from . import decontaminate, filteraudit, licences, media, packing, passages, pii, quality, sharding, simhash, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeats(table(spark, sf_dir, "documents"))
 
 
+def op11_filteraudit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
     "op2_quality": op2_quality,
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_media": op8_media,
     "op9_urls": op9_urls,
     "op10_passages": op10_passages,
+    "op11_filteraudit": op11_filteraudit,
 }
 
 ORACLES: dict[str, str] = {
@@ -77,4 +82,5 @@ ORACLES: dict[str, str] = {
     "op7_decontaminate": decontaminate.oracle(),
     "op9_urls": urls.oracle(),
     "op10_passages": passages.oracle(),
+    "op11_filteraudit": filteraudit.oracle(),
 }
