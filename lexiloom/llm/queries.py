@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, filteraudit, licences, media, packing, passages, pii, quality, sharding, simhash, urls
+from . import decontaminate, filteraudit, languages, licences, media, packing, passages, pii, quality, sharding, simhash, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,11 @@ def op11_filteraudit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filteraudit.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return languages.identify(docs.select("doc_id", "text"), languages.fit(docs)).select("doc_id", "held_out", "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
     "op2_quality": op2_quality,
@@ -74,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_urls": op9_urls,
     "op10_passages": op10_passages,
     "op11_filteraudit": op11_filteraudit,
+    "op12_languages": op12_languages,
 }
 
 ORACLES: dict[str, str] = {
