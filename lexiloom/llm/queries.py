@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, filteraudit, languages, licences, media, packing, passages, pii, quality, sharding, simhash, urls
+from . import decontaminate, filteraudit, languages, licences, media, packing, passages, pii, quality, sharding, simhash, urls, vectorcodes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +67,10 @@ def op12_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages.identify(docs.select("doc_id", "text"), languages.fit(docs)).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op13_vectorcodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.report(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
     "op2_quality": op2_quality,
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_passages": op10_passages,
     "op11_filteraudit": op11_filteraudit,
     "op12_languages": op12_languages,
+    "op13_vectorcodes": op13_vectorcodes,
 }
 
 ORACLES: dict[str, str] = {
@@ -89,4 +94,5 @@ ORACLES: dict[str, str] = {
     "op9_urls": urls.oracle(),
     "op10_passages": passages.oracle(),
     "op11_filteraudit": filteraudit.oracle(),
+    "op13_vectorcodes": vectorcodes.oracle(),
 }
