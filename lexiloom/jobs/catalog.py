@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -69,6 +70,19 @@ def s2_commit(m):
     return counted[0].unionByName(counted[1])
 
 
+@query("SELECT 'messages' AS \"table\", count(*) AS rows FROM conversations UNION ALL SELECT 'users', count(*) + 1 FROM customer UNION ALL SELECT 'documents', count(*) FROM documents")
+def s2_overlapping(m):
+    """Two writers begin at one manifest and change different tables; a third adds to what is there then."""
+    root = _folder(m, "store")
+    io.commit(m.spark, root, {"users": m.users()})
+    base = io.manifest(m.spark, root)
+    io.commit(m.spark, root, {"documents": m.documents().drop("text")}, base)
+    io.commit(m.spark, root, {"messages": m.messages()}, base)
+    io.transact(m.spark, root, lambda now: {"users": now["users"].unionByName(now["users"].orderBy("id").limit(1))})
+    counted = [m.spark.read.parquet(p).agg(F.lit(t).alias("table"), F.count("*").alias("rows")) for t, p in sorted(io.manifest(m.spark, root).items())]
+    return reduce(DataFrame.unionByName, counted)
+
+
 @query("SELECT id, status FROM docs WHERE status NOT IN ('Pending', 'Chunking', 'Extracting', 'Failed') OR status IS NULL", "docs")
 def s3_invalid_enum(m):
     return io.invalid_enum(m.documents().select("id", "status"), "status", [s for s in DOCUMENT_STATUS if s != "Ready"])
@@ -298,7 +312,9 @@ def j12_nearest(m):
 
 @query(_TOP.format(dot=_DOT.format("q", "v"), qq=_DOT.format("q", "q"), vv=_DOT.format("v", "v"), more="AND v.label % 2 = 0"))
 def j13_hybrid(m):
-    return vectors.nearest(_queries(m), m.vectors().filter("label % 2 = 0"), 5).withColumn("score", F.round("score", 6))
+    """One index of all vectors; the condition on their labels comes with the search."""
+    index = vectors.cell_index(m.vectors(), keep=("label",))
+    return vectors.search(_queries(m), index, 5, where="label % 2 = 0").withColumn("score", F.round("score", 6))
 
 
 @query("SELECT t.id AS citation_id, g.session_id, s.document_id + 1 AS session_document, c.document_id AS cited_document FROM citations t JOIN messages g ON g.id = t.message_id JOIN sessions s ON s.id = g.session_id JOIN chunks c ON c.id = t.chunk_id WHERE s.id % 3 = 0", "citations")

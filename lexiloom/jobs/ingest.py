@@ -21,8 +21,11 @@ TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 def chunk(docs: DataFrame, *, text: str = "text", key: str = "id", size: int = SIZE, overlap: int = OVERLAP, per_page: int = PAGE) -> DataFrame:
     """``document_id, chunk_index, page_number, content``: cleaned text in windows of ``size`` that overlap.
 
-    Chunks count from 0; a null or empty text has none. Nothing is shuffled. A page is ``per_page`` characters.
+    Chunks count from 0; a null or empty text has none. Nothing is shuffled. A page is ``per_page`` characters. An
+    overlap of ``size`` or more would never get on, so it is refused.
     """
+    if not 0 <= overlap < size or per_page < 1:
+        raise ValueError(f"an overlap of {overlap} doesn't fit chunks of {size}, or pages of {per_page} are none")
     step = size - overlap
     cleaned = docs.select(F.col(key).alias("document_id"), clean_text(F.col(text)).alias("clean")).filter("length(clean) > 0")
     n = F.greatest(F.lit(1), F.ceil((F.length("clean") - overlap) / F.lit(float(step)))).cast("int")

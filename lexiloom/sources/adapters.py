@@ -22,7 +22,7 @@ class Model:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def users(self) -> DataFrame:
-        email = F.concat(F.lit("User"), (F.col("c_custkey") % 1000).cast("string"), F.lit("@example.com"))
+        email = F.concat(F.lit("User"), (F.col("c_custkey") % 97).cast("string"), F.lit("@example.com"))
         return self.raw("customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("username"), email.alias("email"), F.lit("Customer").alias("role"))
 
     def documents(self) -> DataFrame:
@@ -85,7 +85,7 @@ def with_id(chunks: DataFrame) -> DataFrame:
 
 #: The same tables, as the beginning of a DuckDB query.
 CTES = {
-    "users": "users AS (SELECT c_custkey AS id, c_name AS username, 'User' || (c_custkey % 1000) || '@example.com' AS email, 'Customer' AS role FROM customer)",
+    "users": "users AS (SELECT c_custkey AS id, c_name AS username, 'User' || (c_custkey % 97) || '@example.com' AS email, 'Customer' AS role FROM customer)",
     "docs": """docs AS (SELECT doc_id AS id, doc_id % 150 AS user_id, source AS title, '/' || source || '/' || doc_id AS file_path,
         CASE doc_id % 20 WHEN 0 THEN 'Failed' WHEN 1 THEN 'Pending' WHEN 2 THEN 'Chunking' WHEN 3 THEN 'Extracting' ELSE 'Ready' END AS status,
         doc_id % 17 = 0 AS is_deleted, TIMESTAMP '2024-01-01' + to_minutes(doc_id) AS created_at, doc_id % 7 AS created_by, text,

@@ -5,8 +5,10 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,46 +43,107 @@ def shared_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read back: lineage is cut and lost executors don't matter."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def commit(spark: SparkSession, root: str, changed: dict[str, DataFrame]) -> DataFrame:
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder, below the application's id, that nobody has used."""
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+class Conflict(RuntimeError):
+    """Another commit has switched one of the tables since the commit's base was read."""
+
+
+def commit(spark: SparkSession, root: str, changed: dict[str, DataFrame], base: dict[str, str] | None = None) -> DataFrame:
     """Write every changed table to a new version below ``root``, then switch the manifest to all of them at once.
 
-    Returns ``table, rows`` for each written table. A reader follows the newest complete manifest, so a commit that
-    dies on the way changes nothing.
+    Returns ``table, rows`` for each written table, counted while it is written. A reader follows the newest manifest,
+    so a commit that dies on the way changes nothing. Manifests are numbered files, and the next number is created only
+    if nobody has: of two commits one loses, reads what the other made and tries the number after. Commits of different
+    tables are all kept that way. If the other one switched a table that this one changes, counted from ``base`` (the
+    manifest its rows come from, by default the newest when commit() begins), Conflict is raised and nothing is
+    switched; transact() computes the change anew instead.
     """
-    version = f"{len(_manifests(spark, root)):09d}-{uuid.uuid4().hex[:8]}"
-    now = manifest(spark, root)
-    counts = []
+    base = manifest(spark, root) if base is None else base
+    version, counts, fresh = uuid.uuid4().hex, [], {}
     for name, df in sorted(changed.items()):
-        path = f"{root}/{name}/{version}"
-        df.write.parquet(path)
-        now[name] = path
-        counts.append((name, spark.read.parquet(path).count()))
-    # one row, one file: the rename that ends a write is the switch
-    spark.createDataFrame([(version, json.dumps(now))], "version string, tables string").coalesce(1).write.json(f"{root}/_manifests/{version}")
-    return spark.createDataFrame(counts, "table string, rows long")
-
-
-def _manifests(spark: SparkSession, root: str) -> list[tuple[str, str]]:
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/_manifests")
-    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(path):
-        return []
-    done = files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/_manifests/*/_SUCCESS"))
-    if not done:
-        return []
-    return sorted((r["version"], r["tables"]) for r in spark.read.schema("version string, tables string").json([str(f.getPath().getParent()) for f in done]).collect())
+        fresh[name] = f"{root}/{name}/{version}"
+        seen = Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(fresh[name])
+        counts.append((name, seen.get["rows"]))
+    while True:
+        number, now = _newest(spark, root)
+        lost = [name for name in fresh if now.get(name) != base.get(name)]
+        if lost:
+            raise Conflict(f"changed by another commit: {', '.join(lost)}")
+        if _create(spark, f"{root}/_manifests", f"{number + 1:012d}.json", json.dumps(now | fresh)):
+            return spark.createDataFrame(counts, "table string, rows long")
+
+
+def transact(spark: SparkSession, root: str, change: Callable[[dict[str, DataFrame]], dict[str, DataFrame]], attempts: int = 10) -> DataFrame:
+    """commit() what ``change`` makes of the current tables; after a Conflict it is applied to the tables as they are then."""
+    for left in reversed(range(attempts)):
+        base = manifest(spark, root)
+        try:
+            return commit(spark, root, change({name: spark.read.parquet(path) for name, path in base.items()}), base)
+        except Conflict:
+            if not left:
+                raise
 
 
 def manifest(spark: SparkSession, root: str) -> dict[str, str]:
-    """The path of each table's current version: a row for each commit is read, never the tables."""
-    found = _manifests(spark, root)
-    return json.loads(found[-1][1]) if found else {}
+    """The path of each table's current version: the newest manifest alone is read, never the tables."""
+    return _newest(spark, root)[1]
+
+
+def _newest(spark: SparkSession, root: str) -> tuple[int, dict[str, str]]:
+    path, files = _files(spark, f"{root}/_manifests")
+    if not files.exists(path):
+        return 0, {}
+    names = sorted(f.getPath().getName() for f in files.listStatus(path) if f.getPath().getName().endswith(".json"))
+    if not names:
+        return 0, {}
+    stream = files.open(spark._jvm.org.apache.hadoop.fs.Path(path, names[-1]))
+    try:
+        return int(names[-1].removesuffix(".json")), json.loads(bytes(stream.readAllBytes()))
+    finally:
+        stream.close()
+
+
+def _files(spark: SparkSession, folder: str):
+    """``folder`` as a path, and its file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _create(spark: SparkSession, folder: str, name: str, text: str) -> bool:
+    """Make a whole file that isn't there yet; False if it is. Of several that try at once one succeeds."""
+    path, files = _files(spark, folder)
+    jvm = spark._jvm
+    files.mkdirs(path)
+    made, wanted = jvm.org.apache.hadoop.fs.Path(path, f".{uuid.uuid4().hex}"), jvm.org.apache.hadoop.fs.Path(path, name)
+    stream = files.create(made, False)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    try:
+        if files.getScheme() == "file":
+            # a local rename would overwrite; a second name for the file can't
+            jvm.java.nio.file.Files.createLink(*[jvm.java.io.File(p.toUri().getPath()).toPath() for p in (wanted, made)])
+        else:
+            options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(path.toUri(), spark._jsc.hadoopConfiguration()).rename(made, wanted, options)
+    except Py4JJavaError as e:
+        if not files.exists(wanted):
+            raise
+        if "AlreadyExists" not in e.java_exception.getClass().getName():
+            raise
+        return False
+    finally:
+        files.delete(made, False)
+    return True
 
 
 def invalid_enum(df: DataFrame, column: str, allowed: list[str]) -> DataFrame:
