@@ -228,11 +228,30 @@ def tracks(media: bytes) -> list[dict]:
     return out
 
 
+#: What reading a damaged container raises: boxes beyond their parent, tables cut short, boxes that are missing.
+DAMAGE = (ValueError, struct.error, KeyError, IndexError, OverflowError, MemoryError)
+
+
+def readable(media: bytes | None) -> tuple[list[dict], str | None]:
+    """(tracks, None), or (none, why there are none)."""
+    if not media:
+        return [], "empty"
+    try:
+        found = tracks(media)
+    except DAMAGE as e:
+        return [], f"damaged: {type(e).__name__} {e}"[:200]
+    return found, None if found else "no track"
+
+
 def read(media: bytes) -> dict:
     """The first video track, or the first of all; see tracks()."""
     found = tracks(media)
     if not found:
         raise ValueError("the container has no track")
+    return first_video(found)
+
+
+def first_video(found: list[dict]) -> dict:
     return next((t for t in found if t["kind"] == "vide"), found[0])
 
 
@@ -266,44 +285,51 @@ def describe(media: DataFrame) -> DataFrame:
     """The tracks of ``media``: a row for each, with codec, timescale, duration, frames, keyframes as byte ranges.
 
     ``media`` (doc_id, n_bytes, media) keeps its columns; ends are exclusive; no payload is decoded. A null container,
-    an empty one and one without tracks have one row with nulls.
+    an empty one, one without tracks and a damaged one have one row with nulls, and ``reason`` says why.
     """
-    names = ["track", "kind", "codec", "timescale", "duration", "frames", "keyframes"]
+    names = ["track", "kind", "codec", "timescale", "duration", "frames", "keyframes", "reason"]
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows, source = [], []
             for at, data in enumerate(batch["media"]):
-                for t in (tracks(data) if data is not None else []) or [None]:
+                found, reason = readable(data)
+                for t in found or [None]:
                     source.append(at)
                     if t is None:
-                        rows.append((None,) * len(names))
+                        rows.append((*(None,) * (len(names) - 1), reason))
                         continue
                     a, size = t["offset"][t["key"]], t["size"][t["key"]]
                     spans = [{"start": s, "end": e} for s, e in zip(a.tolist(), (a + size).tolist(), strict=True)]
-                    rows.append((t["track"], t["kind"], t["codec"], t["timescale"], t["duration"], len(t["size"]), spans))
+                    rows.append((t["track"], t["kind"], t["codec"], t["timescale"], t["duration"], len(t["size"]), spans, None))
             more = pd.DataFrame(rows, columns=names, dtype=object).astype({n: "Int64" for n in ("track", "timescale", "duration", "frames")})
             yield pd.concat([batch.astype({"doc_id": "Int64", "n_bytes": "Int64"}).iloc[source].reset_index(drop=True), more], axis=1)
 
-    return media.mapInPandas(of, "doc_id long, n_bytes long, media binary, track long, kind string, codec string, timescale long, duration long, frames long, keyframes array<struct<start: long, end: long>>")
+    return media.mapInPandas(of, "doc_id long, n_bytes long, media binary, track long, kind string, codec string, timescale long, duration long, frames long, keyframes array<struct<start: long, end: long>>, reason string")
 
 
 def digests(media: DataFrame) -> DataFrame:
     """What is read back from the stored bytes of ``media`` (doc_id, n_bytes, media), as digests, and a feature string.
 
-    feature: codec, duration in seconds, frames, and the keyframes' byte ranges as start+size.
+    feature: codec, duration in seconds, frames, and the keyframes' byte ranges as start+size. Of a container that can't
+    be read (see describe()) only its own bytes are digested, and feature is the reason.
     """
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for doc_id, n, data in zip(batch["doc_id"].astype("Int64").array, batch["n_bytes"], batch["media"], strict=True):
-                t = read(data)
+                found, reason = readable(data)
+                if not found:
+                    held = (None, None) if data is None else (len(data), sha256(data).hexdigest())
+                    rows.append((doc_id, n, None, None, None, *held, reason))
+                    continue
+                t = first_video(found)
                 back = payload_of(data, t)
                 keys = ",".join(f"{a}+{s}" for a, s in zip(t["offset"][t["key"]].tolist(), t["size"][t["key"]].tolist(), strict=True))
                 feature = f"{t['codec'].strip()};{t['duration'] / t['timescale']:.2f}s;{len(t['size'])} frames;keys {keys}"
                 rows.append((doc_id, n, len(back), sha256(back).hexdigest(), zlib.crc32(back[-FRAME:]), len(data), sha256(data).hexdigest(), feature))
             out = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-            yield out.astype({"doc_id": "Int64"})
+            yield out.astype({n: "Int64" for n in ("doc_id", "n_bytes", "payload_bytes", "tail_crc32", "media_bytes")})
 
     return media.mapInPandas(of, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

@@ -133,3 +133,15 @@ def test_documents(spark):
     rows = {r.doc_id: r for r in media.describe(stored).collect()}
     assert rows[5].frames == rows[5].duration == 1563 and len(rows[5].keyframes) == 49 and rows[5].keyframes[0].end - rows[5].keyframes[0].start == 64
     assert media.digests(media.store(df.limit(0))).isEmpty() and media.describe(stored.limit(0)).isEmpty()
+
+
+def test_damaged_containers_have_a_reason(spark):
+    whole = media.write(bytes(range(64)) * 3)
+    data = [whole, whole[:40], whole[: len(whole) // 2], b"", None, b"\0\0\0\x08free", whole.replace(b"stsz", b"skip"), whole.replace(b"mdhd", b"skip")]
+    table = spark.createDataFrame([(i, 192, d) for i, d in enumerate(data)], "doc_id long, n_bytes long, media binary")
+    got = {r.doc_id: r for r in media.describe(table).collect()}
+    assert len(got) == len(data) and got[0].reason is None and got[0].frames == 3
+    assert all(got[i].reason and got[i].track is None for i in range(1, len(data)))
+    assert [got[i].reason for i in (3, 4, 5)] == ["empty", "empty", "no track"]
+    back = {r.doc_id: r for r in media.digests(table).collect()}
+    assert back[0].payload_bytes == 192 and back[7].payload_bytes is None and back[7].feature.startswith("damaged")
