@@ -31,6 +31,8 @@ SEPARATORS = "\x1c\x1d\x1e\x1f"
 #: How the tokenizer file cuts a lower-cased text, and the bytes that its alphabet writes as themselves.
 CUTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PLAIN_BYTES = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: Texts on which a file that cuts or writes otherwise shows itself.
+PROBES = ["Don't we'll I'm you've he'd they're It's", "A1b22 c-d e_f ...!? x,y; (z)", "".join(map(chr, PLAIN_BYTES)), "naïve Straße ÉTÉ ÿ£¥", " two  spaces\n\tand lines ", "wonderfully uncharacteristically"]
 
 
 class WordTokens:
@@ -38,7 +40,7 @@ class WordTokens:
 
     Words free of white space are kept with their ids, up to ``most`` of them, and their parts, up to three times as
     many; then that memory is emptied. Printable words of ASCII and Latin-1 are cut here and given to the tokenizer's model; any
-    others go through the whole tokenizer.
+    others go through the whole tokenizer. A file that doesn't work like that is refused: the ids of PROBES show it.
     """
 
     def __init__(self, path: str, most: int = 300_000, longest: int = 64):
@@ -51,6 +53,9 @@ class WordTokens:
         other = [b for b in range(256) if b not in set(PLAIN_BYTES)]
         self.alphabet = {b: chr(256 + i) for i, b in enumerate(other)}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        for text in PROBES:
+            if array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes() != self.encode(text):
+                raise ValueError(f"{path} cuts texts in another way than words of lower case without white space")
 
     def _part(self, part: str) -> bytes:
         written = part if part.isascii() else part.encode().decode("latin-1").translate(self.alphabet)

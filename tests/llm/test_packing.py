@@ -68,3 +68,9 @@ def test_without_ids_and_empty(spark, docs):
     assert pack(docs, PATH).columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     assert pack(docs.limit(0), PATH).isEmpty()
     assert pack(docs.filter(F.col("text").isNull()), PATH).select("length", "doc_tokens").collect() == [(1, 1)]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json"])
+def test_a_file_that_cuts_otherwise_is_refused(name):
+    with pytest.raises(ValueError, match="another way"):
+        WordTokens(public_tokenizers.path(name))
