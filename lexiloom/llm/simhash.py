@@ -178,12 +178,3 @@ def near_duplicates(docs: DataFrame, *, width: int = 3, largest: int = 4096) ->
     named = grouped.join(names, "group").select("fingerprint", "component_id")
     digits = F.lower(F.lpad(F.hex("fingerprint"), 16, "0"))
     return of.join(named, "fingerprint").select("doc_id", digits.alias("fingerprint"), "component_id")
-
-
-def deduplicate(docs: DataFrame, **settings) -> DataFrame:
-    """The rows of ``docs`` whose doc_id names its group, all columns kept: one document of each group.
-
-    A doc_id names a document: of rows that repeat it one stays. Rows with a null doc_id can't be named and stay.
-    """
-    kept = near_duplicates(docs, **settings).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null"))
