@@ -437,6 +437,33 @@ def l1_page(m):
     return read.page(m.raw("orders").select("o_orderkey", "o_totalprice"), 3, 40, "o_totalprice", "o_orderkey")
 
 
+_PRICED = "SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderpriority END AS priority, o_totalprice FROM orders"
+
+
+def _priced(m):
+    priority = F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderpriority"))
+    return m.raw("orders").select("o_orderkey", priority.alias("priority"), "o_totalprice")
+
+
+@query(f"SELECT *, 7::BIGINT AS current_page, (SELECT ceil(count(*) / 100.0)::BIGINT FROM orders) AS total_pages, (SELECT count(*) FROM orders) AS total_count, true AS has_previous, true AS has_next FROM ({_PRICED}) ORDER BY priority DESC NULLS FIRST, o_totalprice, o_orderkey LIMIT 100 OFFSET 600")
+def l1_indexed_page(m):
+    """A page of an index that was sorted once: by priority, greatest first and nulls before, price and key."""
+    return read.page_index(_priced(m), read.By("priority", descending=True, nulls_last=False), "o_totalprice", "o_orderkey").page(7, 100)
+
+
+_AHEAD = f"""WITH o AS (SELECT *, row_number() OVER (ORDER BY priority NULLS LAST, o_totalprice DESC, o_orderkey) AS r FROM ({_PRICED})), e AS (SELECT r FROM o WHERE o_orderkey = (SELECT min(o_orderkey) FROM orders WHERE o_orderkey % 3 = 0))
+    SELECT o_orderkey, priority, o_totalprice, o.r < e.r AS ahead FROM o, e WHERE o.r BETWEEN e.r - 30 AND e.r + 30 AND o.r <> e.r"""
+
+
+@query(_AHEAD)
+def l2_keyset(m):
+    """The rows on both sides of the first order without priority, in an order of three columns."""
+    rows, order = _priced(m), [read.By("priority", nulls_last=True), read.By("o_totalprice", descending=True), "o_orderkey"]
+    edge = rows.filter("priority is null").orderBy("o_orderkey").first().asDict()
+    before, after = read.keyset(rows, order, 30, before=edge), read.keyset(rows, order, 30, after=edge)
+    return before.withColumn("ahead", F.lit(True)).unionByName(after.withColumn("ahead", F.lit(False)))
+
+
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey > 500 ORDER BY o_orderkey LIMIT 40")
 def l2_page_after(m):
     return read.page_after(m.raw("orders").select("o_orderkey", "o_totalprice"), "o_orderkey", 500, 40)
@@ -785,8 +812,8 @@ def r1_context(m):
 )
 def r1_facts(m):
     """From questions to the nearest chunks, their context and the graph's facts there."""
-    found = m.mentions()
-    return chat.facts(_context(m), found, graph.relations(found)).withColumn("confidence", F.round("confidence", 6))
+    found = io.written(m.mentions().select("chunk_id", "name"), "mentions")
+    return chat.facts_of(io.written(_context(m).drop("content"), "context"), found).withColumn("confidence", F.round("confidence", 6))
 
 
 @query("SELECT message_id, chunk_id, relevance_score, rank FROM citations", "citations")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import nearest
 from ..sources.tables import written
-from .graph import pairs
+from .graph import pairs, relations_among
 from .ingest import around
 
 
@@ -117,12 +117,22 @@ def retrieve(questions: DataFrame, chunks: DataFrame, k: int = 5, width: int = 1
     return chunks.join(wanted, ["document_id", "chunk_index"]).select("question_id", "rank", F.col("id").alias("chunk_id"), "document_id", "chunk_index", "page_number", "content")
 
 
-def facts(context: DataFrame, found: DataFrame, edges: DataFrame) -> DataFrame:
-    """``question_id`` and the columns of ``edges`` (source, target): those whose ends stand in one chunk of its context.
+def pairs_of_context(context: DataFrame, found: DataFrame) -> DataFrame:
+    """``question_id, source, target``: names that stand in one chunk of a question's context, each pair once.
 
-    ``found``: mentions (chunk_id, name). Pairs are made inside one chunk's own names; each edge comes once a question.
+    ``found``: mentions (chunk_id, name). Pairs are made inside one chunk's own names.
     """
     named = context.select("question_id", "chunk_id").join(found.select("chunk_id", "name"), "chunk_id")
     lists = named.groupBy("question_id", "chunk_id").agg(F.array_sort(F.collect_set("name")).alias("names"))
-    asked = lists.select("question_id", F.explode(pairs("names")).alias("p")).select("question_id", "p.source", "p.target").distinct()
-    return asked.join(edges, ["source", "target"])
+    return lists.select("question_id", F.explode(pairs("names")).alias("p")).select("question_id", "p.source", "p.target").distinct()
+
+
+def facts(context: DataFrame, found: DataFrame, edges: DataFrame) -> DataFrame:
+    """``question_id`` and the columns of ``edges`` (source, target): those whose ends stand in one chunk of its context."""
+    return pairs_of_context(context, found).join(edges, ["source", "target"])
+
+
+def facts_of(context: DataFrame, found: DataFrame) -> DataFrame:
+    """As facts(), where no edges are stored: only the context's own pairs are counted over all mentions."""
+    asked = written(pairs_of_context(context, found), "asked")
+    return asked.join(relations_among(found, asked), ["source", "target"])

@@ -59,6 +59,22 @@ def relations(found: DataFrame, relation: str = "CO_OCCURS") -> DataFrame:
     return n.join(a, "source").join(b, "target").select("source", "target", F.lit(relation).alias("relation_type"), "pair_chunks", share.alias("confidence"))
 
 
+def relations_among(found: DataFrame, wanted: DataFrame, relation: str = "CO_OCCURS") -> DataFrame:
+    """The rows of relations() for the pairs ``wanted`` (source, target), without the others being counted.
+
+    Only mentions of names in ``wanted`` are read into lists, and pairs that nobody asks for go before they are counted.
+    """
+    asked = written(wanted.select("source", "target").distinct(), "wanted")
+    names = asked.select(F.explode(F.array("source", "target")).alias("name")).distinct()
+    held = written(found.select("chunk_id", "name").join(names, "name", "left_semi").distinct(), "named")
+    lists = held.groupBy("chunk_id").agg(F.array_sort(F.collect_list("name")).alias("names"))
+    n = lists.select(F.explode(pairs("names")).alias("p")).select("p.*").join(asked, ["source", "target"], "left_semi").groupBy("source", "target").agg(F.count("*").alias("pair_chunks"))
+    often = written(held.groupBy("name").agg(F.count("*").alias("chunks")), "names")
+    a, b = (often.select(F.col("name").alias(x), F.col("chunks").alias(f"{x}_chunks")) for x in ("source", "target"))
+    share = F.col("pair_chunks") / F.least("source_chunks", "target_chunks")
+    return n.join(a, "source").join(b, "target").select("source", "target", F.lit(relation).alias("relation_type"), "pair_chunks", share.alias("confidence"))
+
+
 def resolve(entities: DataFrame) -> DataFrame:
     """``name, entity_type, canonical_id, n``: one entity for each trimmed, lower-cased name and type."""
     return entities.groupBy(F.lower(F.trim("name")).alias("name"), "entity_type").agg(F.min("id").alias("canonical_id"), F.count("*").alias("n"))

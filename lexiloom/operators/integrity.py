@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import fault
 from ..schema import FOREIGN_KEYS
+from ..sources.tables import written
 
 
 def orphans(tables: dict[str, DataFrame], key: str = "id") -> DataFrame:
@@ -56,24 +57,36 @@ def citations_out_of_scope(citations: DataFrame, messages: DataFrame, sessions:
     return wide.filter("session_document <> cited_document").select("citation_id", "session_id", "session_document", "cited_document")
 
 
-def graph_faults(entities: DataFrame, edges: DataFrame) -> DataFrame:
+def graph_faults(entities: DataFrame, edges: DataFrame, totals: Observation | None = None) -> DataFrame:
     """``check, id``: blank (name or type), dangling, loop, confidence (outside 0 to 1, or nan), parallel, deleted end.
 
     ``entities``: id, name, entity_type, is_deleted; ``edges``: id, source_entity_id, target_entity_id, relation_type,
-    confidence_score. Of parallel edges all but the one with the least id are faults.
+    confidence_score. Of parallel edges all but the one with the least id are faults. An entity that several rows
+    describe is blank or deleted if one of them says so. Each fault of an id comes once; ``totals`` is given the number
+    of each kind when the result is computed.
+
+    Edges and entities are computed once and written, narrow; one pass over the joined edges then finds all their
+    faults as an array. Both sides of its joins are plain exchanges, so the edges of a hot entity are split at run time.
     """
-    ends = edges.select("id", F.explode(F.array("source_entity_id", "target_entity_id")).alias("end"))
-    known = entities.select(F.col("id").alias("end"), "is_deleted")
-    joined = ends.join(known, "end", "left")
+    blank = (F.trim("name") == "") | (F.trim("entity_type") == "")
+    known = written(entities.groupBy("id").agg(F.bool_or(F.coalesce("is_deleted", F.lit(False))).alias("gone"), F.bool_or(F.coalesce(blank, F.lit(True))).alias("blank")), "entities")
+    alike = ["source_entity_id", "target_entity_id", "relation_type"]
+    held = written(edges.select("id", *alike, "confidence_score"), "edges")
+    first = written(held.groupBy(*alike).agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"), "parallel")
+    joined = held
+    for end in ("source", "target"):
+        joined = joined.join(known.select(F.col("id").alias(f"{end}_entity_id"), F.col("gone").alias(f"{end}_gone")), f"{end}_entity_id", "left")
+    first = first.select(*[F.col(c).alias(f"__{c}") for c in alike], "first")
+    joined = joined.join(first, reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in alike]), "left")
     score = F.col("confidence_score")
-    first = edges.groupBy("source_entity_id", "target_entity_id", "relation_type").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    again = edges.join(first, ["source_entity_id", "target_entity_id", "relation_type"]).filter("id <> first")
-    found = {
-        "blank": entities.filter((F.trim("name") == "") | (F.trim("entity_type") == "")),
-        "dangling": joined.filter("is_deleted is null"),
-        "deleted": joined.filter("is_deleted"),
-        "loop": edges.filter("source_entity_id = target_entity_id"),
-        "confidence": edges.filter(score.isNull() | F.isnan(score) | (score < 0) | (score > 1)),
-        "parallel": again,
+    kinds = {
+        "dangling": F.col("source_gone").isNull() | F.col("target_gone").isNull(),
+        "deleted": F.coalesce("source_gone", F.lit(False)) | F.coalesce("target_gone", F.lit(False)),
+        "loop": F.col("source_entity_id") == F.col("target_entity_id"),
+        "confidence": score.isNull() | F.isnan(score) | (score < 0) | (score > 1),
+        "parallel": F.col("id") != F.col("first"),
     }
-    return reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("check"), "id").distinct() for name, df in found.items()])
+    faults = F.array_compact(F.array(*[F.when(condition, name) for name, condition in kinds.items()]))
+    of_edges = joined.select(F.explode(faults).alias("check"), "id").distinct()
+    out = known.filter("blank").select(F.lit("blank").alias("check"), "id").unionByName(of_edges)
+    return out if totals is None else out.observe(totals, *[F.count_if(F.col("check") == name).alias(name) for name in ("blank", *kinds)])

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import FOREIGN_KEYS
+from ..schema import FOREIGN_KEYS, ForeignKey
 from ..sources.tables import written
 
 
@@ -80,31 +80,68 @@ def union(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.unionByName(b)
 
 
-def cascade(tables: dict[str, DataFrame], roots: dict[str, DataFrame], key: str = "id") -> DataFrame:
+def cascade(tables: dict[str, DataFrame], roots: dict[str, DataFrame], key: str = "id", keys: list[ForeignKey] = FOREIGN_KEYS) -> DataFrame:
     """``table, id`` of all rows that go when ``roots`` (table: ids) go, over the cascading foreign keys."""
-    doomed = doomed_by_table(tables, roots, key)
+    doomed = doomed_by_table(tables, roots, key, keys)
     return reduce(DataFrame.unionByName, [ids.select(F.lit(name).alias("table"), F.col(key).alias("id")) for name, ids in sorted(doomed.items())])
 
 
-def doomed_by_table(tables: dict[str, DataFrame], roots: dict[str, DataFrame], key: str = "id") -> dict[str, DataFrame]:
-    """Ids to delete, by table. Parents come before children in the order below, so one pass is enough."""
-    out = {name: ids.select(key).distinct() for name, ids in roots.items()}
-    for name in ("users", "documents", "document_chunks", "extracted_entities", "chat_sessions", "chat_messages", "message_citations"):
-        ways = [out[name]] if name in out else []
-        for fk in FOREIGN_KEYS:
-            if fk.child == name and fk.rule == "cascade" and fk.parent in out and name in tables:
-                parents = out[fk.parent].select(F.col(key).alias(fk.column))
-                ways.append(tables[name].join(parents, fk.column, "left_semi").select(key))
-        if ways:
-            # written, so that the tables below don't find these ids again
-            out[name] = written(reduce(DataFrame.unionByName, ways).distinct() if len(ways) > 1 else ways[0], "doomed")
+def delete_order(names: set[str], keys: list[ForeignKey]) -> list[list[str]]:
+    """``names`` in groups, parents before children over the cascading keys; tables that refer to each other are one group."""
+    below = {n: {n} for n in names}
+    for _ in names:
+        for fk in keys:
+            if fk.rule == "cascade" and fk.child in names and fk.parent in names:
+                for found in below.values():
+                    if fk.parent in found:
+                        found.add(fk.child)
+    above = {n: sum(n in found for found in below.values()) for n in names}
+    groups = {frozenset(m for m in names if m in below[n] and n in below[m]) for n in names}
+    # what stands above a table stands above its children too, and these themselves
+    return [sorted(g) for g in sorted(groups, key=lambda g: (above[min(g)], min(g)))]
+
+
+def doomed_by_table(tables: dict[str, DataFrame], roots: dict[str, DataFrame], key: str = "id", keys: list[ForeignKey] = FOREIGN_KEYS) -> dict[str, DataFrame]:
+    """Ids to delete, by table, over any graph of foreign keys.
+
+    Tables come in the order of delete_order(), so each is searched once for each of its keys. Tables that refer to
+    themselves or each other are searched again from what the last search found, until it finds nothing new. Whatever is
+    found is written, so that nothing further down finds it again.
+    """
+
+    def children(fk: ForeignKey, parents: DataFrame) -> DataFrame:
+        return tables[fk.child].join(parents.select(F.col(key).alias(fk.column)), fk.column, "left_semi").select(key)
+
+    def together(parts: list[DataFrame]) -> DataFrame:
+        return written(reduce(DataFrame.unionByName, parts).distinct() if len(parts) > 1 else parts[0], "doomed")
+
+    given = {name: ids.select(key).distinct() for name, ids in roots.items()}
+    usable = [fk for fk in keys if fk.rule == "cascade" and fk.child in tables]
+    out: dict[str, DataFrame] = {}
+    for group in delete_order({*tables, *roots}, keys):
+        parts = {name: [given[name]] if name in given else [] for name in group}
+        for fk in usable:
+            if fk.child in group and fk.parent not in group and fk.parent in out:
+                parts[fk.child].append(children(fk, out[fk.parent]))
+        front = {name: together(found) for name, found in parts.items() if found}
+        out |= front
+        inner = [fk for fk in usable if fk.child in group and fk.parent in group]
+        while inner and front:
+            fresh: dict[str, list[DataFrame]] = {}
+            for fk in inner:
+                if fk.parent in front:
+                    found = children(fk, front[fk.parent])
+                    fresh.setdefault(fk.child, []).append(found.join(out[fk.child], key, "left_anti") if fk.child in out else found)
+            front = {name: new for name, found in fresh.items() if not (new := written(reduce(DataFrame.unionByName, found).distinct(), "doomed")).isEmpty()}
+            for name, new in front.items():
+                out[name] = out[name].unionByName(new) if name in out else new
     return out
 
 
-def restricted(tables: dict[str, DataFrame], roots: dict[str, DataFrame], key: str = "id") -> DataFrame:
+def restricted(tables: dict[str, DataFrame], roots: dict[str, DataFrame], key: str = "id", keys: list[ForeignKey] = FOREIGN_KEYS) -> DataFrame:
     """``table, id, column`` of rows that forbid the delete: they refer to a doomed row and aren't doomed themselves."""
-    doomed, parts = doomed_by_table(tables, roots, key), []
-    for fk in FOREIGN_KEYS:
+    doomed, parts = doomed_by_table(tables, roots, key, keys), []
+    for fk in keys:
         if fk.rule == "restrict" and fk.parent in doomed and fk.child in tables:
             held = tables[fk.child].join(doomed[fk.parent].select(F.col(key).alias(fk.column)), fk.column, "left_semi")
             if fk.child in doomed:

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import total_pages
+from ..sources.tables import new_folder
 
 
 def where(df: DataFrame, condition: Column | str | None = None) -> DataFrame:
@@ -112,3 +118,92 @@ def activity(df: DataFrame, unit: str = "day") -> DataFrame:
 def page_after(df: DataFrame, key: str, after, size: int) -> DataFrame:
     """The ``size`` rows that follow key ``after``; nothing before them is sorted."""
     return (df if after is None else df.filter(F.col(key) > after)).orderBy(key).limit(size)
+
+
+@dataclass(frozen=True)
+class By:
+    """A column to order by. Nulls come first in ascending and last in descending order, unless ``nulls_last`` says otherwise."""
+
+    column: str
+    descending: bool = False
+    nulls_last: bool | None = None
+
+    @property
+    def last(self) -> bool:
+        return self.descending if self.nulls_last is None else self.nulls_last
+
+    def reversed(self) -> By:
+        return By(self.column, not self.descending, not self.last)
+
+    def sort(self) -> Column:
+        way = ("desc" if self.descending else "asc") + ("_nulls_last" if self.last else "_nulls_first")
+        return getattr(F.col(self.column), way)()
+
+    def after(self, value, *, same: bool = False) -> Column:
+        """Rows whose column comes after ``value``, or with it if ``same``."""
+        c = F.col(self.column)
+        if value is None:
+            follows = F.lit(False) if self.last else c.isNotNull()
+            return follows | c.isNull() if same else follows
+        follows = (c <= value if same else c < value) if self.descending else (c >= value if same else c > value)
+        return follows | c.isNull() if self.last else follows
+
+
+def _order(order: tuple[By | str, ...]) -> list[By]:
+    return [By(o) if isinstance(o, str) else o for o in order]
+
+
+def keyset(df: DataFrame, order: list[By | str], size: int, *, after: dict | None = None, before: dict | None = None) -> DataFrame:
+    """The ``size`` rows that follow ``after``, or those that come just ahead of ``before``, in the given order.
+
+    ``after`` and ``before``: the order's columns of the last row of the page before, or of the first row of the page
+    behind. The order should end with a unique column; then pages neither repeat nor lose rows, whatever ties and nulls
+    there are. Each task keeps ``size`` rows and nothing else is sorted; the first column's bound reaches the scan.
+    """
+    ways, edge = _order(tuple(order)), after
+    if before is not None:
+        ways, edge = [w.reversed() for w in ways], before
+    if edge is not None:
+        steps = [reduce(Column.__and__, [*[F.col(w.column).eqNullSafe(F.lit(edge[w.column])) for w in ways[:i]], ways[i].after(edge[ways[i].column])]) for i in range(len(ways))]
+        df = df.filter(ways[0].after(edge[ways[0].column], same=True)).filter(reduce(Column.__or__, steps))
+    rows = df.orderBy(*[w.sort() for w in ways]).limit(size)
+    return rows if before is None else rows.orderBy(*[w.reversed().sort() for w in ways])
+
+
+@dataclass(frozen=True)
+class PageIndex:
+    """``table`` in range partitions (column ``__part``) of ``counts`` rows, in the order of ``order``."""
+
+    table: DataFrame
+    order: list[By]
+    counts: list[int]
+
+    def page(self, number: int, size: int) -> DataFrame:
+        """As page(), but only the partitions that hold the page's rows are read and sorted."""
+        if number < 1 or size < 1:
+            raise ValueError("pages count from 1 and hold one row at least")
+        ends, total, start = list(accumulate(self.counts)), sum(self.counts), (number - 1) * size
+        first = bisect_right(ends, start)
+        last = bisect_right(ends, min(start + size, total) - 1)
+        offset = start - (ends[first - 1] if first else 0)
+        rows = self.table.filter(F.col("__part").isin(list(range(first, last + 1)))).drop("__part")
+        rows = rows.orderBy(*[w.sort() for w in self.order]).offset(offset).limit(size)
+        pages = -(-total // size)
+        places = {"current_page": number, "total_pages": pages, "total_count": total}
+        return rows.withColumns({n: F.lit(v).cast("long") for n, v in places.items()} | {"has_previous": F.lit(number > 1), "has_next": F.lit(number < pages)})
+
+
+def page_index(df: DataFrame, *order: By | str, parts: int | None = None) -> PageIndex:
+    """Sort ``df`` once into range partitions in the shared folder, with the rows of each, for any number of pages.
+
+    ``order`` should end with a unique column: equal rows share a partition. ``parts`` is Spark's number of shuffle
+    partitions by default; their counts, and nothing else, come to the driver.
+    """
+    ways = _order(order)
+    spark = df.sparkSession
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = new_folder(spark, "pages")
+    df.repartitionByRange(parts, *[w.sort() for w in ways]).withColumn("__part", F.spark_partition_id()).write.partitionBy("__part").parquet(path)
+    table = spark.read.schema(T.StructType([*df.schema.fields, T.StructField("__part", T.IntegerType())])).parquet(path)
+    held = {r["__part"]: r["count"] for r in table.groupBy("__part").count().collect()}
+    return PageIndex(table, ways, [held.get(i, 0) for i in range(max(held, default=-1) + 1)])
