@@ -855,13 +855,25 @@ def _folder(m, name: str) -> str:
 def t1_ingest(m):
     target = _folder(m, "chunks")
     streams.ingest(_stream(m, "documents"), target, _folder(m, "ingest"))
-    return m.spark.read.parquet(target).select("document_id", "chunk_index", "page_number", F.md5("content").alias("content"))
+    return streams.current(m.spark.read.parquet(target)).select("document_id", "chunk_index", "page_number", F.md5("content").alias("content"))
 
 
-def _collected(m, stream: DataFrame, name: str) -> DataFrame:
+@query(r"SELECT document_id, chunk_index, page_number, md5(content) AS content FROM (SELECT doc_id * 100000 + i AS id, doc_id AS document_id, i AS chunk_index, (i * 800) // 3000 + 1 AS page_number, substr(t, i * 800 + 1, 1000) AS content FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 2 THEN '' WHEN doc_id % 5 = 1 THEN reverse(trim(regexp_replace(text, '\s+', ' ', 'g'))) ELSE trim(regexp_replace(text, '\s+', ' ', 'g')) END AS t FROM documents) c, LATERAL (SELECT unnest(range(greatest(1, ceil((length(t) - 200) / 800.0)::BIGINT))) AS i) WHERE length(t) > 0)")
+def t1_changed(m):
+    """Documents arrive, then arrive again: a fifth with a changed text, a fifth emptied, the others as they were."""
+    source, target, mark = _folder(m, "arrived"), _folder(m, "chunks"), _folder(m, "ingest")
+    docs = m.raw("documents").select("doc_id", "text")
+    again = F.when(F.col("doc_id") % 5 == 2, "").when(F.col("doc_id") % 5 == 1, F.reverse(scalars.clean_text(F.col("text")))).otherwise(F.col("text"))
+    for rows in (docs, docs.select("doc_id", again.alias("text"))):
+        rows.write.mode("append").parquet(source)
+        streams.ingest(streams.read_files(m.spark, source, docs.schema), target, mark)
+    return streams.current(m.spark.read.parquet(target)).select("document_id", "chunk_index", "page_number", F.md5("content").alias("content"))
+
+
+def _collected(m, stream: DataFrame, name: str, mark: str | None = None) -> DataFrame:
     """A stream's appended rows once all input is read."""
     target = _folder(m, name)
-    stream.writeStream.format("parquet").option("path", target).option("checkpointLocation", _folder(m, name)).trigger(availableNow=True).start().awaitTermination()
+    stream.writeStream.format("parquet").option("path", target).option("checkpointLocation", mark or _folder(m, name)).trigger(availableNow=True).start().awaitTermination()
     return m.spark.read.schema(stream.schema).parquet(target)
 
 
@@ -872,18 +884,22 @@ def t2_first_inserts(m):
     return _collected(m, streams.first_inserts(retried, "event_id", "ts", "1 hour").select("event_id", "user_id", "event_type"), "inserts")
 
 
-@query(
-    """WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events),
+_SESSIONS = """WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events),
     s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS k FROM e)
     SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_at, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_at, count(*) AS events FROM s GROUP BY user_id, k"""
-)
+
+
+@query(_SESSIONS)
 def t3_sessions(m):
     return streams.activity_sessions(m.raw("events"))
 
 
-@query()
+@query(_SESSIONS)
 def t3_sessions_streamed(m):
-    return _collected(m, streams.activity_sessions(_stream(m, "events")), "sessions")
+    """What the stream has written and, at its end, the sessions that are still open."""
+    mark = _folder(m, "sessions")
+    closed = _collected(m, streams.activity_sessions(_stream(m, "events")), "sessions", mark)
+    return closed.unionByName(streams.open_sessions(m.spark, mark))
 
 
 @query(_LINEAGE, "citations", "docs", "users")

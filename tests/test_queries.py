@@ -29,14 +29,6 @@ def test_approximate_concepts_are_near(spark):
         assert abs(r["concepts"] - exact[r["document_id"]]) <= max(2, 0.15 * exact[r["document_id"]])
 
 
-def test_streamed_sessions_are_batch_sessions_but_the_open_ones(spark):
-    batch = {tuple(r) for r in catalog.QUERIES["t3_sessions"](spark, SF).collect()}
-    streamed = {tuple(r) for r in catalog.QUERIES["t3_sessions_streamed"](spark, SF).collect()}
-    assert streamed <= batch
-    last = max(r[2] for r in batch)
-    assert all(r[2][:10] == last[:10] for r in batch - streamed)
-
-
 def test_entry(spark):
     import __spark_entry__
 
