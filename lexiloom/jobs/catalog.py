@@ -15,7 +15,7 @@ from ..functions import scalars, vectors
 from ..operators import integrity, mutate, read
 from ..schema import DOCUMENT_STATUS
 from ..sources import tables as io
-from ..sources.adapters import NOW, Model, sql
+from ..sources.adapters import NOW, LaidOut, Model, sql
 from ..streaming import streams
 from . import chat, graph, ingest
 
@@ -23,13 +23,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(oracle: str | None = None, *ctes: str):
-    """Register a function of the model under its own name. Whole numbers come out as long, times as text."""
+def query(oracle: str | None = None, *ctes: str, model: type[Model] = Model):
+    """Register a function of the ``model`` under its own name. Whole numbers come out as long, times as text."""
 
     def add(f: Callable[[Model], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             spark.conf.set("spark.sql.session.timeZone", "UTC")
-            return flat(f(Model(spark, sf_dir)))
+            return flat(f(model(spark, sf_dir)))
 
         QUERIES[f.__name__] = run
         if oracle:
@@ -269,7 +269,7 @@ def j8_hops_of_documents(m):
     return graph.k_hop(io.written(m.edges(), "edges"), named.select(F.col("name").alias("node")).distinct(), 2)
 
 
-@query("SELECT e.id AS entity_id, e.name, c.chunk_index, c.page_number, d.id AS document_id, d.title, d.file_path FROM entities e JOIN chunks c ON c.id = e.chunk_id JOIN docs d ON d.id = c.document_id", "entities", "docs")
+@query("SELECT e.id AS entity_id, e.name, c.chunk_index, c.page_number, d.id AS document_id, d.title, d.file_path FROM entities e JOIN chunks c ON c.id = e.chunk_id JOIN docs d ON d.id = c.document_id", "entities", "docs", model=LaidOut)
 def j9_provenance(m):
     return graph.provenance(m.entities(), m.chunks(), m.documents()).drop("chunk_id")
 
@@ -278,22 +278,25 @@ _LINEAGE = """SELECT t.message_id, t.relevance_score, t.rank, g.session_id, u.id
     FROM citations t JOIN messages g ON g.id = t.message_id JOIN sessions s ON s.id = g.session_id JOIN users u ON u.id = s.user_id JOIN chunks c ON c.id = t.chunk_id JOIN docs d ON d.id = c.document_id"""
 
 
-@query(_LINEAGE, "citations", "docs", "users")
+@query(_LINEAGE, "citations", "docs", "users", model=LaidOut)
 def j10_lineage(m):
     return chat.lineage(m.citations().drop("id"), m.messages(), m.sessions(), m.chunks(), m.documents(), m.users())
 
 
-@query("SELECT DISTINCT c.document_id, c.chunk_index, c.page_number FROM chunks c JOIN (SELECT document_id, chunk_index FROM chunks WHERE (document_id * 31 + chunk_index) % 19 = 0) h ON h.document_id = c.document_id AND c.chunk_index BETWEEN h.chunk_index - 1 AND h.chunk_index + 1", "chunks")
+@query("SELECT DISTINCT c.document_id, c.chunk_index, c.page_number FROM chunks c JOIN (SELECT document_id, chunk_index FROM chunks WHERE (document_id * 31 + chunk_index) % 19 = 0) h ON h.document_id = c.document_id AND c.chunk_index BETWEEN h.chunk_index - 1 AND h.chunk_index + 1", "chunks", model=LaidOut)
 def j11_context(m):
     hits = m.chunks().filter("(document_id * 31 + chunk_index) % 19 = 0")
     return ingest.around(hits, m.chunks(), 1).select("document_id", "chunk_index", "page_number")
 
 
-@query()
+@query(
+    "SELECT DISTINCT c.document_id, c.chunk_index, c.page_number FROM citations t JOIN chunks h ON h.id = t.chunk_id JOIN chunks c ON c.document_id = h.document_id AND c.chunk_index BETWEEN h.chunk_index - 1 AND h.chunk_index + 1",
+    "citations",
+    model=LaidOut,
+)
 def j11_context_of_citations(m):
     """Around every chunk that a message cites."""
-    hits = m.chunks().join(m.citations().select(F.col("chunk_id").alias("id")).distinct(), "id", "left_semi")
-    return ingest.around(hits, m.chunks(), 1).select("document_id", "chunk_index", "page_number")
+    return ingest.around(m.citations(), m.chunks(), 1).select("document_id", "chunk_index", "page_number")
 
 
 _DOT = "list_dot_product({}.embedding::DOUBLE[], {}.embedding::DOUBLE[])"
@@ -317,7 +320,7 @@ def j13_hybrid(m):
     return vectors.search(_queries(m), index, 5, where="label % 2 = 0").withColumn("score", F.round("score", 6))
 
 
-@query("SELECT t.id AS citation_id, g.session_id, s.document_id + 1 AS session_document, c.document_id AS cited_document FROM citations t JOIN messages g ON g.id = t.message_id JOIN sessions s ON s.id = g.session_id JOIN chunks c ON c.id = t.chunk_id WHERE s.id % 3 = 0", "citations")
+@query("SELECT t.id AS citation_id, g.session_id, s.document_id + 1 AS session_document, c.document_id AS cited_document FROM citations t JOIN messages g ON g.id = t.message_id JOIN sessions s ON s.id = g.session_id JOIN chunks c ON c.id = t.chunk_id WHERE s.id % 3 = 0", "citations", model=LaidOut)
 def j14_scope(m):
     moved = m.sessions().withColumn("document_id", F.col("document_id") + F.when(F.col("id") % 3 == 0, 1).otherwise(0))
     return integrity.citations_out_of_scope(m.citations(), m.messages(), moved, m.chunks())
@@ -364,7 +367,7 @@ def a6_citation_stats(m):
     return chat.citation_stats(m.citations(), m.chunks()).withColumn("avg_relevance", F.round("avg_relevance", 12))
 
 
-@query("SELECT c.document_id, count(*) AS n, count(DISTINCT message_id) AS messages, round(avg(relevance_score), 12) AS avg_relevance FROM citations t JOIN chunks c ON c.id = t.chunk_id GROUP BY 1", "citations")
+@query("SELECT c.document_id, count(*) AS n, count(DISTINCT message_id) AS messages, round(avg(relevance_score), 12) AS avg_relevance FROM citations t JOIN chunks c ON c.id = t.chunk_id GROUP BY 1", "citations", model=LaidOut)
 def a6_document_citations(m):
     return chat.citation_stats(m.citations(), m.chunks(), "document_id").withColumn("avg_relevance", F.round("avg_relevance", 12))
 
@@ -774,7 +777,7 @@ def g6_concept_map(m):
     """, hits AS (SELECT DISTINCT c.document_id, c.chunk_index FROM citations t JOIN chunks c ON c.id = t.chunk_id WHERE t.rank <= 2),
     wide AS (SELECT DISTINCT c.id, c.document_id, c.chunk_index FROM chunks c JOIN hits h ON h.document_id = c.document_id AND c.chunk_index BETWEEN h.chunk_index - 1 AND h.chunk_index + 1)
     SELECT w.document_id, w.chunk_index, count(e.name) AS facts FROM wide w LEFT JOIN mentions e ON e.chunk_id = w.id GROUP BY 1, 2""",
-    "citations", "mentions",
+    "citations", "mentions", model=LaidOut,
 )
 def r1_retrieve(m):
     hits = chat.top_citations(m.citations().drop("rank"), 2)
@@ -828,6 +831,7 @@ def r2_cite(m):
     facts AS (SELECT session_id, string_agg(c.content, chr(10) ORDER BY r) AS f FROM best JOIN chunks c ON c.id = chunk_id WHERE r <= 2 GROUP BY 1)
     SELECT s.id AS session_id, md5('Answer from the text.' || chr(10) || coalesce(f || chr(10), '') || t) AS prompt FROM sessions s JOIN turns ON turns.session_id = s.id LEFT JOIN facts ON facts.session_id = s.id""",
     "citations",
+    model=LaidOut,
 )
 def r3_prompts(m):
     out = chat.prompts(m.messages(), m.sessions(), m.citations(), m.chunks(), system="Answer from the text.", last=4, cited=2)
@@ -902,7 +906,7 @@ def t3_sessions_streamed(m):
     return closed.unionByName(streams.open_sessions(m.spark, mark))
 
 
-@query(_LINEAGE, "citations", "docs", "users")
+@query(_LINEAGE, "citations", "docs", "users", model=LaidOut)
 def flagship(m):
     """Documents to cleaned text, chunks, hashed counts, citations and their lineage."""
     return j10_lineage(m)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import nearest
 from ..sources.tables import written
-from .graph import pairs, relations_among
+from .graph import at_place, pairs, relations_among
 from .ingest import around
 
 
@@ -41,34 +44,80 @@ def session_stats(messages: DataFrame) -> DataFrame:
 
 def citation_stats(citations: DataFrame, chunks: DataFrame, per: str = "chunk_id") -> DataFrame:
     """n, distinct messages and mean relevance by ``chunk_id`` or ``document_id``."""
-    wide = citations if per == "chunk_id" else citations.join(chunks.select(F.col("id").alias("chunk_id"), "document_id"), "chunk_id")
+    wide = citations.select("message_id", "chunk_id", "relevance_score")
+    if per != "chunk_id":
+        wide = wide.join(chunks.select(F.col("id").alias("chunk_id"), "document_id"), "chunk_id")
     return wide.groupBy(per).agg(F.count("*").alias("n"), F.count_distinct("message_id").alias("messages"), F.avg("relevance_score").alias("avg_relevance"))
 
 
-def cite(messages: DataFrame, sessions: DataFrame, chunks: DataFrame, message_vectors: DataFrame, chunk_vectors: DataFrame, k: int = 3, role: str = "Assistant") -> DataFrame:
+#: Chunks of one matrix product.
+AT_ONCE = 512
+
+
+def cite(messages: DataFrame, sessions: DataFrame, chunks: DataFrame, k: int = 3, role: str = "Assistant", dim: int = 1536, block: int = 256) -> DataFrame:
     """``message_id, chunk_id, relevance_score``: the ``k`` nearest chunks of the session's document for each message.
 
-    Vectors are sparse (message_id or chunk_id, bucket, n); the cosine comes from whole-number sums and is rounded to
-    6 digits before ranking, ties by chunk. A message that shares no bucket with its document has no citation.
+    ``messages`` and ``chunks`` have ``buckets``, a text's token buckets (hashed_buckets()). The cosine of their counts
+    comes from whole-number sums and is rounded to 6 digits before ranking, ties by chunk. A message that shares no
+    bucket with its document has no citation. The chunks' other whole-number columns document_id and chunk_index come
+    along where there are any.
+
+    Messages meet their document's chunks as a product of two count matrices in one group. A document with more than
+    ``block`` messages is dealt to several groups, about ``block`` messages each, with its chunks in each of them. Only
+    what can be among the ``k`` best goes out.
     """
-    asked = messages.filter(F.col("role") == role).select(F.col("id").alias("message_id"), "session_id")
-    asked = asked.join(sessions.select(F.col("id").alias("session_id"), "document_id"), "session_id").select("message_id", "document_id")
-    left = message_vectors.select("message_id", "bucket", F.col("n").alias("mn")).join(asked, "message_id")
-    right = chunk_vectors.select("chunk_id", "bucket", F.col("n").alias("cn")).join(chunks.select(F.col("id").alias("chunk_id"), "document_id"), "chunk_id")
-    dots = left.join(right, ["document_id", "bucket"]).groupBy("message_id", "chunk_id").agg(F.sum(F.col("mn") * F.col("cn")).alias("dot"))
-    m2 = message_vectors.groupBy("message_id").agg(F.sum(F.col("n") * F.col("n")).alias("m2"))
-    c2 = chunk_vectors.groupBy("chunk_id").agg(F.sum(F.col("n") * F.col("n")).alias("c2"))
+    asked = messages.filter(F.col("role") == role).select(F.col("id").alias("message_id"), "session_id", "buckets")
+    asked = asked.join(sessions.select(F.col("id").alias("session_id"), "document_id"), "session_id").drop("session_id")
+    groups = written(asked.groupBy("document_id").agg(F.ceil(F.count("*") / F.lit(float(block))).cast("int").alias("groups")), "groups")
+    place = [c for c in ("chunk_index",) if c in chunks.columns]
+    left = asked.join(groups, "document_id").withColumn("group", F.pmod(F.xxhash64("message_id"), F.col("groups")).cast("int")).drop("groups")
+    right = chunks.select(F.col("id").alias("chunk_id"), "document_id", *place, "buckets").join(groups, "document_id")
+    right = right.select("*", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group")).drop("groups")
+
+    def nearest_chunks(asking: pa.Table, held: pa.Table) -> pa.Table:
+        m = _counts(asking["buckets"], dim)
+        m2, parts = (m * m).sum(axis=1), []
+        for at in range(0, held.num_rows, AT_ONCE):
+            c = _counts(held["buckets"].slice(at, AT_ONCE), dim)
+            c2, dots = (c * c).sum(axis=1), m @ c.T
+            parts.append((dots, dots / np.maximum(np.sqrt(m2)[:, None] * np.sqrt(c2), 1), c2))
+        dots, scores, c2 = (np.concatenate([p[i] for p in parts], axis=-1) if parts else np.zeros((len(m), 0)) for i in range(3))
+        if scores.shape[1] > k:
+            # a score that rounding can raise to the k-th
+            least = np.partition(scores, scores.shape[1] - k, axis=1)[:, -k][:, None] - 2e-6
+        else:
+            least = -1.0
+        row, column = np.nonzero((scores >= least) & (dots > 0))
+        out = {"message_id": asking["message_id"].take(row), **{n: held[n].take(column) for n in ("chunk_id", "document_id", *place)}}
+        return pa.table(out | {"dot": dots[row, column].astype(np.int64), "m2": m2[row].astype(np.int64), "c2": c2[column].astype(np.int64)})
+
+    kinds = {**dict(left.dtypes), **dict(right.dtypes)}
+    columns = ["message_id", "chunk_id", "document_id", *place]
+    schema = ", ".join([*[f"{n} {kinds[n]}" for n in columns], "dot long, m2 long, c2 long"])
+    near = left.groupBy("document_id", "group").cogroup(right.groupBy("document_id", "group")).applyInArrow(nearest_chunks, schema)
     score = F.round(F.col("dot") / (F.sqrt("m2") * F.sqrt("c2")), 6)
-    scored = dots.join(m2, "message_id").join(c2, "chunk_id").select("message_id", "chunk_id", score.alias("relevance_score"))
-    return top_citations(scored, k)
+    return top_citations(near.select(*columns, score.alias("relevance_score")), k)
+
+
+def _counts(buckets: pa.ChunkedArray, dim: int) -> np.ndarray:
+    """How often each text (a row) has each bucket."""
+    held = buckets.combine_chunks()
+    rows = np.repeat(np.arange(len(held)), pc.fill_null(pc.list_value_length(held), 0).to_numpy(zero_copy_only=False))
+    values = held.flatten().to_numpy(zero_copy_only=False)
+    return np.bincount(rows * dim + values, minlength=len(held) * dim).reshape(len(held), dim).astype(np.float64)
 
 
 def lineage(citations: DataFrame, messages: DataFrame, sessions: DataFrame, chunks: DataFrame, docs: DataFrame, users: DataFrame) -> DataFrame:
-    """Each citation with its message, session and user, and its chunk, page and document."""
+    """Each citation with its message, session and user, and its chunk, page and document.
+
+    Citations that say where their chunk stands (document_id, chunk_index) meet it there: chunks that are laid out by
+    that place aren't moved.
+    """
     out = citations.join(messages.select(F.col("id").alias("message_id"), "session_id"), "message_id")
     out = out.join(sessions.select(F.col("id").alias("session_id"), "user_id"), "session_id")
     out = out.join(users.select(F.col("id").alias("user_id"), "username"), "user_id")
-    out = out.join(chunks.select(F.col("id").alias("chunk_id"), "document_id", "chunk_index", "page_number"), "chunk_id")
+    place = at_place(citations)
+    out = out.drop("document_id").join(chunks.select(F.col("id").alias("chunk_id"), "document_id", "chunk_index", "page_number"), "chunk_id") if not place else out.join(chunks.select(*place, "page_number"), place)
     return out.join(docs.select(F.col("id").alias("document_id"), "title", "file_path"), "document_id")
 
 

@@ -14,10 +14,16 @@ from ..sources.tables import written
 NAME = r"(\p{Lu}\p{Ll}{3,})"
 
 
-def mentions(chunks: DataFrame, pattern: str = NAME, entity_type: str = "TERM") -> DataFrame:
-    """``chunk_id, document_id, name, entity_type, description``: the distinct names of each chunk, by rule."""
+def at_place(table: DataFrame) -> list[str]:
+    """The columns that say where a chunk stands, if ``table`` has them: its document and its index there."""
+    place = ["document_id", "chunk_index"]
+    return place if set(place) <= set(table.columns) else []
+
+
+def mentions(chunks: DataFrame, pattern: str = NAME, entity_type: str = "TERM", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``chunk_id, document_id, name, entity_type, description``: the distinct names of each chunk, by rule; ``keep``: its columns that come along."""
     names = F.array_distinct(F.transform(F.regexp_extract_all("content", F.lit(pattern), F.lit(1)), F.lower))
-    return chunks.select(F.col("id").alias("chunk_id"), "document_id", F.explode(names).alias("name"), F.lit(entity_type).alias("entity_type"), preview(F.col("content")).alias("description"))
+    return chunks.select(F.col("id").alias("chunk_id"), "document_id", *keep, F.explode(names).alias("name"), F.lit(entity_type).alias("entity_type"), preview(F.col("content")).alias("description"))
 
 
 def extract(chunks: DataFrame, extractor: Callable[[list[str]], list[list[tuple[str, str, str]]]]) -> DataFrame:
@@ -147,10 +153,17 @@ def merge_parallel(edges: DataFrame) -> DataFrame:
 
 
 def provenance(entities: DataFrame, chunks: DataFrame, docs: DataFrame) -> DataFrame:
-    """Each entity with its chunk, page and document."""
-    places = chunks.select(F.col("id").alias("chunk_id"), "document_id", "chunk_index", "page_number")
+    """Each entity with its chunk, page and document.
+
+    Entities that say where their chunk stands (document_id, chunk_index) meet it there: tables that are laid out by that
+    place aren't moved.
+    """
+    place = at_place(entities)
     titles = docs.select(F.col("id").alias("document_id"), "title", "file_path")
-    return entities.select(F.col("id").alias("entity_id"), "chunk_id", "name").join(places, "chunk_id").join(titles, "document_id")
+    named = entities.select(F.col("id").alias("entity_id"), "chunk_id", "name", *place)
+    if place:
+        return named.join(chunks.select(*place, "page_number"), place).join(titles, "document_id")
+    return named.join(chunks.select(F.col("id").alias("chunk_id"), "document_id", "chunk_index", "page_number"), "chunk_id").join(titles, "document_id")
 
 
 def document_summary(found: DataFrame) -> DataFrame:

@@ -38,6 +38,11 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(F.lower(c), TOKEN_SPLIT), lambda t: t != "")
 
 
+def hashed_buckets(c: Column, dim: int = 1536) -> Column:
+    """The bucket of each token of a text, in its order: hashed_counts() as one array, without a shuffle."""
+    return F.transform(tokens(c), lambda t: (F.conv(F.substring(F.md5(t), 1, 7), 16, 10).cast("long") % dim).cast("int"))
+
+
 def hashed_counts(df: DataFrame, key: str, text: str, dim: int = 1536) -> DataFrame:
     """``key, bucket, n``: token counts in ``dim`` buckets by md5, a sparse vector for each row. Offline embedder."""
     bucket = F.conv(F.substring(F.md5("token"), 1, 7), 16, 10).cast("long") % dim

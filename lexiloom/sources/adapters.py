@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..jobs import chat, graph, ingest
+from .tables import laid_out
+
+#: Where a chunk stands.
+PLACE = ["document_id", "chunk_index"]
 
 #: Documents of so many users.
 USERS = 150
@@ -68,16 +74,37 @@ class Model:
         return self.raw("conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("conv_id").alias("session_id"), F.initcap("role").alias("role"), F.col("text").alias("content"), at.alias("created_at"))
 
     def citations(self) -> DataFrame:
-        messages, chunks = self.messages(), self.chunks()
-        asked = messages.filter("role = 'Assistant'").withColumnRenamed("id", "message_id")
-        cited = chunks.join(self.sessions().select("document_id").distinct(), "document_id", "left_semi").withColumnRenamed("id", "chunk_id")
-        found = chat.cite(messages, self.sessions(), chunks, ingest.hashed_counts(asked, "message_id", "content"), ingest.hashed_counts(cited, "chunk_id", "content"))
+        messages = self.messages().withColumn("buckets", ingest.hashed_buckets(F.col("content")))
+        chunks = self.chunks().withColumn("buckets", ingest.hashed_buckets(F.col("content")))
+        found = chat.cite(messages, self.sessions(), chunks)
         return found.withColumn("id", F.concat_ws("#", F.col("message_id").cast("string"), F.col("chunk_id").cast("string")))
 
     def vectors(self) -> DataFrame:
         return self.raw("embeddings")
 
 
+class LaidOut(Model):
+    """The same tables; chunks, and the mentions in them, are cut once and written by where a chunk stands."""
+
+    @cached_property
+    def _chunks(self) -> DataFrame:
+        return laid_out(super().chunks(), "chunks", *PLACE)
+
+    @cached_property
+    def _mentions(self) -> DataFrame:
+        return laid_out(graph.mentions(self._chunks, keep=("chunk_index",)), "mentions", *PLACE, dealt=True)
+
+    def chunks(self) -> DataFrame:
+        return self._chunks
+
+    def mentions(self) -> DataFrame:
+        return self._mentions
+
+    def entities(self) -> DataFrame:
+        key = F.concat_ws("#", F.col("chunk_id").cast("string"), "name")
+        return self.mentions().select(key.alias("id"), "chunk_id", *PLACE, "name", "entity_type", "description", F.col("name").startswith("q").alias("is_deleted"))
+
+
 def with_id(chunks: DataFrame) -> DataFrame:
     """Whole-number ids, as the test tables have."""
     return chunks.withColumn("id", F.col("document_id") * 100000 + F.col("chunk_index"))

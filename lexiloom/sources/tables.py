@@ -53,6 +53,20 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+def laid_out(df: DataFrame, name: str, *keys: str, parts: int | None = None, dealt: bool = False) -> DataFrame:
+    """``df`` written once as a table bucketed and sorted by ``keys``: joins and groups on these keys move no row of it.
+
+    There is a file for each of ``parts`` buckets (Spark's number of shuffle partitions by default). ``dealt``: the rows
+    come from such a table and lie in its buckets already. The table lasts as long as the application's catalog.
+    """
+    spark = df.sparkSession
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = df if dealt else df.repartition(parts, *keys)
+    own = f"{name}_{uuid.uuid4().hex}"
+    rows.write.bucketBy(parts, *keys).sortBy(*keys).option("path", new_folder(spark, name)).saveAsTable(own)
+    return spark.table(own)
+
+
 class Conflict(RuntimeError):
     """Another commit has switched one of the tables since the commit's base was read."""
 

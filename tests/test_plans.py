@@ -3,9 +3,9 @@
 from pyspark.sql import functions as F
 
 from lexiloom.functions.vectors import nearest
-from lexiloom.jobs import catalog, graph, ingest
+from lexiloom.jobs import catalog, chat, graph, ingest
 from lexiloom.operators import read
-from lexiloom.sources.adapters import Model
+from lexiloom.sources.adapters import LaidOut, Model
 
 from .conftest import DATA
 
@@ -40,6 +40,39 @@ def test_nearest_moves_only_candidates(spark):
 
 def test_no_python_and_no_product_in_graph_jobs(spark):
     m = Model(spark, SF)
-    for df in (graph.relations(m.mentions()), graph.document_summary(m.mentions()), ingest.hashed_counts(m.chunks().withColumn("k", F.col("id")), "k", "content"), m.citations()):
+    for df in (graph.relations(m.mentions()), graph.document_summary(m.mentions()), ingest.hashed_counts(m.chunks().withColumn("k", F.col("id")), "k", "content")):
         out = plan(df)
         assert "Python" not in out and "Pandas" not in out and "CartesianProduct" not in out
+
+
+def test_tables_that_are_laid_out_stay_where_they_are(spark):
+    """Lineage, provenance and context move no chunk with its page or text; texts of documents are read to cut them only."""
+    m = LaidOut(spark, SF)
+    cited = spark.createDataFrame([(1, 2, 0, 0, 0.5)], "message_id long, chunk_id long, document_id long, chunk_index int, relevance_score double")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        jobs = [graph.provenance(m.entities(), m.chunks(), m.documents()), ingest.around(m.chunks().filter("chunk_index % 3 = 0"), m.chunks(), 1)]
+        jobs.append(chat.lineage(cited, m.messages(), m.sessions(), m.chunks(), m.documents(), m.users()))
+        for out in map(plan, jobs):
+            between = _between(out)
+            assert between and not any("Exchange" in line for line in between), out
+            assert "documents.parquet" not in out or "text:" not in out
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def _between(out: str) -> list[str]:
+    """The plan's nodes from a scan of the chunks' pages up to the join above it, the scan included."""
+    lines, found = out.splitlines(), []
+    deep = [len(line) - len(line.lstrip(" :+-")) for line in lines]
+    for at, line in enumerate(lines):
+        if "FileScan" in line and ".chunks_" in line and "page_number#" in line:
+            found.append(line)
+            depth = deep[at]
+            for up in range(at - 1, -1, -1):
+                if deep[up] < depth:
+                    depth = deep[up]
+                    if "Join" in lines[up]:
+                        break
+                    found.append(lines[up])
+    return found
