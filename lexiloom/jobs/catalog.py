@@ -17,7 +17,7 @@ from ..schema import DOCUMENT_STATUS
 from ..sources import tables as io
 from ..sources.adapters import NOW, LaidOut, Model, sql
 from ..streaming import streams
-from . import chat, graph, ingest
+from . import chat, graph, ingest, sketches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -387,6 +387,15 @@ def a8_concepts_approximate(m):
     return graph.concepts_per_document(m.mentions(), approximate=True)
 
 
+@query()
+def a8_concepts_of_users(m):
+    """Documents' sketches merged for each user: how many concepts, and the commonest."""
+    kept = io.written(sketches.document_sketches(m.mentions()), "sketches")
+    of = kept.join(m.documents().select(F.col("id").alias("document_id"), "user_id"), "document_id")
+    top = F.transform("top", lambda t: F.concat_ws(":", t["item"], t["count"].cast("string")))
+    return sketches.estimates(sketches.merged(of, "user_id")).select("user_id", "distinct", F.array_join(top, ",").alias("top"))
+
+
 @query("SELECT lower(email) AS key, count(*) AS n FROM users GROUP BY 1 HAVING count(*) > 1", "users")
 def a9_duplicate_emails(m):
     return integrity.duplicate_keys(m.users(), "email")

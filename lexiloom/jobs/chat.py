@@ -81,7 +81,8 @@ def cite(messages: DataFrame, sessions: DataFrame, chunks: DataFrame, k: int = 3
             c = _counts(held["buckets"].slice(at, AT_ONCE), dim)
             c2, dots = (c * c).sum(axis=1), m @ c.T
             parts.append((dots, dots / np.maximum(np.sqrt(m2)[:, None] * np.sqrt(c2), 1), c2))
-        dots, scores, c2 = (np.concatenate([p[i] for p in parts], axis=-1) if parts else np.zeros((len(m), 0)) for i in range(3))
+        parts = parts or [(np.zeros((len(m), 0)), np.zeros((len(m), 0)), np.zeros(0))]
+        dots, scores, c2 = (np.concatenate([p[i] for p in parts], axis=-1) for i in range(3))
         if scores.shape[1] > k:
             # a score that rounding can raise to the k-th
             least = np.partition(scores, scores.shape[1] - k, axis=1)[:, -k][:, None] - 2e-6

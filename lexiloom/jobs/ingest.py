@@ -60,24 +60,59 @@ def embed(df: DataFrame, embedder: Callable[[list[str]], list[list[float]]], *,
     """``df`` with ``embedding`` by any batch embedder, one vector for each text.
 
     Equal texts are embedded once, and what was embedded is written before the join back, so a retry costs no call
-    twice. ``parts`` bounds how many calls run at once. A batch that returns too few vectors fails the job. A null
-    text has a null vector.
+    twice. ``parts`` bounds how many calls run at once. A batch that returns too few vectors fails the job; see
+    embed_what_works(). A null text has a null vector.
     """
+    return _with_vectors(df, _vectors(df, embedder, text, batch, parts, 1, False), text)
+
+
+def embed_what_works(df: DataFrame, embedder: Callable[[list[str]], list[list[float]]], *, text: str = "content", batch: int = 64, parts: int | None = None, attempts: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(embed()'s rows, null vectors where there is none; ``text, error`` of each distinct text that has none).
+
+    A batch that raises or returns too few vectors is tried ``attempts`` times, then text by text; what fails alone is
+    set aside with its error, and everything else is kept.
+    """
+    vectors = _vectors(df, embedder, text, batch, parts, attempts, True)
+    texts = df.filter(F.col(text).isNotNull()).select(F.md5(text).alias("__hash"), F.col(text).alias("text")).dropDuplicates(["__hash"])
+    failed = texts.join(vectors.filter("error is not null").select("__hash", "error"), "__hash").drop("__hash")
+    return _with_vectors(df, vectors, text), failed
+
+
+def _with_vectors(df: DataFrame, vectors: DataFrame, text: str) -> DataFrame:
+    bare = df.drop("embedding") if "embedding" in df.columns else df
+    return bare.withColumn("__hash", F.md5(text)).join(vectors.select("__hash", "embedding"), "__hash", "left").drop("__hash")
+
+
+def _vectors(df: DataFrame, embedder: Callable, text: str, batch: int, parts: int | None, attempts: int, aside: bool) -> DataFrame:
+    """``__hash, embedding, error`` of the distinct texts, written; ``aside``: errors are rows."""
     once = df.filter(F.col(text).isNotNull()).select(F.md5(text).alias("__hash"), F.col(text).alias("__text")).dropDuplicates(["__hash"])
     once = once.repartition(parts) if parts else once
 
+    def called(texts: list[str]) -> list[list[float]]:
+        vectors = embedder(texts)
+        if len(vectors) != len(texts) or any(v is None for v in vectors):
+            raise ValueError(f"{len(texts)} texts, but {sum(v is not None for v in vectors)} vectors")
+        return [list(map(float, v)) for v in vectors]
+
+    def tried(texts: list[str]) -> list[tuple[list[float] | None, str | None]]:
+        for left in reversed(range(attempts)):
+            try:
+                return [(v, None) for v in called(texts)]
+            except Exception as e:
+                if not left and not aside:
+                    raise
+                if not left and len(texts) == 1:
+                    return [(None, f"{type(e).__name__}: {e}")]
+        return [found for t in texts for found in tried([t])]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             for at in range(0, len(rows), batch):
                 some = rows.iloc[at : at + batch]
-                vectors = embedder(some["__text"].tolist())
-                if len(vectors) != len(some) or any(v is None for v in vectors):
-                    raise ValueError(f"{len(some)} texts, but {sum(v is not None for v in vectors)} vectors")
-                yield pd.DataFrame({"__hash": some["__hash"].array, "embedding": [list(map(float, v)) for v in vectors]})
+                found = tried(some["__text"].tolist())
+                yield pd.DataFrame({"__hash": some["__hash"].array, "embedding": [v for v, _ in found], "error": [e for _, e in found]})
 
-    vectors = written(once.mapInPandas(run, "__hash string, embedding array<float>"), "embedded")
-    bare = df.drop("embedding") if "embedding" in df.columns else df
-    return bare.withColumn("__hash", F.md5(text)).join(vectors, "__hash", "left").drop("__hash")
+    return written(once.mapInPandas(run, "__hash string, embedding array<float>, error string"), "embedded")
 
 
 def count_vectors(texts: list[str], dim: int = 64) -> list[list[float]]:

@@ -18,10 +18,23 @@ def load(spark: SparkSession, path: str, schema: T.StructType | None = None) ->
     return (spark.read.schema(schema) if schema else spark.read).parquet(path)
 
 
-def load_jdbc(spark: SparkSession, url: str, table: str, key: str, lower: int, upper: int, parts: int, **options) -> DataFrame:
-    """A table of a relational store, read in ``parts`` ranges of its numeric ``key``. The driver jar is the caller's."""
-    bounds = {"partitionColumn": key, "lowerBound": lower, "upperBound": upper, "numPartitions": parts}
-    return spark.read.format("jdbc").options(url=url, dbtable=table, **bounds, **options).load()
+def load_jdbc(spark: SparkSession, url: str, table: str, key: str, parts: int, *, lower=None, upper=None, **options) -> DataFrame:
+    """A table of a relational store, read in ``parts`` ranges of ``key`` (a number, date or timestamp).
+
+    Ranges lie between ``lower`` and ``upper``, by default the least and the greatest key, which the store is asked for.
+    They only deal the rows out: the first and the last range are open, and rows without a key are in the first. Where
+    no row has a key there is one range. Filters on the result are sent to the store. The driver jar is the caller's;
+    ``options`` are those of Spark's source.
+    """
+    reader = spark.read.format("jdbc").options(url=url, **options)
+    if lower is None or upper is None:
+        name = spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier(key)
+        least, greatest = reader.option("query", f"SELECT MIN({name}) AS a, MAX({name}) AS b FROM {table}").load().first()
+        lower, upper = (given if given is not None else found for given, found in ((lower, least), (upper, greatest)))
+    reader = spark.read.format("jdbc").options(url=url, dbtable=table, **options)
+    if lower is None:
+        return reader.load()
+    return reader.options(partitionColumn=key, lowerBound=str(lower), upperBound=str(upper), numPartitions=parts).load()
 
 
 def pages(spark: SparkSession, path: str, document_id: str, page_number: str, text: str) -> DataFrame:
