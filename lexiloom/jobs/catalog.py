@@ -255,7 +255,7 @@ def j8_k_hop(m):
     return graph.k_hop(edges, _start(edges, 3), 2)
 
 
-@query()
+@query("SELECT source_entity_id AS node, target_entity_id AS neighbour FROM edges UNION SELECT target_entity_id, source_entity_id FROM edges", "edges")
 def j7_all_neighbours(m):
     """Of every node."""
     edges = m.edges()
@@ -573,7 +573,7 @@ def _roots(m):
 @query(
     f"""{_DOOMED} SELECT 'users' AS "table", id::VARCHAR AS id FROM du UNION ALL SELECT 'documents', id::VARCHAR FROM dd UNION ALL SELECT 'document_chunks', id::VARCHAR FROM dc UNION ALL SELECT 'extracted_entities', id FROM de
     UNION ALL SELECT 'chat_sessions', id::VARCHAR FROM ds UNION ALL SELECT 'chat_messages', id::VARCHAR FROM dm UNION ALL SELECT 'message_citations', id FROM dt""",
-    "users", "docs", "entities", "citations",
+    "users", "docs", "entities", "citations", model=LaidOut,
 )
 def m7_cascade(m):
     return mutate.cascade(_store(m), _roots(m))
@@ -584,7 +584,7 @@ def m7_cascade(m):
     SELECT 'message_citations' AS "table", id, 'chunk_id' AS "column" FROM citations WHERE chunk_id IN (SELECT id FROM dc) AND message_id NOT IN (SELECT id FROM dm)
     UNION ALL SELECT 'extracted_relationships', e.id || '>' || e.other, 'source_entity_id' FROM (SELECT a.id, a.chunk_id, b.id AS other FROM entities a JOIN entities b ON a.chunk_id = b.chunk_id AND a.name < b.name) e WHERE chunk_id IN (SELECT id FROM dc)
     UNION ALL SELECT 'extracted_relationships', e.id || '>' || e.other, 'target_entity_id' FROM (SELECT a.id, a.chunk_id, b.id AS other FROM entities a JOIN entities b ON a.chunk_id = b.chunk_id AND a.name < b.name) e WHERE chunk_id IN (SELECT id FROM dc)""",
-    "entities", "citations",
+    "entities", "citations", model=LaidOut,
 )
 def m8_restrict(m):
     tables = _store(m)
@@ -742,7 +742,7 @@ def g3_resolve(m):
     return graph.resolve(m.entities())
 
 
-@query("SELECT e.id, r.canonical_id FROM entities e JOIN (SELECT lower(trim(name)) AS name, min(id) AS canonical_id FROM entities GROUP BY 1) r ON r.name = lower(trim(e.name))", "entities")
+@query("SELECT e.id, r.canonical_id FROM entities e JOIN (SELECT lower(trim(name)) AS name, min(id) AS canonical_id FROM entities GROUP BY 1) r ON r.name = lower(trim(e.name))", "entities", model=LaidOut)
 def g3_canonical(m):
     return graph.with_canonical(m.entities(), graph.resolve(m.entities())).select("id", "canonical_id")
 
