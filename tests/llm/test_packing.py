@@ -64,6 +64,53 @@ def test_a_packer_is_best_fit():
     assert done == [(2, 7, 0, 0), (3, 3, 0, 7)] and p.gaps == [1]
 
 
+def plainly_packed(documents, size, most, min_piece):
+    """The rule word by word: lists of (document, tokens) as windows; the sequences as they are emitted, and what is open."""
+    done, windows = [], []
+    room = lambda w: size - sum(n for _, n in w)
+    for doc, n in documents:
+        while n >= size:
+            done.append([(doc, size)])
+            n -= size
+        while n:
+            fitting = [w for w in windows if room(w) >= n]
+            if not fitting and len(windows) < most:
+                windows.append([])
+                fitting = windows[-1:]
+            if fitting:
+                best = min(fitting, key=room)
+                best.append((doc, n))
+                n = 0
+                if not room(best):
+                    done.append(best)
+                    windows = [w for w in windows if w is not best]
+                break
+            fullest = min(windows, key=room)
+            gap = room(fullest)
+            windows = [w for w in windows if w is not fullest]
+            if gap >= min_piece:
+                fullest.append((doc, gap))
+                n -= gap
+            done.append(fullest)
+    return done, windows
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_a_packer_places_as_the_rule_says(seed):
+    rng = random.Random(seed)
+    size, most, min_piece = rng.choice([7, 20, 64]), rng.randint(1, 5), rng.randint(1, 6)
+    documents = [(d, rng.choice([1, rng.randint(1, size), rng.randint(1, 3 * size)])) for d in range(120)]
+    p = Packer(0, size, most, min_piece)
+    for doc, n in documents:
+        p.add(doc, 0, bytes(4 * n), n)
+    done, windows = plainly_packed(documents, size, most, min_piece)
+    emitted = {}
+    for doc, _, length, _, _, sequence, _, _ in p.done:
+        emitted.setdefault(sequence, []).append((doc, length))
+    assert list(emitted.values()) == done
+    assert sorted([(d, len(i) // 4) for d, _, i, _ in w] for w in p.windows) == sorted(windows)
+
+
 def test_without_ids_and_empty(spark, docs):
     assert pack(docs, PATH).columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     assert pack(docs.limit(0), PATH).isEmpty()

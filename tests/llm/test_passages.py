@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexiloom.llm.passages import Words, common_prefixes, compared, context, joined, minimisers, reached, repeats
+from lexiloom.llm.passages import CHARACTERS, Words, common_prefixes, compared, context, joined, minimisers, reached, repeats
 
 
 def brute(rows, least):
@@ -116,3 +116,15 @@ def test_a_passage_of_all_documents_lies_over_many_tasks(spark):
     assert out.filter("spans = '1-71'").count() == 4000
     order = spark.range(4000).select(F.lit(7).alias("head"), F.col("id").alias("text_id")).repartitionByRange(8, "head", "text_id")
     assert order.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 1000
+
+
+def test_a_text_of_more_characters_than_are_taken_at_once(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefghij", k=7))
+    shared = [word() for _ in range(60)]
+    long = [word() for _ in range(150_000)]
+    long[140_000:140_000] = shared
+    rows = [(1, " ".join(long)), (2, " ".join([word(), *shared, word()])), (3, " ".join(word() for _ in range(100)))]
+    assert len(rows[0][1]) > CHARACTERS
+    out = repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.spans) for r in out} == {(1, "140000-140060"), (2, "1-61")}
