@@ -68,15 +68,40 @@ def parts_of(host: Column, suffixes: list[str]) -> tuple[Column, Column]:
     return F.when(wide, F.substring_index(host, ".", -3)).otherwise(two), F.when(wide, two).otherwise(F.substring_index(host, ".", -1))
 
 
-def reputation(counts: DataFrame, *, least: float = 1.0, z: float = 1.645, suffixes: list[str] = SUFFIXES) -> DataFrame:
+def with_parts(hosts: DataFrame, suffixes: list[str] | DataFrame) -> DataFrame:
+    """``hosts`` (host: distinct) with ``domain`` and ``suffix``.
+
+    ``suffixes``: names of two labels (see parts_of()), or a table of rules (column rule) of any length: a name is a
+    suffix, ``*.`` before a name makes every label before it part of the suffix, ``!`` before a name takes it out of such
+    a rule. An exception beats all rules, of the others the longest counts; without any the suffix is the last label. A
+    host that is a suffix is its own domain. Null and empty rules count for nothing; case doesn't count.
+    """
+    if not isinstance(suffixes, DataFrame):
+        domain, suffix = parts_of(F.col("host"), suffixes)
+        return hosts.withColumns({"domain": domain, "suffix": suffix})
+    rule = F.lower(F.trim("rule"))
+    kind = F.when(rule.startswith("!"), "except").when(rule.startswith("*."), "wild").otherwise("exact")
+    rules = suffixes.filter(F.length(rule) > 0).select(F.regexp_replace(rule, r"^(!|\*\.)", "").alias("key"), kind.alias("kind")).distinct()
+    tail = F.col("tail")
+    behind = F.array_join(F.slice("labels", F.col("at") + 2, F.size("labels")), ".")
+    tails = hosts.select("host", F.split("host", r"\.").alias("labels")).select("host", "labels", F.explode(F.sequence(F.lit(0), F.size("labels") - 1)).alias("at"))
+    tails = tails.select("host", "labels", "at", F.array_join(F.slice("labels", F.col("at") + 1, F.size("labels")), ".").alias("tail"), behind.alias("behind"))
+    asked = F.explode(F.array(*[F.struct(key.alias("key"), F.lit(k).alias("kind")) for key, k in ((tail, "exact"), (F.col("behind"), "wild"), (tail, "except"))]))
+    met = tails.select("host", "labels", "at", "tail", "behind", asked.alias("a")).select("host", "labels", "at", "tail", "behind", "a.*").join(rules, ["key", "kind"])
+    found = F.struct((F.col("kind") == "except").alias("first"), (-F.col("at")).alias("length"), F.when(F.col("kind") == "except", F.col("behind")).otherwise(tail).alias("suffix"))
+    best = met.groupBy("host").agg(F.max(found).alias("best")).select("host", F.col("best.suffix").alias("suffix"))
+    out = hosts.join(best, "host", "left").withColumn("suffix", F.coalesce("suffix", F.substring_index("host", ".", -1)))
+    return out.withColumn("domain", F.expr("substring_index(host, '.', -(size(split(suffix, '[.]')) + 1))"))
+
+
+def reputation(counts: DataFrame, *, least: float = 1.0, z: float = 1.645, suffixes: list[str] | DataFrame = SUFFIXES) -> DataFrame:
     """``host, n, mean, bound, overall`` for each row of ``counts`` (host: distinct; n, good: its labelled and good pages).
 
     bound: ``z`` deviations above the mean; overall: the share of good pages of all. The registered domain is the public
-    suffix (see parts_of()) and the label before it. With no outcomes at all every mean is one half. Only sums meet in
+    suffix (see with_parts()) and the label before it. With no outcomes at all every mean is one half. Only sums meet in
     one task: three rows of them for each part.
     """
-    domain, suffix = parts_of(F.col("host"), suffixes)
-    hosts = counts.select("host", domain.alias("domain"), suffix.alias("suffix"), "n", "good")
+    hosts = with_parts(counts, suffixes).select("host", "domain", "suffix", "n", "good")
     labelled = hosts.filter("n > 0")
     domains = labelled.groupBy("domain", "suffix").agg(F.sum("n").alias("dn"), F.sum("good").alias("dgood"))
     by_suffix = domains.groupBy("suffix").agg(F.sum("dn").alias("sn"), F.sum("dgood").alias("sgood"))

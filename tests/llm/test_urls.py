@@ -88,3 +88,17 @@ def test_outcomes_come_from_the_number_in_the_path(spark):
     labels = spark.createDataFrame([(7, 1, 0), (8, 1, 1), (7, 1, None), (9, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
     assert sorted(map(tuple, urls.page_outcomes(pages, labels).collect())) == [(1, 1), (2, 0)]
     assert urls.page_outcomes(pages, labels.filter(F.lit(False))).isEmpty()
+
+
+def test_suffix_rules_of_any_length_with_wildcards_and_exceptions(spark):
+    rules = ["com", "uk", "CO.uk", "*.ck", "!www.ck", "k12.ma.us", "us", "*.compute.cloud.example", "", None]
+    wanted = {
+        "www.shop.com": ("shop.com", "com"), "com": ("com", "com"), "a.b.co.uk": ("b.co.uk", "co.uk"), "x.uk": ("x.uk", "uk"), "a.foo.ck": ("a.foo.ck", "foo.ck"), "b.a.foo.ck": ("a.foo.ck", "foo.ck"),
+        "www.ck": ("www.ck", "ck"), "a.www.ck": ("www.ck", "ck"), "school.k12.ma.us": ("school.k12.ma.us", "k12.ma.us"), "ma.us": ("ma.us", "us"), "h.z1.compute.cloud.example": ("h.z1.compute.cloud.example", "z1.compute.cloud.example"),
+        "cloud.example": ("cloud.example", "example"), "localhost": ("localhost", "localhost"), "": ("", ""), "a..com": (".com", "com"),
+    }
+    hosts = spark.createDataFrame([(h, 4, 1) for h in wanted], "host string, n long, good long")
+    table = spark.createDataFrame([(r,) for r in rules], "rule string")
+    assert {r.host: (r.domain, r.suffix) for r in urls.with_parts(hosts, table).collect()} == wanted
+    assert urls.reputation(hosts, suffixes=table).count() == len(wanted)
+    assert {r.suffix for r in urls.with_parts(hosts, table.limit(0)).collect()} == {h.split(".")[-1] for h in wanted}
