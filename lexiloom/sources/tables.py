@@ -5,7 +5,9 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -57,13 +59,41 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read back: lineage is cut and lost executors don't matter."""
     path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression="zstd")
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder, below the application's id, that nobody has used."""
-    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder, below the application's id, that nobody has used; within scratch() below its folder."""
+    folder = _SCRATCH.get() or f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+_SCRATCH: ContextVar[str | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession, name: str) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """What written() makes in this block is deleted at its end, so nothing that it returns lazily may rest on it.
+
+    Gives a function like written() whose tables outlive the block.
+    """
+    outer, folder = _SCRATCH.get(), new_folder(spark, name)
+
+    def lasting(df: DataFrame, name: str) -> DataFrame:
+        inner = _SCRATCH.set(outer)
+        try:
+            return written(df, name)
+        finally:
+            _SCRATCH.reset(inner)
+
+    token = _SCRATCH.set(folder)
+    try:
+        yield lasting
+    finally:
+        _SCRATCH.reset(token)
+        path, files = _files(spark, folder)
+        files.delete(path, True)
 
 
 def laid_out(df: DataFrame, name: str, *keys: str, parts: int | None = None, dealt: bool = False) -> DataFrame:
