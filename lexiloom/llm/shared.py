@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..sources.tables import shared_dir, written
+from ..sources.tables import scratch, shared_dir, written
 
-__all__ = ["materialise", "shared_dir", "whole_text"]
+__all__ = ["materialise", "scratch", "shared_dir", "whole_text"]
 
 #: A table written once to the shared folder and read back.
 materialise = written
