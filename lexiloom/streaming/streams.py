@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-import pandas as pd
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, GroupedData, SparkSession
+from pyspark.sql import DataFrame, GroupedData, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -22,25 +21,27 @@ def read_files(spark: SparkSession, path: str, schema: T.StructType, per_batch:
 
 
 class Newest(StatefulProcessor):
-    """For each key the digest and the version of the text that came last; what is new or changed comes out."""
+    """For each key the digest and the version of the text that came last; what is new or changed comes out.
+
+    Keys have a row or two each in a batch, so rows come one by one: a data frame for each would cost far more.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.seen = handle.getValueState("seen", "digest string, version int")
 
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        self.seen.update((initialState["digest"].iloc[0], int(initialState["version"].iloc[0])))
+    def handleInitialState(self, key, initialState: Row, timerValues) -> None:
+        self.seen.update((initialState["digest"], initialState["version"]))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        known, version = self.seen.get() if self.seen.exists() else (None, -1)
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        known, version = self.seen.get() or (None, -1)
         # a batch's texts of one document, of which only the least new one is held
         least = None
-        for part in rows:
-            for digest, text in zip(part["digest"], part["text"]):
-                if digest != known and (least is None or text < least[1]):
-                    least = digest, text
+        for row in rows:
+            if row["digest"] != known and (least is None or row["text"] < least[1]):
+                least = row["digest"], row["text"]
         if least:
             self.seen.update((least[0], version + 1))
-            yield pd.DataFrame({"key": [key[0]], "text": [least[1]], "digest": [least[0]], "version": [version + 1]})
+            yield Row(key=key[0], text=least[1], digest=least[0], version=version + 1)
 
     def close(self) -> None:
         pass
@@ -83,7 +84,7 @@ def ingest(stream: DataFrame, target: str, checkpoint: str, *, key: str = "doc_i
 
     begin = None if _exists(spark, f"{checkpoint}/metadata") or not _exists(spark, target) else _known(spark, target, kind)
     with _rocks(spark):
-        fresh = rows.groupBy("key").transformWithStateInPandas(Newest(), f"key {kind}, text string, digest string, version int", "append", "none", begin)
+        fresh = rows.groupBy("key").transformWithState(Newest(), f"key {kind}, text string, digest string, version int", "append", "none", begin)
         fresh.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
