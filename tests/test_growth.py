@@ -67,3 +67,24 @@ def test_state_takes_rows_without_data_frames():
     assert [tuple(r) for r in newest.handleInputRows((1,), rows("b", "a"), None)] == [(1, "a", "A", 0)]
     assert not list(newest.handleInputRows((1,), rows("a"), None)) and newest.seen.value == ("A", 0)
     assert [r.version for r in newest.handleInputRows((1,), rows("a", "c"), None)] == [1]
+
+
+def test_hops_by_tiles_are_those_of_a_search(spark, monkeypatch):
+    for name, value in {"FEW": 0, "STARTS": 3, "NODES": 5, "MANY": 4}.items():
+        monkeypatch.setattr(graph, name, value)
+    edges = sorted({(f"n{i}", f"n{(i * i + 3 * j) % 40}") for i in range(40) for j in range(i % 4)} | {("n0", f"n{i}") for i in range(1, 12)})
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    starts, wanted = [f"n{i}" for i in range(0, 40, 3)] + ["alone"], set()
+    for s in starts:
+        front = known = {s}
+        for hop in range(4):
+            wanted |= {(s, n, hop) for n in front}
+            front = {b for a in front for b in near.get(a, ())} - known
+            known = known | front
+    table = spark.createDataFrame([(a, b, "X", 1.0) for a, b in edges], "source_entity_id string, target_entity_id string, relation_type string, confidence_score double")
+    out = [tuple(r) for r in graph.k_hop(table, spark.createDataFrame([(s,) for s in starts], "node string"), 3).collect()]
+    assert len(out) == len(set(out)) and set(out) == wanted
+    assert "FlatMapGroupsInArrow" in plan(graph.k_hop(table, spark.createDataFrame([(s,) for s in starts], "node string"), 3))
