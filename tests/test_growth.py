@@ -2,7 +2,9 @@
 
 import pytest
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
+from lexiloom.functions import vectors
 from lexiloom.jobs import catalog, graph, ingest
 from lexiloom.operators import integrity
 from lexiloom.sources.adapters import Model
@@ -88,3 +90,26 @@ def test_hops_by_tiles_are_those_of_a_search(spark, monkeypatch):
     out = [tuple(r) for r in graph.k_hop(table, spark.createDataFrame([(s,) for s in starts], "node string"), 3).collect()]
     assert len(out) == len(set(out)) and set(out) == wanted
     assert "FlatMapGroupsInArrow" in plan(graph.k_hop(table, spark.createDataFrame([(s,) for s in starts], "node string"), 3))
+
+
+def test_equal_queries_are_searched_for_once(spark):
+    rows = [(i, [float(i % 7 + 1), float(i % 5), 1.0]) for i in range(60)]
+    held = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    asked = spark.createDataFrame([(i, [float(i % 3 + 1), 2.0, 1.0]) for i in range(30)], "query_id long, embedding array<float>")
+    read, one = [], []
+    got = {(r.query_id, r["rank"]): r.vec_id for r in vectors.nearest(asked, held, 4, read=read).collect()}
+    vectors.nearest(asked.filter("query_id < 3"), held, 4, read=one)
+    assert read == one and len(got) == 120
+    assert all(got[i, n] == got[i % 3, n] for i in range(30) for n in range(1, 5))
+
+
+def test_vectors_are_computed_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<float>")
+    def embedding(i):
+        calls.add(1)
+        return [float(i % 7 + 1), float(i % 5)]
+
+    vectors.cell_index(spark.range(50).select(F.col("id").alias("vec_id"), F.col("id").alias("i")).repartition(2).select("vec_id", embedding("i").alias("embedding")))
+    assert calls.value <= 100
