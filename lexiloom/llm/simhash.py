@@ -45,6 +45,25 @@ def fingerprint(text: str, width: int = 3) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
 
 
+def wide_fingerprint(hashes: np.ndarray, words: int) -> bytes:
+    """A fingerprint of ``words`` times 64 bits: the first is that of the hashes themselves, the others of hashes of them."""
+    counts, n = np.zeros((words, 64), dtype=np.int64), len(hashes)
+    turns = np.arange(words, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)
+    for at in range(0, n, 1 << 12):
+        mixed = hashes[at : at + (1 << 12)] + turns
+        for shift, odd in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            mixed[1:] = (mixed[1:] ^ (mixed[1:] >> np.uint64(shift))) * np.uint64(odd)
+        mixed[1:] ^= mixed[1:] >> np.uint64(31)
+        octets = mixed.astype("<u8").view(np.uint8).reshape(words, -1, 8)
+        counts += np.unpackbits(octets, axis=2, bitorder="little").sum(axis=1, dtype=np.int64)
+    return np.packbits(counts * 2 > n, axis=1, bitorder="little").tobytes()
+
+
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of fingerprints, row by row. a, b: words of 64 bits."""
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+
+
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     """``doc_id, fingerprint`` (long, the bits as a signed number) of each row of ``docs``."""
 

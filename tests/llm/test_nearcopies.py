@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from lexiloom.llm import nearcopies
+from lexiloom.llm import nearcopies, simhash
 
 from ..conftest import DATA
 
@@ -134,3 +134,22 @@ def test_rows_with_null_and_repeated_ids(spark, flip):
     out = [(r.doc_id, (r.text or "").lower()) for r in nearcopies.deduplicate(df).collect()]
     assert sorted(out, key=str) == sorted([(3, a), (5, b), (None, "lonely words"), (7, "")], key=str)
     assert nearcopies.deduplicate(df.limit(0)).isEmpty()
+
+
+def test_fingerprints_decide_what_is_compared(spark):
+    """Candidates are told by SimHash: at 0.8 they lie within the radius, and pairs beyond it aren't compared on texts."""
+    rng = np.random.default_rng(2)
+    some = lambda n: rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, n, dtype=np.uint64)
+    print_of = lambda x: np.frombuffer(simhash.wide_fingerprint(x, nearcopies.PRINT), dtype="<u8")
+    for common, own in ((4, (0, 1)), (8, (1, 1)), (160, (20, 20)), (800, (0, 200))):
+        for _ in range(100):
+            shared = some(common)
+            a, b = (print_of(np.concatenate([shared, some(n)])) for n in own)
+            assert simhash.distances(a, b) <= nearcopies.RADIUS
+    texts = ["one two three four five six", "seven eight nine ten eleven twelve"]
+    sets = [nearcopies.shingles(t) for t in texts]
+    assert int(print_of(sets[0])[0]) == sum(1 << b for b in range(64) if 2 * sum(int(h) >> b & 1 for h in sets[0]) > len(sets[0]))
+    far = spark.createDataFrame([(k, bytearray(print_of(x).tobytes())) for k, x in enumerate([some(50), some(50)])], "key long, print binary")
+    # equal texts, but fingerprints that lie apart
+    same = spark.createDataFrame([(0, texts[0]), (1, texts[0])], "key long, text string")
+    assert nearcopies.verified(spark.createDataFrame([(0, 1)], "a long, b long"), far, same).isEmpty()
