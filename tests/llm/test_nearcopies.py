@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 
 from lexiloom.llm import nearcopies, simhash
+from lexiloom.llm.shared import of_rows, row_bits
 
 from ..conftest import DATA
 
@@ -153,3 +154,23 @@ def test_fingerprints_decide_what_is_compared(spark):
     # equal texts, but fingerprints that lie apart
     same = spark.createDataFrame([(0, texts[0]), (1, texts[0])], "key long, text string")
     assert nearcopies.verified(spark.createDataFrame([(0, 1)], "a long, b long"), far, same).isEmpty()
+
+
+def test_documents_stay_where_they_are(spark):
+    """Which rows stay is told by a bit a row, so no exchange has the documents, where their numbers are too many to broadcast."""
+    docs = spark.range(40_000).selectExpr("id doc_id", "concat('word', pmod(xxhash64(id), 30000)) text").repartition(4)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "16k")
+    try:
+        out = nearcopies.deduplicate(docs)
+        assert out.count() == docs.select("text").distinct().count()
+        assert "BroadcastHashJoin" in (plan := out._jdf.queryExecution().executedPlan().toString()) and "hashpartitioning" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_bits_of_rows(spark):
+    rows = [0, 1, 7, 8, 32767, 32768, 40000, 1 << 33, (1 << 33) + 5, (3 << 33) + 32767]
+    every = spark.createDataFrame([(r + d,) for r in rows for d in (0, 2, 16)], "row long").distinct()
+    bits = row_bits(spark.createDataFrame([(r,) for r in rows], "row long"))
+    assert sorted(r.row for r in of_rows(every, bits).collect()) == rows
