@@ -31,8 +31,11 @@ HASHES = 48
 LEAST_BITS, MOST_BITS = 22, 30
 #: Shingles whose hashes are held at once.
 CHUNK = 1 << 14
+#: Shingles of a block that is gone through one by one, all blocks of a document at a time.
+SMALL = 64
 _RNG = np.random.default_rng(20)
 MULTIPLIERS = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_COORDINATES = np.arange(HASHES, dtype=np.uint64)
 PLACES = _RNG.integers(0, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -72,6 +75,14 @@ def block_minima(hashes: np.ndarray, block: int) -> np.ndarray:
     step = max(1, CHUNK // block) * block
     for at in range(0, len(hashes), step):
         part = hashes[at : at + step]
+        if block <= SMALL:
+            # the k-th shingle of each block at once; the last block is filled up with its own last one
+            held = np.concatenate([part, part[-1:].repeat(-len(part) % block)]).reshape(-1, block).T.copy()
+            least = held[0] * MULTIPLIERS[:, None]
+            for row in held[1:]:
+                np.minimum(least, row * MULTIPLIERS[:, None], out=least)
+            out.append(least.T)
+            continue
         mixed = part[None, :] * MULTIPLIERS[:, None]
         out.append(np.minimum.reduceat(mixed, np.arange(0, len(part), block), axis=1).T)
     return np.concatenate(out)
@@ -94,7 +105,10 @@ def window_signatures(hashes: np.ndarray, classes: list[int]) -> Iterator[tuple[
 
 def _slots(signatures: np.ndarray) -> np.ndarray:
     """A place in the greatest table for each coordinate; smaller tables take its upper bits."""
-    return ((signatures + np.arange(HASHES, dtype=np.uint64)) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - MOST_BITS)
+    slots = signatures + _COORDINATES
+    slots *= np.uint64(0xD6E8FEB86659FD93)
+    slots >>= np.uint64(64 - MOST_BITS)
+    return slots
 
 
 def table_bits(coordinates: int) -> int:
@@ -105,7 +119,7 @@ def table_bits(coordinates: int) -> int:
 def _met(table: np.ndarray, slots: np.ndarray) -> np.ndarray:
     """Which slots are set. table: bits, eight a byte, or a truth value for each."""
     if table.dtype == bool:
-        return table[slots >> np.uint64(MOST_BITS - (len(table) - 1).bit_length())]
+        return table.take((slots >> np.uint64(MOST_BITS - (len(table) - 1).bit_length())).view(np.int64))
     at = slots >> np.uint64(MOST_BITS - (8 * len(table) - 1).bit_length())
     return (table[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0
 
@@ -161,8 +175,9 @@ def search(docs: DataFrame, items: DataFrame, *, width: int = 5, containment: fl
                     if u not in held:
                         continue
                     met = _met(held[u], _slots(signatures))
-                    at, place = np.nonzero(met)
-                    if len(np.unique(place)) >= 2:
+                    # most windows meet nothing
+                    if np.count_nonzero(met) >= 2 and np.count_nonzero(met.any(axis=0)) >= 2:
+                        at, place = np.nonzero(met)
                         values = signatures[at, place].view(np.int64)
                         pairs = pd.DataFrame({"place": place, "value": values}).drop_duplicates()
                         out.append(pairs.assign(doc_id=pd.array([doc_id] * len(pairs), dtype="Int64"), **{"class": u}))
@@ -186,7 +201,8 @@ def search(docs: DataFrame, items: DataFrame, *, width: int = 5, containment: fl
 
 def clean(docs: DataFrame, items: DataFrame, **settings) -> DataFrame:
     """The rows of ``docs`` that hold none of ``items``, all columns kept; rows with a null doc_id are judged together."""
-    bad = search(docs, items, **settings).select(F.col("doc_id").alias("held_by")).distinct()
+    # written first: its size is known then, and where it is small the documents aren't moved
+    bad = materialise(search(docs, items, **settings).select(F.col("doc_id").alias("held_by")).distinct(), "bad")
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["held_by"]), "left_anti")
 
 

@@ -99,3 +99,18 @@ def test_very_long_items_and_documents(spark):
     items = [(7, " ".join(long)), (8, " ".join(short))]
     got = {(r.doc_id, r.item_id): r.containment for r in d.search(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert got == brute(docs, items) and set(got) == {(1, 7), (2, 7), (4, 8)}
+
+
+def test_documents_stay_where_they_are(spark):
+    """The ids that go are few and written, so the documents aren't moved to leave them out."""
+    docs = spark.range(2000).selectExpr("id doc_id", "concat('some words of the text ', id, ' and then a few more') text")
+    items = spark.createDataFrame([(1, "some words of the text 7 and then a few more")], "item_id long, text string")
+    out = d.clean(docs, items)
+    assert out.count() == 1999 and "hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scan_of_small_blocks_is_that_of_large_ones():
+    hashes = d.shingle_hashes(" ".join(map(str, range(5003))), 5)
+    for block in (1, 2, 4, 8, 64, 128, 4096):
+        wanted = [(hashes[at : at + block, None] * d.MULTIPLIERS).min(axis=0) for at in range(0, len(hashes), block)]
+        assert np.array_equal(d.block_minima(hashes, block), wanted)
