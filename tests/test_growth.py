@@ -1,5 +1,6 @@
 """What the jobs compute and move once only; more than once it grew beyond the limits on large tables."""
 
+import numpy as np
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -113,3 +114,37 @@ def test_vectors_are_computed_once(spark):
 
     vectors.cell_index(spark.range(50).select(F.col("id").alias("vec_id"), F.col("id").alias("i")).repartition(2).select("vec_id", embedding("i").alias("embedding")))
     assert calls.value <= 100
+
+
+@pytest.mark.parametrize("direction", ["in", "both"])
+def test_hops_by_tiles_are_those_by_joins(spark, monkeypatch, direction):
+    rows = [(i, (7 * i * i + 3 * j) % 50, "X", 1.0) for i in range(45) for j in range(i % 5)] + [(3, 3, "X", 1.0), (4, 9, "Y", 1.0), (4, 9, "X", 1.0), (None, 5, "X", 1.0), (6, None, "X", 1.0)]
+    edges = spark.createDataFrame(rows, "source_entity_id long, target_entity_id long, relation_type string, confidence_score double")
+    start = spark.createDataFrame([(i,) for i in [*range(0, 50, 4), 900, None, 4]], "node long")
+    for hops in (1, 9):
+        joined = sorted(map(str, graph.k_hop(edges, start, hops, direction=direction).collect()))
+        with monkeypatch.context() as m:
+            for name, value in {"FEW": 0, "STARTS": 7, "NODES": 20}.items():
+                m.setattr(graph, name, value)
+            assert sorted(map(str, graph.k_hop(edges, start, hops, direction=direction).collect())) == joined
+
+
+def test_links_go_to_tiles_packed(spark, monkeypatch):
+    monkeypatch.setattr(graph, "FEW", 0)
+    nodes = spark.range(100).select(F.concat(F.lit("n"), "id").alias("node"))
+    edges = nodes.crossJoin(nodes.withColumnRenamed("node", "other")).select(F.col("node").alias("source_entity_id"), F.col("other").alias("target_entity_id"), F.lit("X").alias("relation_type"), F.lit(1.0).alias("confidence_score"))
+    out = graph.k_hop(edges, nodes, 2)
+    assert len(out.collect()) == 100 * 100
+    leaves, moved = out._jdf.queryExecution().executedPlan().finalPhysicalPlan().collectLeaves(), 0
+    for at in range(leaves.size()):
+        if leaves.apply(at).getClass().getSimpleName() == "ShuffleQueryStageExec":
+            moved += leaves.apply(at).plan().metrics().get("shuffleRecordsWritten").get().value()
+    assert 0 < moved < 10_000
+
+
+def test_packed_pairs_come_back():
+    a, b = np.array([5, 0, 5, 1 << 40, 5]), np.array([1, 6, 0, 3, 1])
+    n, data = graph._packed(a, b, 7)
+    assert [list(map(int, x)) for x in graph._unpacked(data, n, 7)] == [[0, 5, 5, 1 << 40], [6, 0, 1, 3]]
+    ordered = np.arange(100_000)
+    assert len(graph._packed(ordered // 1000, ordered % 1000, 1000)[1]) < len(ordered) / 50
